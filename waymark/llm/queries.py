@@ -5,14 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import exactdedup, langid, minhash, mixing, packing
-from waymark.llm.common import table
+from waymark.llm import exactdedup, langid, lmscore, minhash, mixing, packing, topk, urlfilter, warc
+from waymark.llm.common import shared_path, table
 
 
 def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+#: The rules (host, path, verdict) of op6 and a small table of labelled urls (true: block).
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+LABELLED_URLS = [
+    ("https://www.cheap-pills.example.org/en/926/", True),
+    ("http://cheap-pills.example.net/de/12", True),
+    ("https://m.free-bets.example.org/en/27", True),
+    ("http://free-bets.example.net/de/310?ref=x", True),
+    ("http://buy-pills-online.example.org/fr/5.html", True),
+    ("https://casino-bonus.example.net/en/77", True),
+    ("https://www.best-casino.example.org/de/8#top", True),
+    ("http://blog.win-cash-now.example.net/en/3", True),
+    ("https://free-slots.example.org/es/19", True),
+    ("https://adult-chat.example.net/en/44", True),
+    ("http://hot-singles.example.org/en/201", True),
+    ("https://replica-watches.example.net/en/1", True),
+    ("https://payday-loans.example.org/en/62", True),
+    ("http://m.cheap-meds.example.net/de/555", True),
+    ("https://bets-today.example.org/en/9/", True),
+    ("https://www.library.example.org/en/825?page=2&ref=x", False),
+    ("http://blog.thonst.example.net/en/453#top", False),
+    ("https://thther.example.org/en/685", False),
+    ("http://m.therin.example.net/de/511#top", False),
+    ("https://news.example.org/fr/163/", False),
+    ("https://www.tionsh.example.org/es/217", False),
+    ("https://blog.theron.example.net/en/357?page=2", False),
+    ("http://museum.example.org/de/606.html", False),
+    ("https://docs.example.net/en/25", False),
+    ("https://weather.example.org/en/74", False),
+    ("http://www.school.example.net/de/180/", False),
+    ("https://recipes.example.org/fr/644", False),
+    ("https://m.ththwh.example.org/de/839#top", False),
+    ("https://maps.example.net/en/12", False),
+    ("https://blog.therer.example.org/en/964", False),
+]
+
+
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors)
+
+
 def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,6 +71,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, net).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = spark.createDataFrame(LABELLED_URLS, "url string, blocked boolean")
+    return urlfilter.judge(table(spark, sf_dir, "pages"), RULES, urlfilter.fit(labelled))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
@@ -38,6 +84,17 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = shared_path(spark, "packages")
+    warc.write_pages(table(spark, sf_dir, "pages"), at)
+    return warc.read_packages(spark, at).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_masked_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lmscore.score(docs, lmscore.learn(docs))
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; gone are those without a letter and those whose best language is hardly likelier than the others."""
     net = langid.learn(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
@@ -71,9 +128,22 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op3_pattern_packing, op4_pfair_mixing, op5_language_id, op7_minhash_near_dedup, op8_exact_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op3_pattern_packing, op4_pfair_mixing, op5_language_id, op6_url_filter, op7_minhash_near_dedup, op8_exact_dedup, op9_warc_packages, op10_masked_lm_scoring, pipeline)}
 
 ORACLE = {
+    "op1_exact_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s
+        QUALIFY rank <= 5""",
+    "op9_warc_packages": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+        r AS (SELECT *, max(page_id) OVER (PARTITION BY h, payload_bytes) AS response FROM p)
+        SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i:
+            substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - i % 4 * 5 AS INT)) & 31 AS INT), 1)), '') AS payload_digest,
+          CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> response THEN response END AS refers_to FROM r""",
     "op4_pfair_mixing": """
         WITH RECURSIVE src AS (SELECT coalesce('=' || source, '') AS key, count(*) AS n FROM documents GROUP BY 1),
         w AS (SELECT key, n, sqrt(CAST(n AS DOUBLE)) AS w, count(*) OVER () AS m, sum(sqrt(CAST(n AS DOUBLE))) OVER () AS total FROM src),
