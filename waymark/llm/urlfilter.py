@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm.common import stash
 
-BUCKETS, SIZES, ROUNDS, RATE, DECAY, MOST_LABELLED = 4096, (3, 4, 5), 15, 6.0, 1e-3, 20_000
+BUCKETS, SIZES, ROUNDS, RATE, DECAY, MOST_LABELLED = 1024, (3, 4, 5), 15, 20.0, 1e-3, 20_000
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
