@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import exactdedup, langid, lmscore, minhash, mixing, packing, topk, urlfilter, warc
+from waymark.llm import exactdedup, langid, lmscore, minhash, mixing, packing, secrets, topk, urlfilter, warc
 from waymark.llm.common import shared_path, table
 
 
@@ -54,6 +54,16 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors)
 
 
+def known_finding(finding="finding", left="left"):
+    """Labels by the findings' own form: 1 for an access key's prefix or a value given to a password or token, 0 for letters alone and for digits alone; others have none."""
+    given = F.col(left).rlike(r"(?i)(password|token)\s*[=:]\s*[\"']?$") & F.col(finding).rlike("^[0-9a-f]+$")
+    return F.when(F.col(finding).rlike("^AKIA[0-9A-Z]{16}$") | given, 1).when(F.col(finding).rlike("^([A-Za-z]+|[0-9]+)$"), 0)
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), known_finding())
+
+
 def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -128,7 +138,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op3_pattern_packing, op4_pfair_mixing, op5_language_id, op6_url_filter, op7_minhash_near_dedup, op8_exact_dedup, op9_warc_packages, op10_masked_lm_scoring, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_secret_scan, op3_pattern_packing, op4_pfair_mixing, op5_language_id, op6_url_filter, op7_minhash_near_dedup, op8_exact_dedup, op9_warc_packages, op10_masked_lm_scoring, pipeline)}
 
 ORACLE = {
     "op1_exact_top_k": """
