@@ -27,7 +27,7 @@ DICTIONARY_WORDS = 5000
 #: Words beside a secret, and parts of paths that hold samples.
 BESIDE = r"(?i)(token|passw|pwd|secret|api|key|auth|bearer|credential)"
 SAMPLE_PATH = r"(?i)(test|example|sample|mock|fixture|demo)"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?:(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{%d,}|[A-Za-z+/_-]{%d,})=*" % (LEAST, LONG)
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{%d,}|[A-Za-z+/_-]{%d,})=*" % (LEAST, LONG)
 FEATURES = ["length", "changes", "transitions", "coverage", "digits", "path_sample", "path_depth", "left_keyword", "left_sign", "right_sign"]
 
 
