@@ -131,7 +131,7 @@ def confident(words: DataFrame, least: int = 30) -> DataFrame:
 
 def confidences(words: DataFrame) -> DataFrame:
     """doc_id, mean and (halves to even) rounded confidence over a document's words."""
-    return words.groupBy("doc_id").agg(F.round(F.avg("confidence"), 6).alias("mean"), F.bround(F.avg("confidence"), 0).cast("int").alias("confidence"))
+    return words.groupBy("doc_id").agg(F.avg("confidence").alias("mean"), F.bround(F.avg("confidence"), 0).cast("int").alias("confidence"))
 
 
 def left_column(words: DataFrame, gap: float = 50.0, least: int = 3) -> DataFrame:

@@ -293,7 +293,7 @@ def o23_records(spark, d):
 
 @query(
     with_tables("words")
-    + "SELECT doc_id, round(avg(confidence), 6) AS mean, CAST(round_even(avg(confidence), 0) AS INT) AS confidence FROM words WHERE trim(text) <> '' AND confidence >= 30 GROUP BY doc_id"
+    + "SELECT doc_id, avg(confidence) AS mean, CAST(round_even(avg(confidence), 0) AS INT) AS confidence FROM words WHERE trim(text) <> '' AND confidence >= 30 GROUP BY doc_id"
 )
 def o24_confidence(spark, d):
     return layout.confidences(layout.confident(load(spark, d, "words")))
