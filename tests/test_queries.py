@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -23,10 +24,10 @@ def duck():
 def plain(value):
     if hasattr(value, "tolist") and not isinstance(value, str):
         value = value.tolist()
-    if value is None or value != value or str(value) == "NaT":
-        return "-"
     if isinstance(value, (list, tuple)):
         return str([plain(v) for v in value])
+    if value is None or pd.isna(value):
+        return "-"
     if isinstance(value, float) or type(value).__name__ == "Decimal":
         return repr(round(float(value), 6)).removesuffix(".0")
     return str(value).replace("+00:00", "")
