@@ -51,8 +51,8 @@ def update(table: DataFrame, patch: DataFrame, key: list[str], columns: list[str
 
 
 def write_partitions(rows: DataFrame, path: str, by: str) -> None:
-    """Replaces the partitions that rows has, and no others."""
-    rows.repartition(by).sortWithinPartitions(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    """Replaces the partitions that rows has, and no others. Rows are rebalanced by the key, so that a very large partition gets several tasks."""
+    rows.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
 def state_seed(spark: SparkSession, base_url: str = "https://example.org/uf") -> DataFrame:
