@@ -1,8 +1,10 @@
 """Exact dedup by content sort.
 
-Rows are range-partitioned by their normalised bytes (Spark samples the splitters), each partition is sorted
-externally, so that equal texts stand next to each other, and the window compares neighbours in full and keeps the
-smallest identifier. Only DataFrame functions run.
+Rows are range-partitioned by their normalised bytes, each partition is sorted externally, so that equal texts stand next to each other, and the
+window compares neighbours in full and keeps the smallest identifier. Only DataFrame functions run.
+
+Spark samples the splitters and sends them to the driver, so they are short: the first PREFIX characters, then a hash (texts with the same beginning may
+be many), then the salt.
 
 Hot texts: a text with over 1/4096 of all rows is split over salts before the sort (at most 4096 texts can be so
 frequent, which bounds the broadcast list of their digests); the survivors of each salt are sorted once more.
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm.common import shuffle_width, stash
 
-HOT_SHARE = 4096
+HOT_SHARE, PREFIX = 4096, 32
 
 
 def normalised(text: Column) -> Column:
@@ -44,10 +46,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "doc_id", "norm", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("salts")), F.lit(0)).alias("salt"), F.col("salts").isNotNull().alias("hot")
     )
 
-    alike = Window.partitionBy("norm", "salt").orderBy("doc_id")
+    salted = salted.withColumns({"prefix": F.substring("norm", 1, PREFIX), "tail": F.xxhash64("norm")})
+    alike = Window.partitionBy("prefix", "tail", "salt", "norm").orderBy("doc_id")
     whole = alike.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     sorted_rows = (
-        salted.repartitionByRange(shuffle_width(spark), "norm", "salt")
+        salted.repartitionByRange(shuffle_width(spark), "prefix", "tail", "salt")
         .withColumn("near_id", F.first("doc_id").over(alike))
         .withColumn("place", F.row_number().over(alike))
         .withColumn("near_n", F.count(F.lit(1)).over(whole))
