@@ -72,6 +72,24 @@ def test_edges_are_anchored(spark):
     assert got == [1.0, 4.5, 9.0]
 
 
+def test_bands_hold_both_ends(spark):
+    edges = [0.0, 1.0, 4.5, 9.0, 20.0]
+    values = [-1.0, 0.0, 0.5, 1.0, 4.5, 8.0, 20.0, 20.5]
+    got = spark.createDataFrame([(i, edges, v) for i, v in enumerate(values)], "i int, e array<double>, v double").orderBy("i")
+    assert [r[0] for r in got.select(layout.band_of(F.col("e"), F.col("v"))).collect()] == [None, 0, 0, 0, 1, 2, 3, None]
+    assert [r[0] for r in got.select(layout.below(F.col("e"), F.col("v"), True)).collect()] == [0, 1, 1, 2, 3, 3, 5, 5]
+    assert spark.range(1).select(layout.below(F.array().cast("array<double>"), F.lit(1.0))).first()[0] == 0
+
+
+def test_anchored_records(spark):
+    words = [("Bauru", 0, 0), ("Hospital", 100, 0), ("Geral", 160, 0), ("Rua", 220, 0), ("A", 250, 0), ("(14)", 300, 0), ("1234567", 360, 0), ("Crotálico", 420, 0), ("Bom", 0, 40), ("Jesus", 52, 41), ("UPA", 100, 40), ("Lins", 0, 80), ("Santa", 100, 80), ("9", 220, 80)]
+    boxes = spark.createDataFrame([(1, 0, i, t, float(x), float(x + 40), float(y), float(y + 10)) for i, (t, x, y) in enumerate(words)], "doc_id int, page int, pos int, text string, x0 double, x1 double, top double, bottom double")
+    got = rows(layout.anchored_records(boxes), "anchor", *layout.FIELDS)
+    assert got[0] == (0, "Bauru", "Hospital Geral", "Rua A", "(14)", "1234567", "Crotálico")
+    assert got[2] == (2, "Lins", "Santa", "9", None, None, None)
+    assert got[1][1].startswith("Bom")
+
+
 def test_cell_lines(spark):
     words = spark.createDataFrame([([(10.0, 50.0, "b"), (11.0, 10.0, "a"), (20.0, 5.0, "c")],)], "w array<struct<top:double,x0:double,text:string>>")
     assert words.select(layout.joined_text(F.col("w"))).first()[0] == "a b c"

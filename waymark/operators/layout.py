@@ -77,17 +77,42 @@ def bands(edges: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def below(values: Column, value: Column, or_equal: bool = False, most: int = 20) -> Column:
+    """How many of ascending values lie below value (or at it), by binary search: a step for each power of two up to the number of values, of which there are under 2^most."""
+    powers = F.array(*[F.lit(1 << k) for k in range(most - 1, -1, -1)])
+    needed = F.floor(F.log2(F.greatest(F.size(values), F.lit(1)).cast("double"))).cast("int") + 1
+
+    def step(n: Column, power: Column) -> Column:
+        there = F.get(values, n + power - 1)
+        return F.when(there <= value if or_equal else there < value, n + power).otherwise(n)
+
+    return F.aggregate(F.slice(powers, F.lit(most + 1) - needed, needed), F.lit(0), step)
+
+
 def band_of(edges: Column, value: Column) -> Column:
     """The first band (0-based) that holds a value, both ends included; null if none does."""
-    inside = F.size(F.filter(edges, lambda e: e < value))
+    inside = below(edges, value)
     at_first = F.get(edges, F.lit(0)) == value
     return F.when((inside > 0) & (inside < F.size(edges)), inside - 1).when(at_first & (F.size(edges) > 1), 0).cast("int")
 
 
+def on_stretches(points: DataFrame, at: Column, spans: DataFrame, low: Column, high: Column, stretch: float = 64.0) -> DataFrame:
+    """Pairs of points and spans of a page that may lie on each other: a range join as an equi-join on stretches of the page.
+
+    A span goes to every stretch it touches, a point to one, so that work is in proportion to words and lines, also on very long pages.
+    """
+    first, last = F.floor(low / stretch), F.floor(high / stretch)
+    return points.withColumn("_stretch", F.floor(at / stretch)).join(spans.withColumn("_stretch", F.explode(F.sequence(first, last))), [*PAGE, "_stretch"]).drop("_stretch")
+
+
 def assign(words: DataFrame, edges: DataFrame) -> DataFrame:
-    """words with row and col: the bands that hold their centres. A page's edges are one row, so the range join is an equi-join on the page."""
-    joined = words.join(edges, PAGE)
-    return joined.withColumn("row", band_of(F.col("h"), middle("top", "bottom"))).withColumn("col", band_of(F.col("v"), middle("x0", "x1"))).drop("h", "v").where("row IS NOT NULL AND col IS NOT NULL")
+    """words with row and col: the first bands that hold their centres, both ends included."""
+    y = middle("top", "bottom")
+    rows = bands(edges).where("axis = 'h'").select(*PAGE, F.col("band").alias("row"), "low", "high")
+    held = ((F.col("low") < y) & (y <= F.col("high"))) | ((F.col("row") == 0) & (y == F.col("low")))  # later bands hold only what lies beyond their start
+    placed = on_stretches(words, y, rows, F.col("low"), F.col("high")).where(held).drop("low", "high")
+    across = placed.join(edges.select(*PAGE, "v"), PAGE)
+    return across.withColumn("col", band_of(F.col("v"), middle("x0", "x1"))).drop("v").where("col IS NOT NULL")
 
 
 def joined_text(words: Column, gap: float = 4.0) -> Column:
@@ -191,11 +216,12 @@ def anchored_records(words: DataFrame, ratio: float = 1.2) -> DataFrame:
     rows = rows.withColumn("low", low).withColumn("high", F.coalesce(F.lead("low").over(after), F.lit(float("inf"))))
     starts = unit_start(words).withColumnRenamed("x", "unit_x")
     rows = rows.withColumnRenamed("text", "city").join(starts, PAGE, "left").withColumn("limit", F.coalesce("unit_x", F.col("right") + 300))
-    # a page's anchors as one row, so that the range join is an equi-join on the page
-    spans = rows.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("low", "high", "anchor", "y_top", "y_bottom", "city", "height", "left", "right", "limit"))).alias("spans"))
     y = middle("top", "bottom")
-    own = words.where(~is_head(F.col("text"))).join(spans, PAGE).withColumn("s", F.get(F.filter("spans", lambda s: (s["low"] <= y) & (y < s["high"])), F.lit(0))).where("s IS NOT NULL")
-    own = own.select(*PAGE, "s.*", "pos", "text", "x0", y.alias("y"), token_class(F.col("text")).alias("kind"))
+    ends = words.groupBy(*PAGE).agg((F.max(y) + 1).alias("_end"))
+    rows = rows.join(ends, PAGE).withColumn("high", F.least("high", F.greatest("low", "_end"))).drop("_end")
+    spans = rows.where("low <= high").select(*PAGE, "low", "high", "anchor", "y_top", "y_bottom", "city", "height", "left", "right", "limit")
+    own = on_stretches(words.where(~is_head(F.col("text"))), y, spans, F.col("low"), F.col("high")).where((F.col("low") <= y) & (y < F.col("high")))
+    own = own.select(*PAGE, "anchor", "y_top", "y_bottom", "city", "height", "left", "right", "limit", "pos", "text", "x0", y.alias("y"), token_class(F.col("text")).alias("kind"))
 
     in_left = F.col("x0").between(F.col("left"), F.col("right"))
     same_line = F.abs(F.col("y") - (F.col("y_top") + F.col("y_bottom")) / 2) <= F.col("height") * ratio

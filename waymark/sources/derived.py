@@ -1,6 +1,6 @@
 """Directory, log, page and layout tables derived from the given tables, so that work grows with them.
 
-Each is one SQL text for both engines, with {name} for a table; `words` has a text for each, since the engines' lists differ.
+Each is one SQL text for both engines, with {name} for a table; `words` has a text for each, since the engines' lists differ, and so has `shapes`.
 """
 
 from __future__ import annotations
@@ -69,6 +69,16 @@ SELECT doc_id, CAST(0 AS INT) AS page, CAST(pos AS INT) AS pos, text, CAST((pos
  CAST((pos // 12) * 14 AS DOUBLE) AS top, CAST((pos // 12) * 14 + 10 AS DOUBLE) AS bottom, CAST((doc_id * 31 + pos * 17) % 101 AS INT) AS confidence
  FROM (SELECT doc_id, unnest(w) AS text, unnest(range(len(w))) AS pos FROM (SELECT doc_id, regexp_split_to_array(text, '[ \n]+') AS w FROM documents) a) b"""
 
+#: The same shapes from the number of words alone, so that words needn't be made and sorted out again.
+SHAPES_SPARK = r"""
+WITH d AS (SELECT doc_id, CAST(0 AS INT) AS page, size(split(text, '[ 
+]+')) AS n FROM {documents} WHERE text IS NOT NULL)
+SELECT doc_id, page, CAST(line AS DOUBLE) * 14 - 2 + j AS top, CAST(0 AS DOUBLE) AS x0, CAST(720 AS DOUBLE) AS width, CAST(0.5 AS DOUBLE) AS height
+FROM (SELECT doc_id, page, explode(sequence(0, CAST((n - 1) DIV 12 AS INT))) AS line FROM d) LATERAL VIEW explode(array(CAST(0 AS DOUBLE), CAST(1.5 AS DOUBLE))) jitter AS j
+UNION ALL SELECT doc_id, page, CAST((n - 1) DIV 12 AS DOUBLE) * 14 + 12, CAST(0 AS DOUBLE), CAST(720 AS DOUBLE), CAST(0 AS DOUBLE) FROM d
+UNION ALL SELECT doc_id, page, CAST(0 AS DOUBLE), CAST(k * 120 - 5 AS DOUBLE), CAST(0.5 AS DOUBLE), CAST(400 AS DOUBLE) FROM (SELECT doc_id, page, explode(sequence(0, CAST((least(n, 12) - 1) DIV 2 AS INT))) AS k FROM d)
+UNION ALL SELECT doc_id, page, CAST(0 AS DOUBLE), CAST(715 AS DOUBLE), CAST(0 AS DOUBLE), CAST(400 AS DOUBLE) FROM d"""
+
 NEEDS = {"cur": ["fac"], "inc": ["fac"], "shapes": ["words"], "gz": ["fac"], "cep": ["fac"]}
 
 
@@ -80,7 +90,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given or derived table."""
     if name in BASE:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql = WORDS_SPARK if name == "words" else SQL[name]
+    sql = {"words": WORDS_SPARK, "shapes": SHAPES_SPARK}.get(name) or SQL[name]
     return spark.sql(sql, **{n: load(spark, sf_dir, n) for n in _names(sql)})
 
 
