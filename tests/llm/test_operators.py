@@ -292,7 +292,7 @@ def test_near_duplicates_brute_force(spark, documents):
 
 def test_index_finds_all_pairs_within_reach():
     rng = np.random.default_rng(4)
-    a = rng.integers(0, 2**32, (1, minhash.WIDE), dtype=np.uint32)
+    a = rng.integers(0, 2**32, (1, minhash.SIZE), dtype=np.uint32)
     for _ in range(200):
         b = a.copy()
         where = rng.choice(minhash.SIZE, 2 * minhash.CHUNKS - 1, replace=False)

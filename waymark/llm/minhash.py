@@ -1,11 +1,12 @@
 """Near-duplicate documents: MinHash signatures joined by a multi-index over Hamming distance, links confirmed on full sets.
 
 A document's set holds its distinct shingles of `words` words. Its signature has SIZE components of BITS bits, each from the
-smallest hash of one permutation; two sets of similarity s differ in a component with probability about 1 - s. All pairs
-that differ in at most REACH components share a key: the components are split into CHUNKS chunks, of which one has at most one
-error by the pigeonhole principle (CHUNKS * 2 > REACH), and each chunk is indexed once without each of its components. REACH lies four standard
-deviations above the mean distance at the threshold. A second signature of WIDE two-bit components, also cut at four deviations,
-spares most needless confirmations. Every link is confirmed on the full sets.
+smallest hash of one permutation; two sets of similarity s differ in a component with probability about 1 - s. The components are split into CHUNKS
+chunks, and each chunk is indexed once without each of its components. By the pigeonhole principle, all pairs that differ in at most
+2 * CHUNKS - 1 = 19 components have a chunk with at most one error, and so share a key; at a similarity of 0.8 the mean distance is 12.8, and
+pairs further apart share a key unless every chunk has two errors (6 in 100,000 pairs of just that similarity, fewer above it). Documents that share a
+key with another have a second signature of WIDE two-bit components, cut at four standard deviations, which spares most needless confirmations. Every link is
+confirmed on the full sets.
 
 Equal sets are one class, found by digest, and only its smallest identifier goes on. No pairs within a key's group are listed:
 first, each member is compared with the group's smallest identifier; after that the members of a group that still belong to different components
@@ -32,8 +33,8 @@ from waymark.llm.common import stash
 from waymark.llm.components import components
 
 WORDS, LIKE, OF = 5, 80, 100
-SIZE, BITS, CHUNKS, REACH = 64, 16, 13, 25
-WIDE, WIDE_REACH = 256, 61
+SIZE, BITS, CHUNKS = 64, 9, 10
+WIDE, WIDE_REACH = 1024, 199
 SLICE_BYTES = 4_000_000
 
 _rng = np.random.default_rng(20)
@@ -91,24 +92,30 @@ def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
         a = b
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """WIDE smallest hashes."""
-    least = np.full(WIDE, 0xFFFFFFFF, np.uint32)
+def signature(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The smallest hashes of the first size permutations."""
+    least = np.full(size, 0xFFFFFFFF, np.uint32)
     h = (hashes >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(h), 512):
-        np.minimum(least, (h[at : at + 512, None] * TIMES + PLUS).min(0), out=least)
+    rows = max(1, 2**17 // size)
+    for at in range(0, len(h), rows):
+        np.minimum(least, (h[at : at + rows, None] * TIMES[:size] + PLUS[:size]).min(0), out=least)
     return least
 
 
-def index_keys(signatures: np.ndarray) -> np.ndarray:
-    """For each signature SIZE keys: its chunks, each without one of its components."""
-    part = (signatures[:, :SIZE] & np.uint32(2**BITS - 1)).astype(np.uint64) * OF_PART
-    keys = np.empty((len(signatures), SIZE), np.uint64)
-    for own in PARTS:
-        whole = part[:, own].sum(1, dtype=np.uint64)
-        for j in own:
-            keys[:, j] = whole - part[:, j]
-    return mixed(keys + mixed(np.arange(1, SIZE + 1, dtype=np.uint64)))
+def chunks(signatures: np.ndarray) -> np.ndarray:
+    """The components of each chunk in one word, BITS bits each."""
+    lanes = (signatures[:, :SIZE] & np.uint32(2**BITS - 1)).astype(np.uint64)
+    return np.stack([(lanes[:, own] << (np.arange(len(own)) * BITS).astype(np.uint64)).sum(1, dtype=np.uint64) for own in PARTS], 1)
+
+
+def index_keys(chunks: np.ndarray) -> np.ndarray:
+    """For each signature SIZE keys: its chunks, each without one of its components, whose number is in the key's last six bits."""
+    keys = np.empty((len(chunks), SIZE), np.uint64)
+    for c, own in enumerate(PARTS):
+        for i, j in enumerate(own):
+            rest = chunks[:, c] & ~np.uint64((2**BITS - 1) << (BITS * i))
+            keys[:, j] = (mixed(rest + OF_PART[j]) << np.uint64(6)) | np.uint64(j)
+    return keys
 
 
 def packed(signatures: np.ndarray) -> np.ndarray:
@@ -134,36 +141,38 @@ def _lists(rows: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, digest (of the whole set), keys and wide for every row."""
+    """doc_id, n_shingles, digest (of the whole set) and keys for every row."""
     longs = T.ArrayType(T.LongType())
-    out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("keys", longs), T.StructField("wide", longs)])
+    out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("keys", longs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).to_pylist()]
             for a, b in _slices(texts):
-                n, digest, least = np.zeros(b - a, np.int64), [], np.empty((b - a, WIDE), np.uint32)
+                n, digest, least = np.zeros(b - a, np.int64), [], np.empty((b - a, SIZE), np.uint32)
                 for i, s in enumerate(shingle_sets(texts[a:b], words)):
                     n[i] = len(s)
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    least[i] = signature(s)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(digest, pa.binary()), _lists(index_keys(least).view(np.int64)), _lists(packed(least).view(np.int64))], names=out.names)
+                    least[i] = signature(s, SIZE)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(digest, pa.binary()), _lists(index_keys(chunks(least)).view(np.int64))], names=out.names)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.encode(F.coalesce(text_col, F.lit("")), "UTF-8").alias("text")).mapInArrow(run, out)
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """id and its shingle hashes, for (doc_id, text)."""
-    out = T.StructType([T.StructField("id", docs.schema["doc_id"].dataType), T.StructField("shingles", T.ArrayType(T.LongType(), False))])
+    """id, n (the set's size), chunks, wide and the shingle hashes, for (doc_id, text)."""
+    longs = T.ArrayType(T.LongType())
+    out = T.StructType([T.StructField("id", docs.schema["doc_id"].dataType), T.StructField("n", T.LongType()), T.StructField("chunks", longs), T.StructField("wide", longs), T.StructField("shingles", T.ArrayType(T.LongType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).to_pylist()]
             for a, b in _slices(texts):
                 own = list(shingle_sets(texts[a:b], words))
+                least = np.stack([signature(s, WIDE) for s in own])
                 at = np.concatenate([[0], np.cumsum([len(s) for s in own])])
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(own).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=out.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at)), _lists(chunks(least).view(np.int64)), _lists(packed(least).view(np.int64)), lists], names=out.names)
 
     return docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).mapInArrow(run, out)
 
@@ -176,6 +185,22 @@ def wide_distance(a: str, b: str) -> Column:
     return total
 
 
+def first_shared(key: Column) -> Column:
+    """Of pair rows with chunks, chunks2: whether key is the first of the keys they share, so that a pair counts once."""
+    top = sum(1 << (BITS * i + BITS - 1) for i in range(7))
+    low = sum((2 ** (BITS - 1) - 1) << (BITS * i) for i in range(7))
+    place = key.bitwiseAND(F.lit(SIZE - 1))
+    first = None
+    for c, own in enumerate(PARTS):
+        x = F.get("chunks", F.lit(c)).bitwiseXOR(F.get("chunks2", F.lit(c)))
+        errors = F.bit_count((x.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(x).bitwiseAND(F.lit(top)))
+        here = place == int(own[0])  # without errors all of the chunk's keys are shared
+        within = place.between(int(own[0]), int(own[-1]))  # with one error, one key is
+        first = F.when(errors == 0, here) if first is None else first.when(errors == 0, here)
+        first = first.when(errors == 1, within)
+    return F.coalesce(first, F.lit(False))
+
+
 def may_link(like: int, of: int) -> Column:
     """Of pair rows with n, m (set sizes) and wide, wide2: no more than the sizes and signatures allow."""
     return (F.least("n", "m") * of >= F.greatest("n", "m") * like) & (wide_distance("wide", "wide2") <= WIDE_REACH)
@@ -199,20 +224,20 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, like: int = LIKE, of: i
 
     copies = made.where(linkable).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", "rep")
     copies = stash(copies, "copies")
-    rows = made.join(copies, (made["digest"] == copies["digest"]) & linkable, "left").select("doc_id", "n_shingles", made["digest"], F.coalesce("rep", "doc_id").alias("rep"), "keys", "wide")
+    rows = made.join(copies, (made["digest"] == copies["digest"]) & linkable, "left").select("doc_id", "n_shingles", made["digest"], F.coalesce("rep", "doc_id").alias("rep"), "keys")
     members = stash(rows.select("doc_id", "n_shingles", "rep"), "members")
     reps = rows.where(linkable & (F.col("rep") == F.col("doc_id")))
-    reps = stash(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "wide", "keys"), "reps")
+    reps = stash(reps.select(F.col("doc_id").alias("id"), "keys"), "reps")
 
     # keys that more than one class has, and the smallest identifier of each
     keyed = reps.select("id", F.explode("keys").alias("key"))
     hubs = stash(keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub"), "hubs")
     grouped = stash(keyed.join(hubs, "key"), "grouped")  # key, id, hub
-    narrow = reps.select("id", "n", "wide")
 
     found = stash(grouped.select("id").distinct(), "found")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sets = stash(full_sets(texts.join(found, texts["doc_id"] == found["id"], "left_semi"), words), "sets")
+    narrow = sets.select("id", "n", "wide")
 
     def passing(pairs: DataFrame) -> DataFrame:
         a = narrow.select(F.col("id").alias("a"), "n", "wide")
@@ -228,12 +253,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, like: int = LIKE, of: i
     placed = stash(grouped.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "placed")
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     mixed_keys = stash(sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "major"), "mixed")
-    open_keys = stash(placed.join(mixed_keys, "key").join(narrow, "id"), "open")  # key, id, component, major, n, wide
-    minor = open_keys.where("component <> major").select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("major").alias("major"), "n", "wide")
-    other = open_keys.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("m"), F.col("wide").alias("wide2"))
+    open_keys = stash(placed.join(mixed_keys, "key").join(sets.select("id", "n", "wide", "chunks"), "id"), "open")  # key, id, component, major, n, wide, chunks
+    minor = open_keys.where("component <> major").select("key", F.col("id").alias("a"), F.col("component").alias("ca"), "major", "n", "wide", "chunks")
+    other = open_keys.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("m"), F.col("wide").alias("wide2"), F.col("chunks").alias("chunks2"))
     once = (F.col("cb") == F.col("major")) | (F.col("a") < F.col("b"))
-    pairs = minor.join(other, "key").where((F.col("ca") != F.col("cb")) & once & may_link(like, of))
-    rest = stash(confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, like, of), "links")
+    pairs = minor.join(other, "key").where((F.col("ca") != F.col("cb")) & once & may_link(like, of) & first_shared(F.col("key")))
+    rest = stash(confirmed(pairs.select("a", "b"), sets, like, of), "links")
 
     ends = labels.select("id", "component")
     bridges = rest.join(ends.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(ends.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
