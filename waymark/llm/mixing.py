@@ -90,7 +90,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, cycle: int = CYCLE, b
 
     blocks = sizes.select("source", F.ceil(F.col("rows") / block_rows).alias("n"))
     ends = slots.join(blocks, "source").where(F.col("k") == F.col("n") % F.col("share"))
-    horizon = ends.agg(F.min(F.floor(F.col("n") / F.col("share")) * cycle + F.col("slot")).alias("_horizon"))
+    horizon = ends.agg(F.min(F.floor(F.col("n") / F.col("share")) * cycle + F.col("slot"))).first()[0]  # one number
 
     slices = 4 * shuffle_width(spark)
     order = [F.asc_nulls_first(c) for c in ("_digest", id_col)]
@@ -99,7 +99,6 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, cycle: int = CYCLE, b
     cyclic = slots.select(F.col("source").alias("_source"), "share", "k", F.col("slot").alias("_slot"))
     share_of = F.broadcast(slots.where("k = 0").select(F.col("source").alias("_key"), F.col("share").alias("_share")))
     at = at.join(share_of, "_key").join(F.broadcast(cyclic), (F.col("_key") == F.col("_source")) & (F.col("block") % F.col("_share") == F.col("k")))
-    at = at.join(F.broadcast(horizon), F.lit(True))  # one row
     slot = F.floor(F.col("block") / F.col("_share")) * cycle + F.col("_slot")
     return at.select(
         *docs.columns,
@@ -108,7 +107,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, cycle: int = CYCLE, b
         (F.col("_rank") % block_rows).alias("place"),
         F.floor(F.col("block") * cycle / F.col("_share")).alias("release"),
         F.ceil((F.col("block") + 1) * cycle / F.col("_share")).alias("deadline"),
-        (slot < F.col("_horizon")).alias("balanced"),
+        (slot < F.lit(horizon)).alias("balanced"),
     )
 
 
