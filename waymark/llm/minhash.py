@@ -35,7 +35,7 @@ from waymark.llm.components import components
 WORDS, LIKE, OF = 5, 80, 100
 SIZE, BITS, CHUNKS = 64, 9, 10
 WIDE, WIDE_REACH = 1024, 199
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 
 _rng = np.random.default_rng(20)
 
