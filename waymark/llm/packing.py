@@ -12,6 +12,7 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from array import array
@@ -93,6 +94,12 @@ class WordTokens:
         return flat, upto[starts[1:] - 1]
 
 
+@functools.cache
+def word_tokens(path: str) -> WordTokens:
+    """One for each worker process: later tasks of it find the words of earlier ones."""
+    return WordTokens(path)
+
+
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
@@ -110,7 +117,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, id
     out = T.StructType([T.StructField("doc_id", kind), T.StructField("piece", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in columns[2:]]])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(tokenizer)
+        words = word_tokens(tokenizer)
         for batch in batches:
             names, texts = batch.column(0), batch.column(1)
             for at, to in _slices(texts):
