@@ -24,10 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from waymark.llm.common import stash
+
 UNKNOWN = "und"
-HIDDEN, LONGEST = 12, 32
+HIDDEN, LONGEST, MOST_LANGS = 12, 32, 1000
 DOCS_PER_LANG, TRAIN_WORDS, STEPS, BATCH = 400, 60_000, 500, 256
-SLICE_BYTES = 16_000_000
+SLICE_BYTES = 8_000_000
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -144,9 +146,11 @@ def has_letter(text: Column) -> Column:
 def training_words(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG, limit: int = TRAIN_WORDS) -> DataFrame:
     """lang, word, n of a bounded sample of labelled (doc_id, text, lang)."""
     labelled = labelled.where(F.col("lang").isNotNull() & has_letter(F.col("text")))
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))  # a row for each language
+    sizes = stash(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "languages")
+    if sizes.count() > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
     share = F.lit(2.0**31) * docs_per_lang / F.col("rows")
-    sample = labelled.join(sizes, "lang").where(F.abs(F.hash("doc_id", F.lit("sample"))) <= share)
+    sample = labelled.join(F.broadcast(sizes), "lang").where(F.abs(F.hash("doc_id", F.lit("sample"))) <= share)
     words = sample.select("lang", F.explode(F.split("text", r"\s+")).alias("word")).where(has_letter(F.col("word")))
     counts = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     return counts.orderBy(F.xxhash64("lang", "word"), "lang", "word").limit(limit)
