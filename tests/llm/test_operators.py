@@ -186,6 +186,15 @@ def test_language_id(spark, documents):
     assert {r["lang_pred"] for r in langid.identify(odd, langid.learn(odd.where("false").select("doc_id", "text", "lang"))).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("langs", [["en"], ["en", "de"], ["en", "de", "fr", "es"]])
+def test_language_stage_keeps_clean_documents(spark, documents, langs):
+    clean = documents.where(F.col("lang").isin(langs))
+    quoting = clean.withColumns({"doc_id": F.col("doc_id") + 1_000_000, "text": F.concat("text", F.lit(' "日本語 für das" def f(x): return x'))})
+    docs = clean.unionByName(quoting).unionByName(docs_of(spark, [(-1, "123 !? 45"), (-2, None)]))
+    letters = {r["doc_id"] for r in docs.where(langid.has_letter(F.col("text"))).collect()}
+    assert {r["doc_id"] for r in queries.language_stage(spark, docs, SF).collect()} == letters
+
+
 def test_language_gradients():
     net = langid.ByteGru(["a", "b", "c"], hidden=3)
     rng = np.random.default_rng(0)

@@ -106,11 +106,10 @@ def op10_masked_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; gone are those without a letter and those whose best language is hardly likelier than the others."""
+    """Documents whose language is known: gone are those without a letter, and no others, however many languages were learned."""
     net = langid.learn(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    least = 1.2 / len(net.langs) if net else 0.0
     judged = langid.identify(docs, net, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    known = judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= least)) if net else judged
+    known = judged.where(F.col("lang_pred") != langid.UNKNOWN) if net else judged
     return known.select(*docs.columns)
 
 
