@@ -332,6 +332,22 @@ def test_exact_duplicates_cases(spark):
     assert exactdedup.exact_duplicates(docs.where("false")).count() == 0
 
 
+def test_dropping_duplicates_tells_rows_with_one_id_apart(spark):
+    rows = [(1, "first"), (5, "first"), (5, "only here"), (6, "twice"), (6, "twice"), (7, "twice"), (None, "no id"), (None, "no id"), (8, None), (9, "")] + [(10, "hot")] * 500
+    want = [(1, "first"), (5, "only here"), (6, "twice"), (8, None), (10, "hot"), (None, "no id")]
+    out = exactdedup.drop_exact_duplicates(docs_of(spark, rows))
+    assert out.columns == docs_of(spark, rows).columns
+    assert sorted([(r["doc_id"], r["text"]) for r in out.collect()], key=str) == sorted(want, key=str)
+
+
+def test_dropping_near_duplicates_tells_rows_with_one_id_apart(spark):
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(1, near), (5, near.upper()), (5, "only here is this text of some words"), (6, "this one stands here two times"), (6, "this one stands here two times"), (None, near)]
+    want = [(1, near), (5, rows[2][1]), (6, rows[3][1]), (None, near)]
+    out = minhash.drop_near_duplicates(docs_of(spark, rows))
+    assert sorted([(r["doc_id"], r["text"]) for r in out.collect()], key=str) == sorted(want, key=str)
+
+
 # WARC
 
 

@@ -57,3 +57,8 @@ def ranked(df: DataFrame, keys: list[str], slice_of: Column, order: list[Column]
     starts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).select(*by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     numbered = df.withColumn("_in", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
     return numbered.join(starts, by).withColumn(out, F.col("_start") + F.col("_in")).drop("_slice", "_in", "_start")
+
+
+def one_of_each(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The first row, in the order of all columns, of those with equal keys (nulls are equal); rows are compared before they are shuffled, so that a key may hold any share of them."""
+    return df.groupBy(*keys).agg(F.min(F.struct(*df.columns)).alias("_row")).select("_row.*")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import shuffle_width, stash
+from waymark.llm.common import one_of_each, shuffle_width, stash
 
 HOT_SHARE, PREFIX = 4096, 32
 
@@ -80,9 +80,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text stands under a smaller identifier.
+    """docs with one row of each text, that of the smallest identifier.
 
-    Rows that repeat both identifier and text are one document: the first of them in the order of all columns stays.
+    Rows are told apart by identifier and text, so that an identifier which stands for several texts loses only those that others
+    have. Rows that repeat both are one document: the first of them in the order of all columns stays.
     """
-    gone = exact_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    marks = exact_duplicates(docs, id_col, text_col).where("group_size > 1").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    marks = stash(marks.agg(F.first("kept").alias("_kept"), F.count(F.lit(1)).alias("_n")).where("NOT _kept OR _n > 1"), "marks")
+    rows = docs.withColumn("_text_sha256", F.sha2(normalised(F.col(text_col)), 256))
+    same = rows[id_col].eqNullSafe(F.col("_id")) & (F.col("_text_sha256") == F.col("_sha"))
+    single = rows.join(marks, same, "left_anti")
+    repeated = marks.where("_kept")
+    if not repeated.isEmpty():
+        single = single.unionByName(one_of_each(rows.join(repeated, same, "left_semi"), [id_col, "_text_sha256"]))
+    return single.select(*docs.columns)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import stash
+from waymark.llm.common import one_of_each, stash
 from waymark.llm.components import components
 
 WORDS, LIKE, OF = 5, 80, 100
@@ -274,6 +274,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, like: int = LIKE, of: i
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with one document, that of the smallest identifier, of each group."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    """docs with one document, that of the smallest identifier, of each group.
+
+    Where identifiers repeat, rows are told apart by identifier and text, and one row of those that repeat both stays.
+    """
+    known = F.col(id_col).isNotNull()
+    if docs.where(known).groupBy(id_col).count().where("count > 1").isEmpty():
+        gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
+        return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    own = F.when(known, F.struct(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("sha")))
+    rows = docs.withColumn("_own", own)
+    rows = stash(one_of_each(rows.where(known), ["_own"]).unionByName(rows.where(~known)), "rows")
+    gone = near_duplicates(rows, id_col="_own", text_col=text_col, **how).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
+    return rows.join(gone, rows["_own"] == F.col("_gone"), "left_anti").select(*docs.columns)
