@@ -120,6 +120,18 @@ def test_packing_cases(spark, tokenizer):
     assert packing.pack(docs.where("false"), tokenizer).count() == 0
 
 
+def test_packing_encodes_the_marker_as_the_tokenizer_does(spark, tokenizer):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer)
+    m = "<|endoftext|>"
+    texts = [f"one {m} two", m, f" {m}", f"{m} ", f"a{m}b  {m}  c", f"{m}{m}", f"a\n {m}\t{m} x", "<|endoftext", f"{m} \x1c{m}"]
+    got = packing.pack(docs_of(spark, enumerate(texts)), tokenizer).toPandas().set_index("doc_id")
+    for i, text in enumerate(texts):
+        ids = np.array(t.encode(text, add_special_tokens=False).ids + [2], "<u4")
+        assert (got.length[i], got.ids_crc32[i]) == (len(ids), zlib.crc32(ids.tobytes())), text
+
+
 def check_packing(got, size=1024):
     s = got.sort_values(["sequence_id", "offset"])
     ends = s.groupby("sequence_id").length.cumsum()

@@ -7,7 +7,7 @@ first. The plan (pattern, repeats) is a small table; each piece finds its sequen
 
 Defined results: null text is empty; a document always has its end token, so an empty one is a piece of one token. Identifiers are
 not looked at: repeated rows are packed as often as they occur, and a null identifier is kept. Very long texts are tokenised whole, piece by piece.
-An empty table gives an empty result.
+A special token's own text, such as `<|endoftext|>`, is that token, as in the tokenizer's encoding with add_special_tokens=False. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -49,7 +49,6 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.clear()
 
     def clear(self) -> None:
