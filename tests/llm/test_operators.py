@@ -182,6 +182,26 @@ def test_mixed_order_keeps_rows_and_columns(spark, documents):
     assert out.columns == documents.columns and out.count() == documents.count()
 
 
+def test_mixture_reaches_the_sequences(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(i, "word " * int(rng.choice([30, 60, 90, 120, 150, 180, 210, 240])), "en", "small" if i % 11 == 0 else "large", 0) for i in range(3300)]
+    docs = spark.createDataFrame(rows, DOCS)
+    weights = {r["source"]: r["weight"] for r in docs.groupBy("source").agg(F.sqrt(F.count("*")).alias("weight")).collect()}
+    target = weights["small"] / sum(weights.values())
+    got = {}
+    for name, stage in (("mixed", queries.mixing_stage), ("unmixed", lambda s, d, _: d.repartition(4, "doc_id"))):
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        own = got[name] = queries.packing_stage(spark, spark.read.parquet(str(tmp_path / name)), SF).toPandas()
+        check_packing(own)
+        assert sorted(own.doc_id) == list(range(3300))
+        own["small"] = own.doc_id % 11 == 0
+    share = {k: v[v.sequence_id < v.sequence_id.max() // 4].small.mean() for k, v in got.items()}
+    assert abs(share["mixed"] - target) < 0.03 < 0.1 < target - share["unmixed"]
+    assert not got["mixed"].sort_values("doc_id").sequence_id.reset_index(drop=True).equals(got["unmixed"].sort_values("doc_id").sequence_id.reset_index(drop=True))
+    empty = spark.read.parquet(str(tmp_path / "mixed")).where("false")
+    assert queries.packing_stage(spark, empty, SF).count() == 0
+
+
 # language ID
 
 

@@ -4,6 +4,7 @@ The tokens of a document are counted once, in tasks. Everything after that works
 `size` numbers whatever the input: patterns of up to three lengths that fill a sequence are enumerated, their repeat counts are
 fitted to the histogram by non-negative least squares and rounded down, and the lengths left over are packed best-fit, longest
 first. The plan (pattern, repeats) is a small table; each piece finds its sequence by its place among the pieces of its length.
+That place is by hash, or (ordered) by the documents' order in their files: then the repeats of all patterns are spread evenly, and sequence ids follow that order.
 
 Defined results: null text is empty; a document always has its end token, so an empty one is a piece of one token. Identifiers are
 not looked at: repeated rows are packed as often as they occur, and a null identifier is kept. Very long texts are tokenised whole, piece by piece.
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +30,8 @@ from waymark.llm.common import ranked, shuffle_width, stash
 
 SIZE, END = 1024, 2
 SLICE_BYTES, CACHE_WORDS = 8_000_000, 300_000
+GOLDEN = 0.6180339887498949  # steps of it spread evenly over 0 .. 1, so that patterns with few repeats don't meet
+REPEATS = 100_000  # of a pattern that one row of a plan's table stands for
 
 #: A space that white space or the end follows: only there can a cut before every space differ from the tokenizer's own.
 ODD_SPACE = r" ($|\s|[\x0b\x1c-\x1f\x{85}]|\p{Z})"
@@ -109,11 +112,11 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: each document's ids and the end token, cut so that only the first piece is shorter than size."""
+def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and the columns of keep: each document's ids and the end token, cut so that only the first piece is shorter than size."""
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     kind = docs.schema[id_col].dataType
-    out = T.StructType([T.StructField("doc_id", kind), T.StructField("piece", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in columns[2:]]])
+    out = T.StructType([T.StructField("doc_id", kind), T.StructField("piece", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in columns[2:]], *[docs.schema[c] for c in keep]])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_tokens(tokenizer)
@@ -134,9 +137,11 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, id
                         length.append(b - a)
                         crc.append(zlib.crc32(own[a:b].tobytes()))
                         a, b = b, b + size
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(where, pa.int64())), pa.array(number, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)]], names=columns)
+                rows = pa.array(where, pa.int64())
+                kept = [batch.column(2 + i).take(rows) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([names.take(rows), pa.array(number, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)], *kept], names=[*columns, *keep])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(cut, out)
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *keep).mapInArrow(cut, out)
 
 
 def patterns(size: int) -> np.ndarray:
@@ -273,10 +278,53 @@ def assign(cut: DataFrame, steps: list[tuple[int, list[int]]]) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of docs."""
-    cut = stash(pieces(docs, tokenizer, size, end, id_col, text_col), "pieces")
+def in_order(docs: DataFrame, out: str) -> tuple[DataFrame, int]:
+    """docs with out, a row's place in the order of the files (by part number, then name) and the rows in them, and a bound of the places."""
+    rows = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    sizes = rows.groupBy("_file").agg((F.max("_row") + 1).alias("_n"))
+    name = F.element_at(F.split("_file", "/"), -1)
+    number = F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long")
+    upto = Window.orderBy(F.asc_nulls_first(number), name, "_file").rowsBetween(Window.unboundedPreceding, 0)  # a row for each file
+    starts = stash(sizes.select("_file", "_n", F.sum("_n").over(upto).alias("_upto")), "files")
+    total = starts.agg(F.max("_upto")).first()[0] or 0
+    starts = starts.select("_file", (F.col("_upto") - F.col("_n")).alias("_start"))
+    # starts: a row for each file
+    return rows.join(F.broadcast(starts), "_file").withColumn(out, F.col("_start") + F.col("_row")).drop("_file", "_row", "_start"), total
+
+
+def sequences(spark: SparkSession, steps: list[tuple[int, list[int]]]) -> DataFrame:
+    """length, sequence_id, offset: the places of a plan. Repeats of a pattern are spread evenly over the sequences, so that every part of them holds all patterns."""
+    rows = []
+    for i, (repeats, lengths) in enumerate(steps):
+        offsets = [sum(lengths[:j]) for j in range(len(lengths))]
+        rows += [(i, repeats, at, min(at + REPEATS, repeats), lengths, offsets) for at in range(0, repeats, REPEATS)]
+    chunks = spark.createDataFrame(rows, "_step int, _repeats long, _from long, _to long, _lengths array<long>, _offsets array<long>").repartition(shuffle_width(spark))
+    each = chunks.select("*", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1)).alias("_repeat")).withColumn("_at", (F.col("_repeat") + F.col("_step") * GOLDEN % 1) / F.col("_repeats"))
+    slices = 4 * shuffle_width(spark)
+    each = ranked(each, [], F.floor(F.col("_at") * slices), [F.asc(c) for c in ("_at", "_step", "_repeat")], "sequence_id")
+    both = F.explode(F.arrays_zip(F.col("_lengths").alias("length"), F.col("_offsets").alias("offset"))).alias("_x")
+    return each.select("sequence_id", both).select("_x.length", "sequence_id", "_x.offset")
+
+
+def assign_in_order(cut: DataFrame, steps: list[tuple[int, list[int]]], place: str, places: int) -> DataFrame:
+    """cut (pieces with a column place, under places) with sequence_id and offset by a plan: of each length, earlier pieces come to earlier sequences."""
+    spark = cut.sparkSession
+    slices, total = 4 * shuffle_width(spark), max(1, sum(n for n, _ in steps))
+    by_place = ranked(cut, ["length"], F.floor(F.col(place) * slices / max(1, places)), [F.asc(place), F.asc("piece")], "_rank")
+    free = ranked(sequences(spark, steps), ["length"], F.floor(F.col("sequence_id") * slices / total), [F.asc("sequence_id"), F.asc("offset")], "_rank")
+    return by_place.join(free, ["length", "_rank"]).select(*[c for c in cut.columns if c != place], "sequence_id", "offset")
+
+
+def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, id_col: str = "doc_id", text_col: str = "text", ordered: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of docs.
+
+    ordered: sequence ids follow the order in which docs, read from files, stand there; else pieces are placed by hash.
+    """
+    places, keep = 0, ()
+    if ordered:
+        (docs, places), keep = in_order(docs, "_place"), ("_place",)
+    cut = stash(pieces(docs, tokenizer, size, end, id_col, text_col, keep), "pieces")
     counts = np.zeros(size + 1, np.int64)
     for row in cut.groupBy("length").count().collect():  # size rows at most
         counts[row["length"]] = row["count"]
-    return assign(cut, plan(counts))
+    return assign_in_order(cut, plan(counts), "_place", places) if ordered else assign(cut, plan(counts))
