@@ -97,6 +97,19 @@ def test_secret_forest_learns_and_survives_no_labels(spark):
     assert secrets.scan(docs.where("false"), queries.known_finding()).count() == 0
 
 
+def test_secret_forest_learns_from_one_positive_among_many_negatives(spark):
+    rows = [(i, f"some words and card {10**15 + 7919 * i} here") for i in range(9000)] + [(9000, "some words password=d72a491f71c7584344 then")]
+    got = secrets.scan(docs_of(spark, rows), queries.known_finding()).where("secret").collect()
+    assert [r["doc_id"] for r in got] == [9000]
+
+
+def test_secret_marks_come_from_all_words(spark):
+    words = ["".join("bcdfghjklmnpqrstvwxz"[i // 20**k % 20] for k in range(4)) for i in range(6000)]
+    rows = [(i, f"{w} " * 3) for i, w in enumerate(words)] + [(9000 + i, f"a{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}quu") for i in range(600)]
+    marks = secrets.corpus_tables(docs_of(spark, rows))[1]
+    assert marks[(16 * 26 + 20) * 26 + 20]  # quu: often, but each of its words only once
+
+
 # packing
 
 

@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 from waymark.llm.common import stash
 
 LEAST, LONG = 16, 22
-TREES, DEPTH, BINS, TRIED, MOST_LABELLED = 12, 4, 8, 5, 4000
-DICTIONARY_WORDS = 5000
+TREES, DEPTH, BINS, TRIED, MOST_OF_A_LABEL = 12, 4, 8, 5, 2000
 #: Words beside a secret, and parts of paths that hold samples.
 BESIDE = r"(?i)(token|passw|pwd|secret|api|key|auth|bearer|credential)"
 SAMPLE_PATH = r"(?i)(test|example|sample|mock|fixture|demo)"
@@ -51,8 +50,8 @@ def _code(char: Column) -> Column:
     return F.ascii(char) - 97
 
 
-def corpus_tables(docs: DataFrame, text_col: str = "text", words: int = DICTIONARY_WORDS) -> tuple[list[float], list[int]]:
-    """Log-probabilities of the 26 * 26 letter transitions over all words, and a mark for each of the 26^3 letter triples of the most frequent words."""
+def corpus_tables(docs: DataFrame, text_col: str = "text") -> tuple[list[float], list[int]]:
+    """Log-probabilities of the 26 * 26 letter transitions over all words, and a mark for each of the 26^3 letter triples that all words hold more often than the mean triple."""
     counts = stash(word_counts(docs, text_col), "words")
     at = F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("i")
     pairs = counts.select("word", "n", at).groupBy((_code(F.substring("word", F.col("i"), F.lit(1))) * 26 + _code(F.substring("word", F.col("i") + 1, F.lit(1)))).alias("pair")).agg(F.sum("n").alias("n"))
@@ -60,12 +59,12 @@ def corpus_tables(docs: DataFrame, text_col: str = "text", words: int = DICTIONA
     for r in pairs.collect():  # 676 rows at most
         seen[r["pair"]] += r["n"]
     logs = [math.log(seen[i] / sum(seen[i // 26 * 26 : i // 26 * 26 + 26])) for i in range(676)]
-    top = counts.where(F.length("word") >= 3).orderBy(F.desc("n"), "word").limit(words)
+    long = counts.where(F.length("word") >= 3)
     triple = F.explode(F.sequence(F.lit(1), F.length("word") - 2)).alias("i")
     coded = sum((_code(F.substring("word", F.col("i") + j, F.lit(1))) * 26 ** (2 - j) for j in range(3)), F.lit(0))
-    marks = [0] * 26**3
-    for r in top.select("word", triple).select(coded.alias("t")).distinct().collect():  # 26^3 rows at most
-        marks[r["t"]] = 1
+    triples = {r["t"]: r["n"] for r in long.select("word", "n", triple).groupBy(coded.alias("t")).agg(F.sum("n").alias("n")).collect()}  # 26^3 rows at most
+    usual = sum(triples.values()) / 26**3
+    marks = [int(triples.get(t, 0) > usual) for t in range(26**3)]
     return logs, marks
 
 
@@ -114,21 +113,31 @@ def features(found: DataFrame, logs: list[float], marks: list[int]) -> DataFrame
 
 
 def bin_edges(rows: DataFrame) -> dict[str, list[float]]:
-    """Distinct inner quantiles of each feature over the labelled sample."""
-    at = [i / BINS for i in range(1, BINS)]
-    got = rows.agg(*[F.percentile(f, F.array(*[F.lit(p) for p in at])).alias(f) for f in FEATURES]).first()
-    return {f: sorted(set(got[f] or [])) for f in FEATURES}
+    """Distinct inner quantiles of each feature over either label of the sample."""
+    at = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
+    got = rows.agg(*[F.percentile(F.when(F.col("label") == x, F.col(f)), at).alias(f"{f}{x}") for f in FEATURES for x in (0, 1)]).first()
+    return {f: sorted({*(got[f"{f}0"] or []), *(got[f"{f}1"] or [])}) for f in FEATURES}
+
+
+def balanced(sample: DataFrame) -> DataFrame:
+    """sample with each, a whole weight by which the rarer label counts about as much as the other."""
+    n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}  # two rows
+    most = max(n.values(), default=1)
+    return sample.withColumn("each", F.when(F.col("label") == 1, max(1, most // n.get(1, most))).otherwise(max(1, most // n.get(0, most))))
 
 
 def grow(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH) -> list[dict]:
     """A forest for labelled (FEATURES, label 0/1, key): for each tree {node: ("split", feature, edge) or ("leaf", share of positives)}.
 
-    At most MOST_LABELLED findings, chosen by the hash of their key. Node n has children 2n (values up to the edge) and 2n + 1.
+    At most MOST_OF_A_LABEL findings of either label, chosen by the hash of their key, so that the rarer one is never crowded out. Leaves are
+    shares of weights in that sample, not in the corpus. Node n has children 2n (values up to the edge) and 2n + 1.
     """
-    sample = stash(labelled.select("key", "label", *FEATURES).orderBy(F.xxhash64("key"), "key").limit(MOST_LABELLED), "labelled")
+    drawn = [labelled.where(F.col("label") == x).select("key", "label", *FEATURES).orderBy(F.xxhash64("key"), "key").limit(MOST_OF_A_LABEL) for x in (0, 1)]
+    sample = balanced(stash(drawn[0].unionByName(drawn[1]), "labelled"))
     edges = bin_edges(sample)
     draw = F.pmod(F.xxhash64("key", "tree"), F.lit(1000)) / 1000.0  # Poisson(1) weights
-    weight = F.when(draw < 0.368, 0).when(draw < 0.736, 1).when(draw < 0.920, 2).when(draw < 0.981, 3).otherwise(4)
+    times = F.when(draw < 0.368, 0).when(draw < 0.736, 1).when(draw < 0.920, 2).when(draw < 0.981, 3).otherwise(4)
+    weight = F.when(F.col("each") > 1, F.col("each") * F.greatest(times, F.lit(1))).otherwise(times)  # no tree goes without a rare label
     rows = sample.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("w", weight).where("w > 0")
     rows = stash(rows.withColumn("p", F.col("w") * F.col("label")), "weighted")
     binned = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), _bin(F.col(f), edges[f]).alias("b")) for i, f in enumerate(FEATURES)])).alias("x")
@@ -147,7 +156,7 @@ def grow(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH) -> list[di
         if not open_nodes:
             break
         histogram = placed.select("tree", "node", "w", "p", binned).where(tried).groupBy("tree", "node", "x.f", "x.b").agg(F.sum("w").alias("n"), F.sum("p").alias("p"))
-        bins = {(r["tree"], r["node"], r["f"], r["b"]): (float(r["n"]), float(r["p"])) for r in histogram.collect()}  # trees * 2^level * FEATURES * BINS rows
+        bins = {(r["tree"], r["node"], r["f"], r["b"]): (float(r["n"]), float(r["p"])) for r in histogram.collect()}  # trees * 2^level * FEATURES * 2 * BINS rows
         for (t, node), (n, p) in open_nodes.items():
             found = _best_split(n, p, {f: [bins.get((t, node, f, b), (0.0, 0.0)) for b in range(len(edges[name]))] for f, name in enumerate(FEATURES)})
             if found:
