@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: An Arrow batch on its way to Python: texts may be long, and the tasks of an executor share its memory.
+BATCH_ROWS, BATCH_BYTES = 500, 2_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,14 +36,58 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/waymark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: lineage ends there, and a lost executor costs nothing before it."""
+def stash(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """df, written as Parquet in the shared folder and read again: lineage ends there, and a lost executor costs nothing before it.
+
+    few: rows are few beside what they come from, and are rebalanced into few files.
+    """
     spark, schema = df.sparkSession, df.schema
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df = df.hint("rebalance") if few else df
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Within it, plans send Python no more than BATCH_ROWS rows or BATCH_BYTES bytes at once."""
+    bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {k: spark.conf.get(k) for k in bounds}
+    try:
+        for k, v in bounds.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in batches of about size bytes of a text or binary column: small ones are joined, large ones cut, a row is never cut."""
+    held, n = [], 0
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at, done = 0, 0
+        while at < batch.num_rows:
+            to = int(np.searchsorted(upto, done + size - n, side="right"))
+            if to == at and not held:
+                to = at + 1
+            if to > at:
+                held.append(batch.slice(at, to - at))
+                n += int(upto[to - 1]) - done
+                at, done = to, int(upto[to - 1])
+            if at < batch.num_rows or n >= size:
+                yield joined()
+                held, n = [], 0
+    if held:
+        yield joined()
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

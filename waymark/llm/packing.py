@@ -16,7 +16,6 @@ from __future__ import annotations
 import functools
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,69 +25,99 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import ranked, shuffle_width, stash
+from waymark.llm.common import ranked, shuffle_width, sliced, stash
 
 SIZE, END = 1024, 2
-SLICE_BYTES, CACHE_WORDS = 8_000_000, 300_000
+SLICE_BYTES, JOINED = 6_000_000, 1000
 GOLDEN = 0.6180339887498949  # steps of it spread evenly over 0 .. 1, so that patterns with few repeats don't meet
 REPEATS = 100_000  # of a pattern that one row of a plan's table stands for
 
 #: A space that white space or the end follows: only there can a cut before every space differ from the tokenizer's own.
 ODD_SPACE = r" ($|\s|[\x0b\x1c-\x1f\x{85}]|\p{Z})"
 CUT = re.compile(r" (?=\S)")
+#: Where a run of letters ends, and where one begins a line: the tokenizer always cuts there, too.
+BORDER = r"(\p{L})([^\p{L} ])|(\n)(\p{L})"
 
 
 class WordTokens:
     """Token ids of texts, by way of their distinct words.
 
-    The tokenizer never joins what stands before a space with the space and the word after it, so a text is cut before each space
-    that a character other than white space follows, and each distinct chunk is encoded once and remembered (up to CACHE_WORDS).
+    A byte-level tokenizer never joins what stands before a space with the space and the word after it, so texts are cut before each space
+    that a character other than white space follows (and after letters, see BORDER), and each distinct chunk of a slice is encoded once: many chunks in
+    one text, whose ids are told apart by the bytes that each token stands for. Tokenizers of other kinds encode whole texts.
     """
 
     def __init__(self, path: str):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.ends = array("I"), array("q", [0])
-
-    def entries(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        missing = [w for w in words if w not in known]
-        for at in range(0, len(missing), 10_000):
-            part = missing[at : at + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = len(self.ends) - 1
-                self.ids.extend(e.ids)
-                self.ends.append(len(self.ids))
-        return np.fromiter((known[w] for w in words), np.int64, len(words))
+        with open(path, encoding="utf-8") as f:
+            how = json.load(f)
+        before = how.get("pre_tokenizer") or {}
+        self.by_words = how.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():  # a byte is a character there
+            self.bytes_of[i] = len(token)
+        self.added = [x["content"] for x in how.get("added_tokens", [])]
+        for x in how.get("added_tokens", []):
+            self.bytes_of[x["id"]] = len(x["content"].encode())
+            self.by_words = self.by_words and not (x.get("lstrip") or x.get("rstrip") or x.get("single_word") or any(c.isspace() for c in x["content"]))
+
+    def each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's ids end."""
+        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.cumsum([len(x) for x in ids], dtype=np.int64)
+
+    def spaced(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each word with a space before it, and where each word's ids end."""
+        starts = np.arange(0, len(words) + JOINED, JOINED).clip(max=len(words))
+        lines = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(starts, pa.int64()), words), pa.scalar(" ", words.type)).to_pylist()
+        ids, _ = self.each([f" {x}" for x in lines])
+        upto, byte_ends = np.cumsum(self.bytes_of[ids]), np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        ends = np.searchsorted(upto, byte_ends) + 1
+        if len(ends) and not (len(upto) >= ends[-1] and (upto[ends - 1] == byte_ends).all()):
+            raise ValueError("the tokenizer doesn't cut texts before the spaces between words")
+        return ids, ends
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and where each text's ids end."""
-        if len(self.known) > CACHE_WORDS:
-            self.clear()
+        if not self.by_words:
+            return self.each(texts.to_pylist())
         odd = pc.match_substring_regex(texts, ODD_SPACE)
-        parts = pc.split_pattern(texts, " ")
+        whole = odd
+        for token in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, token))
+        # a border becomes two spaces, so that an empty chunk says that no space stands before the next one
+        parts = pc.split_pattern(pc.if_else(whole, texts, pc.replace_substring_regex(texts, BORDER, r"\1\3  \2\4")), " ")
         if pc.any(odd).as_py():
             cut = iter([CUT.split(t) for t in texts.filter(odd).to_pylist()])
             spliced = [next(cut) if o else p for o, p in zip(odd.to_pylist(), parts.to_pylist(), strict=True)]
-            parts = pa.array(spliced, pa.large_list(pa.string()))
+            parts = pa.array(spliced, pa.large_list(pa.large_string()))
         starts = np.asarray(parts.offsets, np.int64)
-        coded = parts.flatten().dictionary_encode()
-        codes, words = np.asarray(coded.indices, np.int64), coded.dictionary.to_pylist()
         starts = starts - starts[0]
-        first = starts[:-1]  # a text has at least one chunk; its first has no space before it
-        by_code = self.entries([f" {w}" for w in words])
-        entry = by_code[codes]
-        heads = [words[c] for c in codes[first]]
-        entry[first] = self.entries(heads)
-        ids, ends = np.frombuffer(self.ids, np.uint32) if len(self.ids) else np.zeros(0, np.uint32), np.frombuffer(self.ends, np.int64)
+        coded = parts.flatten().dictionary_encode()
+        codes, n = np.asarray(coded.indices, np.int64), len(coded.dictionary)
+        no_space = np.zeros(len(codes), bool)
+        no_space[starts[:-1]] = True  # a text has at least one chunk; its first has no space before it
+        sizes = pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False)
+        border = (sizes[codes] == 0) & ~no_space
+        no_space[1:] |= border[:-1]
+        spaced = ~no_space & ~border
+        heads = np.flatnonzero(np.bincount(codes[no_space], minlength=n))
+        words = np.flatnonzero(np.bincount(codes[spaced], minlength=n))
+        head_ids, head_ends = self.each(coded.dictionary.take(pa.array(heads)).to_pylist())
+        ids, ends = self.spaced(coded.dictionary.take(pa.array(words)))
+        ids, ends = np.concatenate([head_ids, ids]), np.concatenate([[0, 0], head_ends, len(head_ids) + ends])
+        place = np.zeros((2, n), np.int64)
+        place[0, words] = 1 + len(heads) + np.arange(len(words))
+        place[1, heads] = 1 + np.arange(len(heads))
+        entry = place[no_space.astype(np.int8), codes]
+        entry[border] = 0
         begin, length = ends[entry], ends[entry + 1] - ends[entry]
         upto = np.cumsum(length)
         total = int(upto[-1]) if len(upto) else 0
@@ -98,20 +127,10 @@ class WordTokens:
 
 @functools.cache
 def word_tokens(path: str) -> WordTokens:
-    """One for each worker process: later tasks of it find the words of earlier ones."""
+    """One for each worker process."""
     return WordTokens(path)
 
 
-def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < len(texts):
-        done = int(size[at - 1]) if at else 0
-        to = max(at + 1, int(np.searchsorted(size, done + SLICE_BYTES, side="right")))
-        yield at, to
-        at = to
-
-
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and the columns of keep: each document's ids and the end token, cut so that only the first piece is shorter than size."""
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -120,26 +139,24 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, id
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_tokens(tokenizer)
-        for batch in batches:
-            names, texts = batch.column(0), batch.column(1)
-            for at, to in _slices(texts):
-                flat, ends = words.encode(texts.slice(at, to - at).cast(pa.large_string()))
-                where, number, start, length, crc = [], [], [], [], []
-                begin = 0
-                for i, e in enumerate(ends.tolist()):
-                    own = np.append(flat[begin:e], np.uint32(end)).astype("<u4")
-                    begin, n, a = e, len(own), 0
-                    b = n % size or min(n, size)
-                    while a < n:
-                        where.append(at + i)
-                        number.append(0 if a == 0 else number[-1] + 1)
-                        start.append(a)
-                        length.append(b - a)
-                        crc.append(zlib.crc32(own[a:b].tobytes()))
-                        a, b = b, b + size
-                rows = pa.array(where, pa.int64())
-                kept = [batch.column(2 + i).take(rows) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([names.take(rows), pa.array(number, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)], *kept], names=[*columns, *keep])
+        for batch in sliced(batches, 1, SLICE_BYTES):
+            flat, ends = words.encode(batch.column(1).cast(pa.large_string()))
+            where, number, start, length, crc = [], [], [], [], []
+            begin = 0
+            for i, e in enumerate(ends.tolist()):
+                own = np.append(flat[begin:e], np.uint32(end)).astype("<u4")
+                begin, n, a = e, len(own), 0
+                b = n % size or min(n, size)
+                while a < n:
+                    where.append(i)
+                    number.append(0 if a == 0 else number[-1] + 1)
+                    start.append(a)
+                    length.append(b - a)
+                    crc.append(zlib.crc32(own[a:b].tobytes()))
+                    a, b = b, b + size
+            rows = pa.array(where, pa.int64())
+            kept = [batch.column(2 + i).take(rows) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(number, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)], *kept], names=[*columns, *keep])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *keep).mapInArrow(cut, out)
 
