@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import geojoin, layout, lookup, merge, metrics, search, tables
+from waymark.operators import geojoin, layout, lookup, merge, metrics, pages, search, tables
 from waymark.streaming import streams
 
 FAC = "id int, uf string, municipio string, unidade string, endereco string, cnes string, atendimentos_raw string, lat double, lng double"
@@ -41,6 +41,76 @@ def test_merge_keeps_coordinates_unless_the_address_changed(spark):
     assert merge.apply(stored, changes).count() == 4
 
 
+def test_merge_carries_all_columns_and_keeps_a_failed_status(spark):
+    wide = FAC + ", geocode_status string, telefones string, confianca_ocr int, atualizado_em string"
+    stored = spark.createDataFrame([(1, "SP", "A", "U1", "Rua 1", "1", "x", None, None, "falhou", "t1", 80, "old"), (2, "SP", "A", "U2", "Rua 2", "2", "x", 1.0, 2.0, "ok", "t2", 90, "old"), (3, "RJ", "B", "U3", "Rua 3", "3", "x", 1.0, 2.0, "ok", "t3", 70, "old")], wide)
+    incoming = spark.createDataFrame([(1, "SP", "A", "U1", "Rua 1", "1", "x", "new1"), (2, "SP", "A", "U2", "Rua 9", "2", "x", "t2"), (7, "SP", "A", "U9", "Rua 7", None, "y", "new9")], "seq int, uf string, municipio string, unidade string, endereco string, cnes string, atendimentos_raw string, telefones string")
+    after = merge.apply(stored, merge.number_inserts(merge.merge(stored, incoming, F.lit("now")), 10))
+    assert after.columns == stored.columns
+    got = {r.id: r for r in after.collect()}
+    assert set(got) == {1, 2, 10}
+    assert (got[1].geocode_status, got[1].telefones, got[1].confianca_ocr, got[1].atualizado_em) == ("falhou", "new1", 80, "now")
+    assert (got[2].geocode_status, got[2].lat, got[2].endereco) == ("pendente", None, "Rua 9")
+    assert (got[10].geocode_status, got[10].unidade, got[10].confianca_ocr) == ("pendente", "U9", None)
+
+
+def test_inserts_are_numbered_in_order_without_dense_sequence(spark):
+    changes = spark.createDataFrame([("insert", None, i * i * 1000, "SP", "A", str(i), None) for i in range(200)] + [("delete", 5, None, "SP", "A", "x", None)], "op string, id long, seq long, uf string, municipio string, unidade string, cnes string")
+    got = merge.number_inserts(changes, 1000, 8)
+    assert [r.id for r in got.where("op = 'insert'").orderBy("seq").collect()] == list(range(1000, 1200))
+    assert got.where("op = 'delete'").first().id == 5
+
+
+def test_control_rows_have_hash_and_times(spark):
+    incoming = spark.createDataFrame([("SP", 1), ("SP", 1), ("RJ", 2)], "uf string, seq int")
+    sources = spark.createDataFrame([("SP", "h1", "t1")], "uf string, pdf_hash string, site_ts string")
+    got = merge.control_rows(incoming, F.col("seq") == 2, sources, F.lit("now"))
+    assert rows(got, "uf", "total", "status", "pdf_hash", "atualizado_em", "sincronizado_em") == [("RJ", 1, "ok_ocr", None, None, "now"), ("SP", 2, "ok", "h1", "t1", "now")]
+
+
+def test_origins_have_their_own_reach_state_and_service(spark):
+    fac = spark.createDataFrame([(1, "SP", "M", "U", None, None, "Botrópico", 0.0, 0.1), (2, "RJ", "M", "U", None, None, "Crotálico", 0.0, 0.2), (3, "SP", "M", "U", None, None, "Crotálico", 0.0, 1.0)], FAC)
+    ori = spark.createDataFrame([(1, 0.0, 0.0, 15_000.0, None, None), (2, 0.0, 0.0, 30_000.0, "rj", None), (3, 0.0, 0.0, None, None, "cascavel"), (4, 0.0, 0.0, 900_000.0, "SP", None), (5, 0.0, 0.0, None, None, "gato")], "origin_id int, lat double, lng double, metres double, uf string, service string")
+    assert rows(geojoin.radius_join(ori, fac, 50_000), "origin_id", "id") == [(1, 1), (2, 2), (3, 2), (4, 1), (4, 3)]
+    geojoin.register_table_function(fac)
+    assert rows(spark.sql("SELECT id FROM facilities_near(0D, 0D, 150000D, NULL, 'Crotálico')")) == [(2,), (3,)]
+
+
+def test_city_fallback_by_part_of_a_name(spark):
+    fac = spark.createDataFrame([(1, "SP", "São Paulo", "A", None, None, "Botrópico", None, None), (2, "SP", "Itu", "B", None, None, "Crotálico", None, None), (3, "RJ", "Paulo", "C", None, None, "", None, None)], FAC)
+    asked = spark.createDataFrame([(1, None, "paulo", None, None), (2, None, "TU", "sp", None), (3, None, "", None, "cascavel"), (4, None, "sao paulo x", None, None), (5, 1.0, "paulo", None, None)], "request_id int, lat double, city string, uf string, service string")
+    assert rows(search.city_fallback(asked, fac), "request_id", "id", "rank") == [(1, 1, 2), (1, 3, 1), (2, 2, 1), (3, 2, 1)]
+
+
+def test_memo_asks_once(spark):
+    asked = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id int, query_key string")
+    reads = spark.sparkContext.accumulator(0)
+
+    def answer(frames):
+        for f in frames:
+            reads.add(len(f))
+            yield f.assign(lat=1.0, lng=2.0)
+
+    resolver = asked.select("query_key").distinct().mapInPandas(answer, "query_key string, lat double, lng double")
+    got = lookup.memoised(asked, resolver)
+    assert rows(got, "id", "query_key", "lat", "lookups") == [(1, "a", 1.0, 1), (2, "a", 1.0, 1), (3, "b", 1.0, 1)]
+    assert reads.value == 2
+    cache = spark.createDataFrame([("a", 5, "2024-01-01"), ("b", 1, "2024-03-01")], "query_key string, hit_count long, ultimo_hit string")
+    uses = spark.createDataFrame([("a", "2024-02-01", "hit"), ("a", "2024-02-03", "hit"), ("b", "2024-02-01", "hit"), ("b", "2024-05-01", "miss")], "query_key string, ts string, state string")
+    assert rows(lookup.count_usage(cache, uses)) == [("a", 7, "2024-02-03"), ("b", 2, "2024-03-01")]
+
+
+def test_updated_at_through_tags_and_space(spark):
+    html = ["<p>Atualizado em 10/02/2026 18h04</p>", "Atualizado <b>em</b> 10/02/2026 18h04", "ATUALIZADO\n em\xa010/02/2026<br>8h04.", "atualizado em 99/02/2026 18h04", "nada", None]
+    got = spark.createDataFrame(list(enumerate(html)), "i int, h string").orderBy("i").select(F.date_format(pages.updated_at(F.col("h")), "dd HH:mm")).collect()
+    assert [r[0] for r in got] == ["10 21:04", "10 21:04", "10 11:04", None, None, None]
+
+
+def test_more_than_a_million_edges(spark):
+    one = spark.range(1).select(layout.below(F.transform(F.sequence(F.lit(0), F.lit(2**20 + 5)), lambda x: x.cast("double")), F.lit(1048579.5))).first()
+    assert one[0] == 1048580
+
+
 def test_radius_join_is_the_brute_force(spark):
     fac = spark.range(400).select(F.col("id").cast("int").alias("id"), (F.rand(1) * 4 - 89.9).alias("lat"), (F.rand(2) * 360 - 180).alias("lng"))  # around a pole, over the date line
     ori = spark.range(20).select(F.col("id").alias("origin_id"), (F.rand(3) * 4 - 89.9).alias("lat"), (F.rand(4) * 360 - 180).alias("lng"))

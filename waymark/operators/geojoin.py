@@ -6,11 +6,13 @@ an equi-join on cells with an exact filter, whatever the latitude. Origins go to
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.functions.geo import arc, chord, chord_of, point
-from waymark.functions.text import services
+from waymark.functions.geo import RADIUS, arc, chord, chord_of, point
+from waymark.functions.text import canonical_service, services
 
 XYZ = ("_x", "_y", "_z")
 
@@ -40,30 +42,38 @@ def radius_search(facilities: DataFrame, lat: float, lng: float, metres: float =
 
 
 def _constants(lat: float, lng: float) -> tuple[float, float, float]:
-    import math
-
-    from waymark.functions.geo import RADIUS
-
     a, b = math.radians(lat), math.radians(lng)
     return RADIUS * math.cos(a) * math.cos(b), RADIUS * math.cos(a) * math.sin(b), RADIUS * math.sin(a)
 
 
-def radius_join(origins: DataFrame, facilities: DataFrame, metres: float, k: int | None = None) -> DataFrame:
-    """origin_id, id, distance_m (and rank) of all pairs within metres; with k, each origin's k nearest of them.
+def radius_join(origins: DataFrame, facilities: DataFrame, metres: float = 50_000, k: int | None = None, most: float = 200_000) -> DataFrame:
+    """origin_id, id, distance_m (and rank) of all pairs within reach; with k, each origin's k nearest of them.
 
-    A dense cell can hold very many facilities: the join is a plain equi-join on cells, which adaptive execution splits, and for k the
-    ranks are limited before the shuffle by origin.
+    Origins may have a reach of their own (metres, at most `most`; null: the argument), a state (uf, in either case) and a service (any of its names; one
+    that is unknown fits no facility); null asks for nothing. A dense cell can hold very many facilities: the join is a plain equi-join on cells, which
+    adaptive execution splits, and for k the ranks are limited before the shuffle by origin.
     """
-    edge = chord_of(metres)
+    reach = F.least(F.coalesce("metres", F.lit(float(metres))), F.lit(float(most))) if "metres" in origins.columns else F.lit(float(metres))
+    edge = chord_of(most if "metres" in origins.columns else metres)
     cell = [F.floor(F.col(c) / edge) for c in XYZ]
     here = located(facilities).withColumns({f"_c{i}": c for i, c in enumerate(cell)})
     step = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    there = located(origins).select("origin_id", *[F.col(c).alias(f"o{c}") for c in XYZ], *[c.alias(f"_b{i}") for i, c in enumerate(cell)])
+    asked = {"_metres": reach}
+    if "uf" in origins.columns:
+        asked["_uf"] = F.upper("uf")
+    if "service" in origins.columns:
+        asked |= {"_service": canonical_service(F.col("service")), "_any_service": F.col("service").isNull()}
+    there = located(origins).select("origin_id", *[c.alias(n) for n, c in asked.items()], *[F.col(c).alias(f"o{c}") for c in XYZ], *[c.alias(f"_b{i}") for i, c in enumerate(cell)])
     for i in range(3):
         there = there.withColumn(f"_c{i}", F.explode(F.transform(step, _shifted(f"_b{i}"))))
-    pairs = there.drop("_b0", "_b1", "_b2").join(here.select("id", *XYZ, "_c0", "_c1", "_c2"), ["_c0", "_c1", "_c2"])
+    read = [F.col("uf")] * ("_uf" in asked) + [services(F.col("atendimentos_raw")).alias("_services")] * ("_service" in asked)
+    pairs = there.drop("_b0", "_b1", "_b2").join(here.select("id", *XYZ, "_c0", "_c1", "_c2", *read), ["_c0", "_c1", "_c2"])
+    if "_uf" in asked:
+        pairs = pairs.where(F.col("_uf").isNull() | (F.col("_uf") == F.col("uf")))
+    if "_service" in asked:
+        pairs = pairs.where(F.col("_any_service") | F.coalesce(F.array_contains("_services", F.col("_service")), F.lit(False)))
     d = arc(chord(tuple(F.col(c) for c in XYZ), tuple(F.col(f"o{c}") for c in XYZ)))
-    near = pairs.select("origin_id", "id", d.alias("distance_m")).where(F.col("distance_m") <= metres)
+    near = pairs.withColumn("distance_m", d).where(F.col("distance_m") <= F.col("_metres")).select("origin_id", "id", "distance_m")
     if k is None:
         return near
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("origin_id").orderBy("distance_m", "id"))).where(F.col("rank") <= k)
@@ -74,19 +84,22 @@ def _shifted(name: str):
 
 
 TABLE_FUNCTION = """
-CREATE OR REPLACE TEMPORARY FUNCTION facilities_near(p_lat DOUBLE, p_lng DOUBLE, p_metres DOUBLE DEFAULT 50000, p_uf STRING DEFAULT NULL, p_limit INT DEFAULT 50)
+CREATE OR REPLACE TEMPORARY FUNCTION facilities_near(p_lat DOUBLE, p_lng DOUBLE, p_metres DOUBLE DEFAULT 50000, p_uf STRING DEFAULT NULL, p_service STRING DEFAULT NULL, p_limit INT DEFAULT 50)
 RETURNS TABLE (id INT, uf STRING, municipio STRING, distance_m DOUBLE)
 RETURN SELECT id, uf, municipio, distance_m FROM (
-  SELECT id, uf, municipio, distance_m, row_number() OVER (ORDER BY distance_m, id) AS place FROM (
-    SELECT f.id, f.uf, f.municipio, 2 * 6378168.0D * asin(least(1.0D, sqrt(
-      pow(cos(radians(f.lat)) * cos(radians(f.lng)) - cos(radians(p_lat)) * cos(radians(p_lng)), 2) +
-      pow(cos(radians(f.lat)) * sin(radians(f.lng)) - cos(radians(p_lat)) * sin(radians(p_lng)), 2) +
-      pow(sin(radians(f.lat)) - sin(radians(p_lat)), 2)) / 2)) AS distance_m
-    FROM facilities f WHERE f.lat IS NOT NULL AND f.lng IS NOT NULL AND (p_uf IS NULL OR f.uf = upper(p_uf))) d
+  SELECT *, row_number() OVER (ORDER BY distance_m, id) AS place FROM (
+    SELECT *, {diameter}D * asin(least(1.0D, sqrt(pow(_x - at_x, 2) + pow(_y - at_y, 2) + pow(_z - at_z, 2)) / {diameter}D)) AS distance_m FROM (
+      SELECT f.*, {radius}D * cos(radians(p_lat)) * cos(radians(p_lng)) AS at_x, {radius}D * cos(radians(p_lat)) * sin(radians(p_lng)) AS at_y, {radius}D * sin(radians(p_lat)) AS at_z,
+        {diameter}D * sin(least(pi() / 2, p_metres / {diameter}D)) + 0.000001D AS reach
+      FROM facilities f WHERE (p_uf IS NULL OR f.uf = upper(p_uf)) AND (p_service IS NULL OR array_contains(f._services, p_service))) c
+    WHERE _x BETWEEN at_x - reach AND at_x + reach AND _y BETWEEN at_y - reach AND at_y + reach AND _z BETWEEN at_z - reach AND at_z + reach) d
   WHERE distance_m <= p_metres) r WHERE place <= p_limit"""
 
 
 def register_table_function(facilities: DataFrame) -> None:
-    """facilities_near(lat, lng, metres, uf, limit) for SQL, over facilities."""
-    facilities.createOrReplaceTempView("facilities")
-    facilities.sparkSession.sql(TABLE_FUNCTION)
+    """facilities_near(lat, lng, metres, uf, service, limit) for SQL, over facilities: a box on the points, then the exact distance.
+
+    It reads the view `facilities`, which has the points and services beside the table's columns; a table that stores them is read with its box pushed down.
+    """
+    located(facilities).withColumn("_services", services(F.col("atendimentos_raw"))).createOrReplaceTempView("facilities")
+    facilities.sparkSession.sql(TABLE_FUNCTION.format(radius=RADIUS, diameter=2 * RADIUS))

@@ -59,13 +59,16 @@ def gate(edges: DataFrame) -> DataFrame:
     return edges.where((F.size("v") >= 7) & (F.size("h") >= 2))
 
 
-def head_cut(words: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Words below each page's table head, and the edges with those above it gone (pages with under two left are, too)."""
-    bottom = F.max(F.when(F.trim(F.upper(fold(F.col("text")))).isin(HEAD), F.col("bottom")))
-    heads = words.groupBy(*PAGE).agg(F.coalesce(bottom, F.lit(0.0)).alias("head"))
-    cut = edges.join(heads, PAGE).withColumn("h", F.filter("h", lambda e: e > F.col("head"))).where(F.size("h") >= 2)
-    below = words.join(cut.select(*PAGE, "head"), PAGE).where(F.col("top") > F.col("head") + 1).drop("head")
-    return below, cut.drop("head")
+def cut_edges(words: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, page, h, v, head: edges below the bottom of each page's table head; pages with under two horizontal ones left are gone."""
+    heads = words.where(F.trim(F.upper(fold(F.col("text")))).isin(HEAD)).groupBy(*PAGE).agg(F.max("bottom").alias("head"))
+    cut = edges.join(heads, PAGE, "left").withColumn("head", F.coalesce("head", F.lit(0.0)))
+    return cut.withColumn("h", F.filter("h", lambda e: e > F.col("head"))).where(F.size("h") >= 2)
+
+
+def below_head(words: DataFrame, cut: DataFrame) -> DataFrame:
+    """Words below the head of the pages that cut has, with the pages' edges (h, v)."""
+    return words.join(cut.hint("shuffle_hash"), PAGE).where(F.col("top") > F.col("head") + 1).drop("head")  # a row for each page is the side that is kept
 
 
 def bands(edges: DataFrame) -> DataFrame:
@@ -77,16 +80,16 @@ def bands(edges: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def below(values: Column, value: Column, or_equal: bool = False, most: int = 20) -> Column:
-    """How many of ascending values lie below value (or at it), by binary search: a step for each power of two up to the number of values, of which there are under 2^most."""
-    powers = F.array(*[F.lit(1 << k) for k in range(most - 1, -1, -1)])
-    needed = F.floor(F.log2(F.greatest(F.size(values), F.lit(1)).cast("double"))).cast("int") + 1
+def below(values: Column, value: Column, or_equal: bool = False) -> Column:
+    """How many of ascending values lie below value (or at it), by binary search: a step for each power of two up to the number of values."""
+    largest = F.floor(F.log2(F.greatest(F.size(values), F.lit(1)).cast("double"))).cast("int")
 
-    def step(n: Column, power: Column) -> Column:
+    def step(n: Column, back: Column) -> Column:
+        power = F.pow(F.lit(2.0), largest - back).cast("int")
         there = F.get(values, n + power - 1)
         return F.when(there <= value if or_equal else there < value, n + power).otherwise(n)
 
-    return F.aggregate(F.slice(powers, F.lit(most + 1) - needed, needed), F.lit(0), step)
+    return F.aggregate(F.sequence(F.lit(0), largest), F.lit(0), step)
 
 
 def band_of(edges: Column, value: Column) -> Column:
@@ -96,23 +99,10 @@ def band_of(edges: Column, value: Column) -> Column:
     return F.when((inside > 0) & (inside < F.size(edges)), inside - 1).when(at_first & (F.size(edges) > 1), 0).cast("int")
 
 
-def on_stretches(points: DataFrame, at: Column, spans: DataFrame, low: Column, high: Column, stretch: float = 64.0) -> DataFrame:
-    """Pairs of points and spans of a page that may lie on each other: a range join as an equi-join on stretches of the page.
-
-    A span goes to every stretch it touches, a point to one, so that work is in proportion to words and lines, also on very long pages.
-    """
-    first, last = F.floor(low / stretch), F.floor(high / stretch)
-    return points.withColumn("_stretch", F.floor(at / stretch)).join(spans.withColumn("_stretch", F.explode(F.sequence(first, last))), [*PAGE, "_stretch"]).drop("_stretch")
-
-
-def assign(words: DataFrame, edges: DataFrame) -> DataFrame:
-    """words with row and col: the first bands that hold their centres, both ends included."""
-    y = middle("top", "bottom")
-    rows = bands(edges).where("axis = 'h'").select(*PAGE, F.col("band").alias("row"), "low", "high")
-    held = ((F.col("low") < y) & (y <= F.col("high"))) | ((F.col("row") == 0) & (y == F.col("low")))  # later bands hold only what lies beyond their start
-    placed = on_stretches(words, y, rows, F.col("low"), F.col("high")).where(held).drop("low", "high")
-    across = placed.join(edges.select(*PAGE, "v"), PAGE)
-    return across.withColumn("col", band_of(F.col("v"), middle("x0", "x1"))).drop("v").where("col IS NOT NULL")
+def assign(words: DataFrame) -> DataFrame:
+    """words (with their page's edges h, v) with row and col in their place: the first bands that hold their centres, both ends included."""
+    banded = words.withColumns({"row": band_of(F.col("h"), middle("top", "bottom")), "col": band_of(F.col("v"), middle("x0", "x1"))})
+    return banded.drop("h", "v").where("row IS NOT NULL AND col IS NOT NULL")
 
 
 def joined_text(words: Column, gap: float = 4.0) -> Column:
@@ -144,9 +134,8 @@ def records(cells: DataFrame) -> DataFrame:
 
 
 def extract(words: DataFrame, shapes: DataFrame) -> DataFrame:
-    """All records of ruled pages."""
-    below, edges = head_cut(words, gate(page_edges(shapes)))
-    return records(cells(assign(below, edges)))
+    """All records of ruled pages. Words are shuffled once, by page."""
+    return records(cells(assign(below_head(words, cut_edges(words, gate(page_edges(shapes)))))))
 
 
 def confident(words: DataFrame, least: int = 30) -> DataFrame:
@@ -175,53 +164,49 @@ def unit_start(words: DataFrame) -> DataFrame:
     return named.groupBy(*PAGE).agg(F.get(xs, F.floor(F.size(xs) / 2).cast("int")).alias("x"))
 
 
-def _page_words(words: DataFrame) -> DataFrame:
-    """A row for each page with its words in reading order, its mean height, its left column and where units begin."""
-    y = middle("top", "bottom")
-    height = F.coalesce(F.avg(F.when(F.col("bottom") > F.col("top"), F.col("bottom") - F.col("top"))), F.lit(20.0)).alias("height")
-    ordered = F.array_sort(F.collect_list(F.struct(y.alias("y"), "x0", F.col("pos"), "top", "bottom", "x1", "text"))).alias("words")
-    return words.groupBy(*PAGE).agg(height, ordered)
+def mean_height() -> Column:
+    return F.coalesce(F.avg(F.when(F.col("bottom") > F.col("top"), F.col("bottom") - F.col("top"))), F.lit(20.0))
 
 
-def anchors(words: DataFrame, ratio: float = 1.2) -> DataFrame:
-    """doc_id, page, anchor (0-based), y_top, y_bottom, text: rows that begin in the left column.
+def starts(levels: Column, tolerance: Column) -> Column:
+    """Of ascending values those over tolerance beyond the last one kept."""
 
-    A word joins the row whose first word's centre lies within ratio times the page's mean height.
-    """
-    pages = _page_words(words).join(left_column(words), PAGE)
-    tolerance = F.col("height") * ratio
+    def keep(kept: Column, e: Column) -> Column:
+        return F.when((F.size(kept) == 0) | (e - F.try_element_at(kept, F.lit(-1)) > tolerance), F.concat(kept, F.array(e))).otherwise(kept)
 
-    def fit(w: Column) -> Column:
-        return w["x0"].between(F.col("left"), F.col("right")) & ~is_head(w["text"]) & ~is_foot(w["text"]) & w["text"].rlike(r"\p{L}")
+    return F.aggregate(levels, F.array().cast("array<double>"), keep)
 
-    kind = "array<struct<y:double,y_top:double,y_bottom:double,text:string>>"
 
-    def step(out: Column, w: Column) -> Column:
-        last = F.try_element_at(out, F.lit(-1))
-        same = (F.size(out) > 0) & (F.abs(w["y"] - last["y"]) <= tolerance)
-        merged = F.struct(last["y"].alias("y"), F.least(last["y_top"], w["top"]).alias("y_top"), F.greatest(last["y_bottom"], w["bottom"]).alias("y_bottom"), F.concat(last["text"], F.lit(" "), w["text"]).alias("text"))
-        new = F.struct(w["y"].alias("y"), w["top"].alias("y_top"), w["bottom"].alias("y_bottom"), w["text"].alias("text"))
-        return F.when(same, F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(merged))).otherwise(F.concat(out, F.array(new)))
+def anchors(words: DataFrame, ratio: float = 1.2) -> DataFrame:
+    """doc_id, page, anchor (0-based), height, left, right, y_top, y_bottom, text: rows that begin in the left column.
 
-    folded = F.aggregate(F.filter("words", fit), F.array().cast(kind), step)
-    rows = pages.select(*PAGE, "height", "left", "right", F.posexplode(folded).alias("anchor", "a"))
-    return rows.select(*PAGE, "anchor", "height", "left", "right", F.col("a.y_top").alias("y_top"), F.col("a.y_bottom").alias("y_bottom"), F.col("a.text").alias("text"))
+    A word joins the row whose first word's centre lies within ratio times the page's mean height. Rows are found among a page's distinct centres, and
+    words find theirs by binary search.
+    """
+    y = middle("top", "bottom")
+    heights = words.groupBy(*PAGE).agg(mean_height().alias("height"))
+    pages = heights.join(left_column(words), PAGE)
+    w = F.col("text")
+    fit = F.col("x0").between(F.col("left"), F.col("right")) & w.rlike(r"\p{L}") & ~is_head(w) & ~is_foot(w)
+    own = words.join(pages.hint("shuffle_hash"), PAGE).where(fit).withColumn("y", y)
+    levels = own.groupBy(*PAGE).agg(starts(F.array_sort(F.collect_set("y")), F.first("height") * ratio).alias("_starts"))
+    rows = own.join(levels.hint("shuffle_hash"), PAGE).withColumn("anchor", below(F.col("_starts"), F.col("y"), True) - 1)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x0", "pos", "text"))), lambda x: x["text"]), " ").alias("text")
+    return rows.groupBy(*PAGE, "anchor", "height", "left", "right").agg(F.min("top").alias("y_top"), F.max("bottom").alias("y_bottom"), text)
 
 
 def anchored_records(words: DataFrame, ratio: float = 1.2) -> DataFrame:
     """Records of pages without lines: each anchor owns the words from a quarter of a height above it to the next one."""
     rows = anchors(words, ratio)
-    after = Window.partitionBy(*PAGE).orderBy("anchor")
-    low = F.col("y_top") - F.col("height") / 4
-    rows = rows.withColumn("low", low).withColumn("high", F.coalesce(F.lead("low").over(after), F.lit(float("inf"))))
-    starts = unit_start(words).withColumnRenamed("x", "unit_x")
-    rows = rows.withColumnRenamed("text", "city").join(starts, PAGE, "left").withColumn("limit", F.coalesce("unit_x", F.col("right") + 300))
+    rows = rows.withColumn("low", F.col("y_top") - F.col("height") / 4)
+    units = unit_start(words).withColumnRenamed("x", "unit_x")
+    rows = rows.withColumnRenamed("text", "city").join(units, PAGE, "left").withColumn("limit", F.coalesce("unit_x", F.col("right") + 300))
     y = middle("top", "bottom")
-    ends = words.groupBy(*PAGE).agg((F.max(y) + 1).alias("_end"))
-    rows = rows.join(ends, PAGE).withColumn("high", F.least("high", F.greatest("low", "_end"))).drop("_end")
-    spans = rows.where("low <= high").select(*PAGE, "low", "high", "anchor", "y_top", "y_bottom", "city", "height", "left", "right", "limit")
-    own = on_stretches(words.where(~is_head(F.col("text"))), y, spans, F.col("low"), F.col("high")).where((F.col("low") <= y) & (y < F.col("high")))
-    own = own.select(*PAGE, "anchor", "y_top", "y_bottom", "city", "height", "left", "right", "limit", "pos", "text", "x0", y.alias("y"), token_class(F.col("text")).alias("kind"))
+    spans = F.array_sort(F.collect_list(F.struct("low", "anchor", "y_top", "y_bottom", "city"))).alias("spans")
+    by_page = rows.groupBy(*PAGE, "height", "left", "right", "limit").agg(spans).withColumn("lows", F.col("spans.low"))
+    own = words.where(~is_head(F.col("text"))).withColumn("y", y).join(by_page.hint("shuffle_hash"), PAGE)
+    own = own.withColumn("span", F.get("spans", below(F.col("lows"), F.col("y"), True) - 1)).where(F.col("span").isNotNull())
+    own = own.select(*PAGE, "span.anchor", "span.y_top", "span.y_bottom", "span.city", "height", "left", "right", "limit", "pos", "text", "x0", "y", token_class(F.col("text")).alias("kind"))
 
     in_left = F.col("x0").between(F.col("left"), F.col("right"))
     same_line = F.abs(F.col("y") - (F.col("y_top") + F.col("y_bottom")) / 2) <= F.col("height") * ratio
@@ -272,17 +257,22 @@ def coverage_bands(words: DataFrame, columns: int = 6, least: int = 20) -> DataF
 
 
 def mean_lines(words: DataFrame, ratio: float = 1.2) -> DataFrame:
-    """doc_id, page, line, pos: a word joins the current line if its centre lies within ratio mean heights of the line's mean centre."""
-    pages = _page_words(words)
-    tolerance = F.col("height") * ratio
-    state = F.struct(F.lit(-1).alias("line"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.array().cast("array<struct<line:int,pos:int>>").alias("out"))
+    """doc_id, page, line, pos: a word joins the current line if its centre lies within ratio mean heights of the line's mean centre.
+
+    Words of one centre go together (once the first has joined a line, its mean is nearer still), so lines are folded from distinct centres and their counts.
+    """
+    y = middle("top", "bottom")
+    heights = words.groupBy(*PAGE).agg(mean_height().alias("height"))
+    levels = words.groupBy(*PAGE, y.alias("y")).agg(F.count(F.lit(1)).alias("n")).groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("y", "n"))).alias("levels"))
+    state = F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("n"), F.array().cast("array<double>").alias("starts"))
 
     def step(s: Column, w: Column) -> Column:
-        same = (s["n"] > 0) & (F.abs(w["y"] - s["sum"] / F.greatest(s["n"], F.lit(1))) <= tolerance)
-        line = s["line"] + F.when(same, 0).otherwise(1)
-        return F.struct(line.alias("line"), (F.when(same, s["sum"]).otherwise(0.0) + w["y"]).alias("sum"), (F.when(same, s["n"]).otherwise(0) + 1).alias("n"), F.concat(s["out"], F.array(F.struct(line.alias("line"), w["pos"].alias("pos")))).alias("out"))
+        same = (s["n"] > 0) & (F.abs(w["y"] - s["sum"] / F.greatest(s["n"], F.lit(1))) <= F.col("height") * ratio)
+        total = F.when(same, s["sum"]).otherwise(0.0) + w["y"] * w["n"]
+        return F.struct(total.alias("sum"), (F.when(same, s["n"]).otherwise(0) + w["n"]).alias("n"), F.when(same, s["starts"]).otherwise(F.concat(s["starts"], F.array(w["y"]))).alias("starts"))
 
-    return pages.select(*PAGE, F.explode(F.aggregate("words", state, step)["out"]).alias("x")).select(*PAGE, "x.line", "x.pos")
+    lines = levels.join(heights, PAGE).select(*PAGE, F.aggregate("levels", state, step)["starts"].alias("starts"))
+    return words.join(lines.hint("shuffle_hash"), PAGE).select(*PAGE, (below(F.col("starts"), y, True) - 1).alias("line"), "pos")
 
 
 def line_records(lined: DataFrame, columns: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.text import clean_address, street
@@ -73,11 +73,26 @@ def postal_cascade(asked: DataFrame, cache: DataFrame, provider: DataFrame) -> t
     return answers, insert_missing(cache.select("cep", *columns), fetched.select("cep", *columns), ["cep"], [F.col("cidade"), F.col("uf")])
 
 
+def memoised(asked: DataFrame, resolver: DataFrame) -> DataFrame:
+    """asked (id, query_key) with lat, lng and lookups: how many of the resolver's rows were read for the key, whoever asks for it and however often."""
+    once = asked.select("query_key").distinct()
+    found = resolver.select("query_key", "lat", "lng", F.lit(True).alias("_read"))
+    answers = once.join(found, "query_key", "left").groupBy("query_key").agg(F.max("lat").alias("lat"), F.max("lng").alias("lng"), F.count("_read").alias("lookups"))
+    return asked.join(answers, "query_key")
+
+
 def usage(lookups: DataFrame) -> DataFrame:
     """query_key, hits, last_hit of lookups (query_key, ts, state)."""
     return lookups.where("state = 'hit'").groupBy("query_key").agg(F.count(F.lit(1)).alias("hits"), F.max("ts").alias("last_hit"))
 
 
+def count_usage(cache: DataFrame, lookups: DataFrame) -> DataFrame:
+    """The cache with its counters (hit_count, ultimo_hit) after lookups: hits are added, and the later of both times stays."""
+    used = usage(lookups).select("query_key", F.col("hits").alias("_hits"), F.col("last_hit").alias("_last"))
+    counted = cache.join(used, "query_key", "left")
+    return counted.withColumns({"hit_count": F.col("hit_count") + F.coalesce("_hits", F.lit(0)), "ultimo_hit": F.greatest("ultimo_hit", "_last")}).select(*cache.columns)
+
+
 def purge_misses(cache: DataFrame) -> DataFrame:
     return cache.where(F.col("lat").isNotNull())
 
@@ -85,7 +100,3 @@ def purge_misses(cache: DataFrame) -> DataFrame:
 def store(cache: DataFrame, rows: DataFrame) -> DataFrame:
     """The cache with rows (query_key, lat, lng, fonte, ts): the last write of a key wins."""
     return upsert(cache, rows, ["query_key"], [F.col("ts")])
-
-
-def rank_within(rows: DataFrame, key: str, order: list) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STAMP = r"(?i)Atualizado em\s+(\d{2})/(\d{2})/(\d{4})\s+(\d{1,2})h(\d{2})"
+from waymark.functions.text import squeeze
 
 
 def updated_at(html: Column, offset: str = "-03:00") -> Column:
-    """The time a page says it was updated at, from local time; null if it doesn't say so or names no real time."""
-    text = F.regexp_replace(html, "<[^>]*>", " ")
-    day, month, year, hour, minute = (F.regexp_extract(text, STAMP, i) for i in range(1, 6))
-    stamp = F.concat(year, F.lit("-"), month, F.lit("-"), day, F.lit(" "), F.lpad(hour, 2, "0"), F.lit(":"), minute, F.lit(f":00{offset}"))
-    return F.when(year != "", F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ssXXX")))
+    """The time a page says it was updated at (`atualizado em`, a date, an hour as in 18h04), from local time; null if it doesn't say so or names no real time.
+
+    Tags and white space of any kind may stand between the words.
+    """
+    text = F.lower(squeeze(F.regexp_replace(html, "<[^>]*>", " ")))
+    said = F.regexp_extract(text, "atualizado em ([0-9/]{10} [0-9]{1,2}h[0-9]{2})", 1)
+    return F.when(said != "", F.try_to_timestamp(F.concat(said, F.lit(offset)), F.lit("dd/MM/yyyy H'h'mmXXX")))
 
 
 def document_link(html: Column) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from waymark.functions.text import canonical_service, search_key, services, squeeze
 
+GRAM = 3
+
 
 def directory(facilities: DataFrame, uf: str | None = None, city: str | None = None, service: str | None = None, text: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
     """Facilities that meet all given conditions, by city and unit; one of uf, city and text is needed."""
@@ -57,7 +59,7 @@ def find_all(queries: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def resolve_origins(requests: DataFrame, codes: DataFrame) -> DataFrame:
-    """requests (request_id, lat, lng, cep, cidade, uf) with the origin: its coordinates, city, uf and source.
+    """requests (request_id, lat, lng, cep, cidade, uf, and service if there is one) with the origin: its coordinates, city, uf and source.
 
     Coordinates come first (0.0 is one), then a postal code with coordinates, then a postal code's city, then the city; source is coords, cep,
     cep_sem_coords, cidade, or error where nothing is given or the code isn't known.
@@ -77,18 +79,31 @@ def resolve_origins(requests: DataFrame, codes: DataFrame) -> DataFrame:
         F.when(F.col("source") == "cep_sem_coords", F.col("_city")).when(F.col("source") == "cidade", F.col("cidade")).alias("city"),
         F.when(is_code, F.coalesce("uf", "_uf")).otherwise(F.col("uf")).alias("uf"),
         "source",
+        *[c for c in ("service",) if c in requests.columns],
     )
 
 
 def city_fallback(origins: DataFrame, facilities: DataFrame, k: int = 20) -> DataFrame:
-    """request_id, id, rank: for origins with a city and no coordinates, facilities whose city contains it, by city and unit.
+    """request_id, id, rank: for origins with a city and no coordinates, facilities whose city contains it (and of the origin's state and service, where it names one), by city and unit.
 
-    Cities are matched as distinct names (their number doesn't grow with requests or facilities) and the rest is two equi-joins.
+    Distinct names are matched by the first GRAM letters of the asked one, which a city that contains it has somewhere, and then in full: an equi-join.
     """
     asked = origins.where(F.col("lat").isNull() & F.col("city").isNotNull()).withColumn("_key", search_key(F.col("city")))
     there = facilities.withColumn("_city", search_key(F.col("municipio")))
-    names = asked.select("_key").distinct().join(there.select("_city").distinct(), F.contains("_city", "_key"))
-    pairs = asked.join(names, "_key").join(there.select("_city", "id", "municipio", "unidade", F.col("uf").alias("_uf")), "_city")
-    pairs = pairs.where(F.col("uf").isNull() | (F.col("uf") == F.col("_uf")))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("_city"), F.lit(1)))
+    parts = F.concat(F.array(F.lit("")), *[F.transform(starts, _part(n)) for n in range(1, GRAM + 1)])
+    cities = there.select("_city").distinct().select("_city", F.explode(F.array_distinct(parts)).alias("_part"))
+    wanted = asked.select("_key").distinct().withColumn("_part", F.substring("_key", 1, GRAM))
+    names = wanted.join(cities, "_part").where(F.contains("_city", "_key")).select("_key", "_city")
+    by_service = "service" in origins.columns
+    offered = [services(F.col("atendimentos_raw")).alias("_services")] * by_service
+    pairs = asked.join(names, "_key").join(there.select("_city", "id", "municipio", "unidade", F.col("uf").alias("_uf"), *offered), "_city")
+    pairs = pairs.where(F.col("uf").isNull() | (F.upper("uf") == F.col("_uf")))
+    if by_service:
+        pairs = pairs.where(F.col("service").isNull() | F.coalesce(F.array_contains("_services", canonical_service(F.col("service"))), F.lit(False)))
     place = F.row_number().over(Window.partitionBy("request_id").orderBy("municipio", "unidade", "id"))
     return pairs.select("request_id", "id", place.alias("rank")).where(F.col("rank") <= k)
+
+
+def _part(n: int):
+    return lambda at: F.substring("_city", at, F.lit(n))

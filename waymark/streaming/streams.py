@@ -34,7 +34,7 @@ def append(stream: DataFrame, path: str, checkpoint: str, by: Column | None = No
 
 
 def hourly(stream: DataFrame, late: str = "2 hours", ts: str = "criado_em") -> DataFrame:
-    """hour, total, errors, and the approximate number of addresses, of a stream; an hour is given once it is over by `late`."""
+    """hour, total, errors, and the approximate number of addresses, of a stream; an hour is given once it is over by `late` (in append mode; in complete or update mode at once)."""
     return (
         stream.withWatermark(ts, late)
         .groupBy(F.window(ts, "1 hour").alias("w"))
@@ -43,6 +43,11 @@ def hourly(stream: DataFrame, late: str = "2 hours", ts: str = "criado_em") -> D
     )
 
 
+def replace_result(stream: DataFrame, save: Callable[[DataFrame], None], checkpoint: str):
+    """Every micro-batch gives the whole result of an aggregation so far to save: no group waits for the watermark."""
+    return stream.writeStream.outputMode("complete").foreachBatch(lambda rows, _: save(rows)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def limit_requests(stream: DataFrame, limit: int = 15, seconds: int = 60, late: str = "1 minute") -> DataFrame:
     """id, ip, criado_em, n, allowed, remaining of a stream, counted per address and window; state goes when the watermark passes a window's end.
 
@@ -63,7 +68,7 @@ def limit_requests(stream: DataFrame, limit: int = 15, seconds: int = 60, late:
         n = range(before + 1, before + len(rows) + 1)
         yield pd.DataFrame({"id": rows["id"], "ip": key[0], "criado_em": rows["criado_em"], "n": n, "allowed": [x <= limit for x in n], "remaining": [max(0, limit - x) for x in n]})
 
-    timed = stream.withWatermark("criado_em", late).withColumn("bucket", bucket)
+    timed = stream.withWatermark("criado_em", late).select("id", "ip", "criado_em", bucket.alias("bucket"))
     return timed.groupBy("ip", "bucket").applyInPandasWithState(count, "id long, ip string, criado_em timestamp, n long, allowed boolean, remaining long", "n long", "append", "EventTimeTimeout")
 
 
@@ -73,7 +78,7 @@ def merge_batches(stream: DataFrame, stored: Callable[[], DataFrame], save: Call
     def one(batch: DataFrame, _: int) -> None:
         now = stored()
         last = now.agg(F.max("id")).first()[0] or 0
-        changes = merge.number_inserts(merge.merge(now, batch), last + 1, 8)
+        changes = merge.number_inserts(merge.merge(now, batch), last + 1)
         save(merge.apply(now, changes))
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
