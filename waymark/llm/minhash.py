@@ -5,8 +5,8 @@ smallest hash of one permutation; two sets of similarity s differ in a component
 chunks, and each chunk is indexed once without each of its components. By the pigeonhole principle, all pairs that differ in at most
 2 * CHUNKS - 1 = 19 components have a chunk with at most one error, and so share a key; at a similarity of 0.8 the mean distance is 12.8, and
 pairs further apart share a key unless every chunk has two errors (6 in 100,000 pairs of just that similarity, fewer above it). Documents that share a
-key with another have a second signature of WIDE two-bit components, cut at four standard deviations, which spares most needless confirmations. Every link is
-confirmed on the full sets.
+key with another have a second signature of WIDE two-bit components, cut at six standard deviations (a pair in 10^9 lies beyond), which spares most needless
+confirmations. Every link is confirmed on the full sets.
 
 Equal sets are one class, found by digest, and only its smallest identifier goes on. No pairs within a key's group are listed:
 first, each member is compared with the group's smallest identifier; after that the members of a group that still belong to different components
@@ -14,7 +14,7 @@ are compared, those of the group's largest component only with the others. So al
 connected, and a group of thousands of near copies costs about as many comparisons.
 
 Defined results: null or empty text, or text of white space alone, has an empty set, is linked with nothing and is kept. A null identifier is
-linked with nothing, has a null component_id, and is kept. Rows that repeat an identifier are one node. Texts are read whole, however long.
+linked with nothing, has a null component_id, and is kept. Rows that repeat an identifier are one node, with the links of all their texts. Texts are read whole, however long.
 Only the identifier and the text are read, so other columns can't clash. An empty table gives an empty result.
 """
 
@@ -29,12 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import one_of_each, stash
+from waymark.llm.common import one_of_each, sliced, stash
 from waymark.llm.components import components
 
 WORDS, LIKE, OF = 5, 80, 100
 SIZE, BITS, CHUNKS = 64, 9, 10
-WIDE, WIDE_REACH = 1024, 199
+WIDE, WIDE_REACH = 1024, 222
+CELL = 1000  # members of a key that a task compares with as many others
 SLICE_BYTES = 1_000_000
 
 _rng = np.random.default_rng(20)
@@ -124,17 +125,6 @@ def packed(signatures: np.ndarray) -> np.ndarray:
     return (two << (2 * np.arange(32, dtype=np.uint64))).sum(2, dtype=np.uint64)
 
 
-def _slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    a, n = 0, 0
-    for i, t in enumerate(texts):
-        if i > a and n + len(t) > SLICE_BYTES:
-            yield a, i
-            a, n = i, 0
-        n += len(t)
-    if a < len(texts):
-        yield a, len(texts)
-
-
 def _lists(rows: np.ndarray) -> pa.Array:
     n, width = rows.shape
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(rows.astype(np.int64, copy=False).ravel()))
@@ -146,15 +136,13 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
     out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("keys", longs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or b"" for t in batch.column(1).to_pylist()]
-            for a, b in _slices(texts):
-                n, digest, least = np.zeros(b - a, np.int64), [], np.empty((b - a, SIZE), np.uint32)
-                for i, s in enumerate(shingle_sets(texts[a:b], words)):
-                    n[i] = len(s)
-                    digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    least[i] = signature(s, SIZE)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(digest, pa.binary()), _lists(index_keys(chunks(least)).view(np.int64))], names=out.names)
+        for batch in sliced(batches, 1, SLICE_BYTES):
+            n, digest, least = np.zeros(batch.num_rows, np.int64), [], np.empty((batch.num_rows, SIZE), np.uint32)
+            for i, s in enumerate(shingle_sets(batch.column(1).to_pylist(), words)):
+                n[i] = len(s)
+                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                least[i] = signature(s, SIZE)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(digest, pa.binary()), _lists(index_keys(chunks(least)).view(np.int64))], names=out.names)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.encode(F.coalesce(text_col, F.lit("")), "UTF-8").alias("text")).mapInArrow(run, out)
 
@@ -165,14 +153,12 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     out = T.StructType([T.StructField("id", docs.schema["doc_id"].dataType), T.StructField("n", T.LongType()), T.StructField("chunks", longs), T.StructField("wide", longs), T.StructField("shingles", T.ArrayType(T.LongType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or b"" for t in batch.column(1).to_pylist()]
-            for a, b in _slices(texts):
-                own = list(shingle_sets(texts[a:b], words))
-                least = np.stack([signature(s, WIDE) for s in own])
-                at = np.concatenate([[0], np.cumsum([len(s) for s in own])])
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(own).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at)), _lists(chunks(least).view(np.int64)), _lists(packed(least).view(np.int64)), lists], names=out.names)
+        for batch in sliced(batches, 1, SLICE_BYTES):
+            own = list(shingle_sets(batch.column(1).to_pylist(), words))
+            least = np.stack([signature(s, WIDE) for s in own])
+            at = np.concatenate([[0], np.cumsum([len(s) for s in own])])
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(own).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), _lists(chunks(least).view(np.int64)), _lists(packed(least).view(np.int64)), lists], names=out.names)
 
     return docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).mapInArrow(run, out)
 
@@ -223,18 +209,25 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, like: int = LIKE, of: i
     linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
 
     copies = made.where(linkable).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", "rep")
-    copies = stash(copies, "copies")
-    rows = made.join(copies, (made["digest"] == copies["digest"]) & linkable, "left").select("doc_id", "n_shingles", made["digest"], F.coalesce("rep", "doc_id").alias("rep"), "keys")
-    members = stash(rows.select("doc_id", "n_shingles", "rep"), "members")
-    reps = rows.where(linkable & (F.col("rep") == F.col("doc_id")))
-    reps = stash(reps.select(F.col("doc_id").alias("id"), "keys"), "reps")
+    copies = stash(copies, "copies", few=True)
+
+    def with_rep(*columns: str) -> DataFrame:
+        same = (made["digest"] == copies["digest"]) & linkable
+        return made.join(copies, same, "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), *columns)
+
+    reps = stash(with_rep("keys", "n_shingles").where(linkable & (F.col("rep") == F.col("doc_id"))).select(F.col("doc_id").alias("id"), "keys"), "reps")
+    members = with_rep("n_shingles")
+
+    # rows that repeat an identifier, but have different sets
+    twice = members.where(linkable).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id", "a")
+    twice = stash(members.where(linkable).join(twice, "doc_id").where("a < rep").select("a", F.col("rep").alias("b")), "twice", few=True)
 
     # keys that more than one class has, and the smallest identifier of each
     keyed = reps.select("id", F.explode("keys").alias("key"))
-    hubs = stash(keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub"), "hubs")
-    grouped = stash(keyed.join(hubs, "key"), "grouped")  # key, id, hub
+    hubs = stash(keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub"), "hubs", few=True)
+    grouped = stash(keyed.join(hubs, "key"), "grouped", few=True)  # key, id, hub
 
-    found = stash(grouped.select("id").distinct(), "found")
+    found = stash(grouped.select("id").distinct(), "found", few=True)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sets = stash(full_sets(texts.join(found, texts["doc_id"] == found["id"], "left_semi"), words), "sets")
     narrow = sets.select("id", "n", "wide")
@@ -245,28 +238,36 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, like: int = LIKE, of: i
         return pairs.join(a, "a").join(b, "b").where(may_link(like, of)).select("a", "b")
 
     stars = grouped.where("hub < id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = stash(confirmed(passing(stars), sets, like, of), "links")
+    links = stash(confirmed(passing(stars), sets, like, of).unionByName(twice), "links", few=True)
     part = components(links, "a", "b")
 
     # what different components still have in common
     labels = part.select("id", "component")
-    placed = stash(grouped.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "placed")
+    placed = stash(grouped.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "placed", few=True)
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-    mixed_keys = stash(sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "major"), "mixed")
-    open_keys = stash(placed.join(mixed_keys, "key").join(sets.select("id", "n", "wide", "chunks"), "id"), "open")  # key, id, component, major, n, wide, chunks
-    minor = open_keys.where("component <> major").select("key", F.col("id").alias("a"), F.col("component").alias("ca"), "major", "n", "wide", "chunks")
-    other = open_keys.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("m"), F.col("wide").alias("wide2"), F.col("chunks").alias("chunks2"))
+    of_key = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.max("c").alias("most"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    # a key's comparisons are a grid of rows and columns, CELL members each, so that no task has more than a cell
+    grid = of_key.select("key", "major", F.ceil((F.col("all") - F.col("most")) / CELL).alias("rows"), F.ceil(F.col("all") / CELL).alias("columns"))
+    mixed_keys = stash(grid, "mixed", few=True)
+    open_keys = stash(placed.join(mixed_keys, "key").join(sets.select("id", "n", "wide", "chunks"), "id"), "open")  # key, id, component, major, rows, columns, n, wide, chunks
+
+    def strewn(own: str, across: str) -> list[Column]:
+        """A member's own row or column of the grid, and all of the other."""
+        return [F.pmod(F.xxhash64("id"), F.col(own)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(across) - 1)).alias(across)]
+
+    minor = open_keys.where("component <> major").select("key", *strewn("rows", "columns"), F.col("id").alias("a"), F.col("component").alias("ca"), "major", "n", "wide", "chunks")
+    other = open_keys.select("key", *strewn("columns", "rows"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("m"), F.col("wide").alias("wide2"), F.col("chunks").alias("chunks2"))
     once = (F.col("cb") == F.col("major")) | (F.col("a") < F.col("b"))
-    pairs = minor.join(other, "key").where((F.col("ca") != F.col("cb")) & once & may_link(like, of) & first_shared(F.col("key")))
-    rest = stash(confirmed(pairs.select("a", "b"), sets, like, of), "links")
+    pairs = minor.join(other, ["key", "rows", "columns"]).where((F.col("ca") != F.col("cb")) & once & may_link(like, of) & first_shared(F.col("key")))
+    rest = stash(confirmed(pairs.select("a", "b"), sets, like, of), "links", few=True)
 
     ends = labels.select("id", "component")
     bridges = rest.join(ends.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(ends.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-    bridges = stash(bridges.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "bridges")
+    bridges = stash(bridges.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "bridges", few=True)
     joined = components(bridges, "a", "b").select(F.col("id").alias("component"), F.col("component").alias("whole"))
     first = labels.join(joined, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
     singles = joined.join(labels.select(F.col("id").alias("component")), "component", "left_anti").select(F.col("component").alias("id"), F.col("whole").alias("component"))
-    final = stash(first.unionByName(singles), "components").withColumnRenamed("id", "rep")
+    final = stash(first.unionByName(singles), "components", few=True).withColumnRenamed("id", "rep")
 
     out = members.join(final, "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
@@ -274,7 +275,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, like: int = LIKE, of: i
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with one document, that of the smallest identifier, of each group.
+    """docs with one document, that of the smallest identifier, of each group; rows without an identifier or without words all stay.
 
     Where identifiers repeat, rows are told apart by identifier and text, and one row of those that repeat both stays.
     """
