@@ -2,6 +2,9 @@
 
 Every step is a grouped minimum and a join back to the links, both on small rows; minima are written before they are joined, so that
 adaptive execution can split the links of a node that has very many.
+
+Defined results: links may repeat, go either way or from a node to itself; a node whose links all are to itself counts as having none. A link with a null end is none.
+Without links the result is empty. Only the two columns are read.
 """
 
 from __future__ import annotations

@@ -111,7 +111,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, cycle: int = CYCLE, b
     )
 
 
-def mixed_order(docs: DataFrame, **how) -> DataFrame:
-    """docs in the order of the mixture: range-partitioned and sorted by (slot, place)."""
-    at = mix(docs, **how)
-    return at.repartitionByRange(shuffle_width(docs.sparkSession), "slot", "place").sortWithinPartitions("slot", "place").select(*docs.columns)
+def mixed_order(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **how) -> DataFrame:
+    """docs, with all their own columns, in the order of the mixture: range-partitioned and sorted by (slot, place)."""
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"))
+    at = mix(rows, id_col="doc_id", source_col="source", **how)
+    return at.repartitionByRange(shuffle_width(docs.sparkSession), "slot", "place").sortWithinPartitions("slot", "place").select("_doc.*")

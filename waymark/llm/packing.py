@@ -295,9 +295,9 @@ def assign(cut: DataFrame, steps: list[tuple[int, list[int]]]) -> DataFrame:
     )
 
 
-def in_order(docs: DataFrame, out: str) -> tuple[DataFrame, int]:
-    """docs with out, a row's place in the order of the files (by part number, then name) and the rows in them, and a bound of the places."""
-    rows = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+def in_order(docs: DataFrame, columns: list[str], out: str) -> tuple[DataFrame, int]:
+    """columns of docs with out, a row's place in the order of the files (by part number, then name) and the rows in them, and a bound of the places."""
+    rows = docs.select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     sizes = rows.groupBy("_file").agg((F.max("_row") + 1).alias("_n"))
     name = F.element_at(F.split("_file", "/"), -1)
     number = F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long")
@@ -339,7 +339,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, id_c
     """
     places, keep = 0, ()
     if ordered:
-        (docs, places), keep = in_order(docs, "_place"), ("_place",)
+        (docs, places), keep = in_order(docs, [id_col, text_col], "_place"), ("_place",)
     cut = stash(pieces(docs, tokenizer, size, end, id_col, text_col, keep), "pieces")
     counts = np.zeros(size + 1, np.int64)
     for row in cut.groupBy("length").count().collect():  # size rows at most
