@@ -1,6 +1,7 @@
 """A training-data pipeline over `documents`: language ID, exact dedup, near-dedup, mixing, packing.
 
 Each stage is written as Parquet and read again before the next one starts. All but the last return the columns of `documents`.
+It belongs to the subpackage waymark.llm and needs it.
 """
 
 from __future__ import annotations
