@@ -7,46 +7,15 @@ from pyspark.sql import functions as F
 
 from waymark.llm import exactdedup, langid, lmscore, minhash, mixing, packing, secrets, topk, urlfilter, warc
 from waymark.llm.common import shared_path, table
+from waymark.llm.labels import labelled_findings, labelled_urls
 
 
 def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-#: The rules (host, path, verdict) of op6 and a small table of labelled urls (true: block).
+#: The rules (host, path, verdict) of op6.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-LABELLED_URLS = [
-    ("https://www.cheap-pills.example.org/en/926/", True),
-    ("http://cheap-pills.example.net/de/12", True),
-    ("https://m.free-bets.example.org/en/27", True),
-    ("http://free-bets.example.net/de/310?ref=x", True),
-    ("http://buy-pills-online.example.org/fr/5.html", True),
-    ("https://casino-bonus.example.net/en/77", True),
-    ("https://www.best-casino.example.org/de/8#top", True),
-    ("http://blog.win-cash-now.example.net/en/3", True),
-    ("https://free-slots.example.org/es/19", True),
-    ("https://adult-chat.example.net/en/44", True),
-    ("http://hot-singles.example.org/en/201", True),
-    ("https://replica-watches.example.net/en/1", True),
-    ("https://payday-loans.example.org/en/62", True),
-    ("http://m.cheap-meds.example.net/de/555", True),
-    ("https://bets-today.example.org/en/9/", True),
-    ("https://www.library.example.org/en/825?page=2&ref=x", False),
-    ("http://blog.thonst.example.net/en/453#top", False),
-    ("https://thther.example.org/en/685", False),
-    ("http://m.therin.example.net/de/511#top", False),
-    ("https://news.example.org/fr/163/", False),
-    ("https://www.tionsh.example.org/es/217", False),
-    ("https://blog.theron.example.net/en/357?page=2", False),
-    ("http://museum.example.org/de/606.html", False),
-    ("https://docs.example.net/en/25", False),
-    ("https://weather.example.org/en/74", False),
-    ("http://www.school.example.net/de/180/", False),
-    ("https://recipes.example.org/fr/644", False),
-    ("https://m.ththwh.example.org/de/839#top", False),
-    ("https://maps.example.net/en/12", False),
-    ("https://blog.therer.example.org/en/964", False),
-]
 
 
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,14 +23,9 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors)
 
 
-def known_finding(finding="finding", left="left"):
-    """Labels by the findings' own form: 1 for an access key's prefix or a value given to a password or token, 0 for letters alone and for digits alone; others have none."""
-    given = F.col(left).rlike(r"(?i)(password|token)\s*[=:]\s*[\"']?$") & F.col(finding).rlike("^[0-9a-f]+$")
-    return F.when(F.col(finding).rlike("^AKIA[0-9A-Z]{16}$") | given, 1).when(F.col(finding).rlike("^([A-Za-z]+|[0-9]+)$"), 0)
-
-
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"), known_finding())
+    labelled = spark.createDataFrame(labelled_findings(), "doc_id long, text string, source string, label int")
+    return secrets.scan(table(spark, sf_dir, "documents"), labelled)
 
 
 def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +46,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = spark.createDataFrame(LABELLED_URLS, "url string, blocked boolean")
+    labelled = spark.createDataFrame(labelled_urls(), "url string, blocked boolean")
     return urlfilter.judge(table(spark, sf_dir, "pages"), RULES, urlfilter.fit(labelled))
 
 
@@ -106,26 +70,37 @@ def op10_masked_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known: gone are those without a letter, and no others, however many languages were learned."""
+    """Documents whose language is known: gone are those without a letter (null and empty texts too), and no others, however many languages were learned.
+
+    Rows that repeat and null identifiers stay; without any label all rows stay; of an empty table nothing comes.
+    """
     net = langid.learn(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    judged = langid.identify(docs, net, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    known = judged.where(F.col("lang_pred") != langid.UNKNOWN) if net else judged
-    return known.select(*docs.columns)
+    if net is None:
+        return docs
+    new = ["lang_pred", "score"]
+    while set(new) & set(docs.columns):
+        new = [f"_{c}" for c in new]
+    judged = langid.identify(docs, net, keep=tuple(c for c in docs.columns if c != "doc_id"), names=tuple(new))
+    return judged.where(F.col(new[0]) != langid.UNKNOWN).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text, that of the smallest identifier (null is the smallest); null and empty texts are one text, and so are rows that repeat."""
     return exactdedup.drop_exact_duplicates(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the smallest identifier; texts without words and rows without an identifier all stay."""
     return minhash.drop_near_duplicates(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows in the order of the mixture; a null source is one of its own, and rows of equal identifiers come in either order."""
     return mixing.mixed_order(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all rows in sequences that follow the rows' order; a null or empty text is one end token, and repeated rows are packed each."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), ordered=True)  # the order that the mixing stage wrote

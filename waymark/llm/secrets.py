@@ -2,8 +2,9 @@
 
 A candidate is a run of at least LEAST letters, digits or `+/_=-` that holds a digit or is as long as a key (LONG). Its features are its length, the share of positions
 where the kind of character changes, the mean log-probability of its letter transitions, the share of its letter triples that the corpus'
-dictionary covers, marks of its path (a test, an example), and the words on its left and right. Transitions and dictionary come from the words of
-all documents. The forest is grown level by level from labelled findings: every tree has its own bootstrap weights and, at every node, its own
+dictionary covers, the share of digits, whether it names itself a sample, marks of its path (a test, an example), and the words within CONTEXT characters
+on its left and right. Transitions and dictionary come from the words of two letters or more of all documents. The forest is grown level by level from a table of labelled
+texts: every tree has its own bootstrap weights and, at every node, its own
 subset of features (about TRIED of them); a level is one grouped histogram over (tree, node, feature, bin), whose best splits (TREES * 2^level rows) come to the
 driver. Only DataFrame functions run.
 
@@ -21,13 +22,14 @@ from pyspark.sql import functions as F
 
 from waymark.llm.common import stash
 
-LEAST, LONG = 16, 22
+LEAST, LONG, CONTEXT = 16, 22, 40
 TREES, DEPTH, BINS, TRIED, MOST_OF_A_LABEL = 12, 4, 8, 5, 2000
 #: Words beside a secret, and parts of paths that hold samples.
 BESIDE = r"(?i)(token|passw|pwd|secret|api|key|auth|bearer|credential)"
 SAMPLE_PATH = r"(?i)(test|example|sample|mock|fixture|demo)"
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{%d,}|[A-Za-z+/_-]{%d,})=*" % (LEAST, LONG)
-FEATURES = ["length", "changes", "transitions", "coverage", "digits", "path_sample", "path_depth", "left_keyword", "left_sign", "right_sign"]
+SAYS_SAMPLE = r"(?i)(example|sample|your|change|dummy|placeholder|xxxx|0000)"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{%d,}|[A-Za-z+/_-]{%d,})=*" % (LEAST, LONG)
+FEATURES = ["length", "changes", "transitions", "coverage", "digits", "says_sample", "path_sample", "path_depth", "left_keyword", "left_sign", "right_sign"]
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
@@ -38,12 +40,12 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.select("doc_id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE).alias("around"))
     one = rows.select("doc_id", "path", "around", F.posexplode("found").alias("n", "finding"), "found")
     before = F.aggregate(F.slice("around", 1, F.col("n") + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice("found", 1, F.col("n")), F.lit(0), lambda a, x: a + F.length(x))
-    return one.select("doc_id", "path", "n", before.alias("start"), "finding", F.right(F.get("around", F.col("n")), F.lit(40)).alias("left"), F.left(F.get("around", F.col("n") + 1), F.lit(40)).alias("right"))
+    return one.select("doc_id", "path", "n", before.alias("start"), "finding", F.right(F.get("around", F.col("n")), F.lit(CONTEXT)).alias("left"), F.left(F.get("around", F.col("n") + 1), F.lit(CONTEXT)).alias("right"))
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     words = docs.select(F.explode(F.split(F.lower(text_col), "[^a-z]+")).alias("word"))
-    return words.where(F.length("word").between(2, 24)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.where(F.length("word") >= 2).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _code(char: Column) -> Column:
@@ -103,6 +105,7 @@ def features(found: DataFrame, logs: list[float], marks: list[int]) -> DataFrame
         "transitions": mean(gathered(2, log_table), math.log(1 / 26)),
         "coverage": covered / F.greatest(F.length(s) - 2, F.lit(1)),
         "digits": F.length(F.regexp_replace(s, "[^0-9]", "")) / F.greatest(F.length(s), F.lit(1)),
+        "says_sample": s.rlike(SAYS_SAMPLE).cast("int"),
         "path_sample": F.col("path").rlike(SAMPLE_PATH).cast("int"),
         "path_depth": F.size(F.split("path", "/")),
         "left_keyword": F.regexp_extract("left", r"(\S+)\s*[=:]?\s*[\"']?$", 1).rlike(BESIDE).cast("int"),
@@ -205,13 +208,16 @@ def forest_score(forest: list[dict]) -> Column:
     return sum((at(tree, 1) for tree in forest), F.lit(0.0)) / len(forest)
 
 
-def scan(docs: DataFrame, label: Column, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """doc_id, n, start, finding, score and secret (score over one half) for every candidate.
+def labelled_features(labelled: DataFrame, logs: list[float], marks: list[int], text_col: str = "text", path_col: str = "source") -> DataFrame:
+    """The candidates of labelled texts (doc_id, text, path, label 1 or 0 for all that a text holds) with their features, label and key."""
+    found = features(candidates(labelled, "doc_id", text_col, path_col), logs, marks)
+    label = labelled.where(F.col("label").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("label").cast("int").alias("label"))
+    return found.join(label, F.col("doc_id") == F.col("_id")).withColumn("key", F.concat_ws("#", F.col("doc_id").cast("string"), "n"))
 
-    label: of a candidate's columns, 1 or 0 for labelled findings and null for others.
-    """
+
+def scan(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
+    """doc_id, n, start, finding, score and secret (score over one half) for every candidate of docs; labelled: doc_id, text, source, label."""
     logs, marks = corpus_tables(docs, text_col)
-    found = stash(features(candidates(docs, id_col, text_col, path_col), logs, marks), "candidates")
-    labelled = found.select("*", label.alias("label"), F.concat_ws("#", F.col("doc_id").cast("string"), "n").alias("key")).where(F.col("label").isNotNull())
-    forest = grow(labelled)
+    forest = grow(labelled_features(labelled, logs, marks))
+    found = features(candidates(docs, id_col, text_col, path_col), logs, marks)
     return found.select("doc_id", "n", "start", "finding", forest_score(forest).alias("score")).withColumn("secret", F.col("score") > 0.5)
