@@ -43,11 +43,12 @@ def ngrams(host: Column, path: Column) -> Column:
             starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
             parts.append(F.transform(starts, _bucket_at(text, n)))
         both.append(F.array_distinct(F.concat(*parts)))
-    return F.concat(*[F.transform(grams, _scaled(grams)) for grams in both])
+    return F.concat(*[F.get(F.transform(F.array(grams), _scaled), F.lit(0)) for grams in both])
 
 
-def _scaled(grams: Column):
-    return lambda b: F.struct(b.alias("b"), (1 / F.sqrt(F.size(grams).cast("double"))).alias("s"))
+def _scaled(grams: Column) -> Column:
+    """Of a lambda's variable, so that the n-grams are made once and not for each of them."""
+    return F.transform(grams, lambda b: F.struct(b.alias("b"), (1 / F.sqrt(F.size(grams).cast("double"))).alias("s")))
 
 
 def fit(labelled: DataFrame, rounds: int = ROUNDS, rate: float = RATE, decay: float = DECAY) -> list[float]:
