@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import exactdedup, fim, langid, lmscore, minhash, mixing, packing, secrets, topk, urlfilter, warc
+from waymark.llm import exactdedup, fim, langid, lexical, lmscore, minhash, mixing, packing, secrets, topk, urlfilter, warc
 from waymark.llm.common import shared_path, table
 from waymark.llm.labels import labelled_findings, labelled_urls
 
@@ -75,6 +75,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known: gone are those without a letter (null and empty texts too), and no others, however many languages were learned.
 
@@ -118,7 +122,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_secret_scan, op3_pattern_packing, op4_pfair_mixing, op5_language_id, op6_url_filter, op7_minhash_near_dedup, op8_exact_dedup, op9_warc_packages, op10_masked_lm_scoring, op11_fill_in_middle, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_secret_scan, op3_pattern_packing, op4_pfair_mixing, op5_language_id, op6_url_filter, op7_minhash_near_dedup, op8_exact_dedup, op9_warc_packages, op10_masked_lm_scoring, op11_fill_in_middle, op13_ranked_search, pipeline)}
 
 ORACLE = {
     "op1_exact_top_k": """
@@ -165,6 +169,17 @@ ORACLE = {
         SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
           sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
           sha256(text) AS restored_sha256 FROM p""",
+    "op13_ranked_search": r"""
+        WITH words AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        d AS (SELECT row, doc_id, w, CAST(len(w) AS BIGINT) AS n FROM words WHERE len(w) > 0),
+        g AS (SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM d),
+        tf AS (SELECT row, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT row, unnest(w) AS term FROM d) u GROUP BY row, term),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        tw AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS weight FROM (SELECT term, count(*) AS df FROM tf GROUP BY term) x, g),
+        c AS (SELECT row, doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * nn) // ll))) AS adds FROM tf JOIN d USING (row) JOIN tw USING (term), g),
+        s AS (SELECT item_id, row, doc_id, CAST(sum(adds) AS BIGINT) AS score FROM q JOIN c USING (term) GROUP BY item_id, row, doc_id)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0
+        QUALIFY rank <= 50""",
     "op8_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
