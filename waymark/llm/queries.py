@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import exactdedup, fim, langid, lexical, lmscore, minhash, mixing, packing, secrets, topk, urlfilter, warc
+from waymark.llm import crosspolytope, exactdedup, fim, langid, lexical, lmscore, minhash, mixing, packing, secrets, topk, urlfilter, warc
 from waymark.llm.common import shared_path, table
 from waymark.llm.labels import labelled_findings, labelled_urls
 
@@ -75,6 +75,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
 
 
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspolytope.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
 
@@ -122,7 +126,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_secret_scan, op3_pattern_packing, op4_pfair_mixing, op5_language_id, op6_url_filter, op7_minhash_near_dedup, op8_exact_dedup, op9_warc_packages, op10_masked_lm_scoring, op11_fill_in_middle, op13_ranked_search, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_secret_scan, op3_pattern_packing, op4_pfair_mixing, op5_language_id, op6_url_filter, op7_minhash_near_dedup, op8_exact_dedup, op9_warc_packages, op10_masked_lm_scoring, op11_fill_in_middle, op12_embedding_near_dedup, op13_ranked_search, pipeline)}
 
 ORACLE = {
     "op1_exact_top_k": """
@@ -169,6 +173,15 @@ ORACLE = {
         SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
           sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
           sha256(text) AS restored_sha256 FROM p""",
+    "op12_embedding_near_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+        r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        c AS (SELECT a AS vec_id, least(a, min(b)) AS component_id FROM r GROUP BY a),
+        n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept
+        FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)""",
     "op13_ranked_search": r"""
         WITH words AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
         d AS (SELECT row, doc_id, w, CAST(len(w) AS BIGINT) AS n FROM words WHERE len(w) > 0),
