@@ -27,12 +27,21 @@ def test_services(spark):
 
 
 def test_addresses(spark):
+    # the first four pairs, and the streets below, are given cases
     dirty = ["Rua X, 10 - Centro (11) 4411-0062", "Av. Y, 500, s/n", "Rua Z, Qd. 07, s/nº", "Rua W - 3856-9600", None]
     assert column(spark, dirty, text.clean_address) == ["Rua X, 10 - Centro", "Av. Y, 500", "Rua Z, Qd. 07", "Rua W", None]
     whole = ["Rua Joaquim Luiz Viana, 209 - Vila Cicma", "Avenida Vital Brasil, 1500 - Instituto Butantan", "Praça D. Pedro II, 1826 - Centro", "12 de Outubro"]
     assert column(spark, whole, text.street) == ["Rua Joaquim Luiz Viana", "Avenida Vital Brasil", "Praça D. Pedro II", "12 de Outubro"]
 
 
+def test_numbers_in_addresses(spark):
+    gone = ["(11) 4411-0062", "(011)441-006", "(11)  44110 00620", "(11)44110062", "4411-0062", "44110 0062", "S/Nº", "s/no", "(casa (2)", "()"]
+    kept = ["441-0062", "4411-006", "441100-0062", "4411-00621", "x4411-0062", "as/n", "s/nx", "4411_0062", "(11 44"]
+    assert column(spark, [f"Rua A {x}, 7" for x in gone], text.clean_address) == ["Rua A , 7"] * len(gone)
+    assert column(spark, [f"Rua A {x}, 7" for x in kept], text.clean_address) == [f"Rua A {x}, 7" for x in kept]
+    assert column(spark, ["(1) 2345", "4411-0062/123", "441/00620/1234", "x(11)441006", "12345678", "123456", "441-00/12", "12-3456", "4411-0062/12"], text.token_class) == ["telefone"] * 4 + [None] * 5
+
+
 def test_codes_and_tokens(spark):
     assert column(spark, ["", "abc", "1234", "123-456", None, "13280-000"], text.postal_code) == [None] * 5 + ["13280000"]
     words = ["(11)", "4411-0062", "(11) 4411-0062", "1234567|", "Fonêutrico,", "Centro", " .|", None]

@@ -529,13 +529,10 @@ def o41_alias(spark, d):
     return load(spark, d, "fac").select("id", text.canonical_service(F.expr(ALIAS_OF)).alias("service"))
 
 
-#: The derived addresses hold one phone number and one mark only.
-CLEAN_SQL = "trim(regexp_replace(replace(replace(endereco, '(11) 4411-0062', ''), 's/n', ''), ' +', ' ', 'g'), ' ,-')"
-
-
-@query(with_tables("fac") + f"SELECT id, {CLEAN_SQL} AS address FROM fac")
+# the derived table puts numbers of all shapes, marks and brackets around addresses whose own numbers must stay
+@query(with_tables("addr") + "SELECT id, base AS address FROM addr")
 def o42_clean_address(spark, d):
-    return load(spark, d, "fac").select("id", text.clean_address(F.col("endereco")).alias("address"))
+    return load(spark, d, "addr").select("id", text.clean_address(F.col("dirty")).alias("address"))
 
 
 @query(with_tables("fac") + "SELECT id, CASE WHEN regexp_extract(endereco, '^([^,0-9]+)', 1) = '' THEN endereco ELSE trim(regexp_extract(endereco, '^([^,0-9]+)', 1)) END AS street FROM fac")
@@ -736,6 +733,8 @@ def o68_city_fallback(spark, d):
     return search.city_fallback(_origins(spark, d), load(spark, d, "fac"))
 
 
+#: The addresses of `fac` hold one phone number and one mark only; o42 has all shapes.
+CLEAN_SQL = "trim(regexp_replace(replace(replace(endereco, '(11) 4411-0062', ''), 's/n', ''), ' +', ' ', 'g'), ' ,-')"
 CANDS = f"""ca AS (SELECT id, 0 AS pos, concat({CLEAN_SQL}, ', ', municipio, ', ', uf, ', Brasil') AS query_key FROM fac WHERE coalesce(endereco, '') <> ''
   UNION ALL SELECT id, 1, concat(CASE WHEN regexp_extract({CLEAN_SQL}, '^([^,0-9]+)', 1) = '' THEN {CLEAN_SQL} ELSE trim(regexp_extract({CLEAN_SQL}, '^([^,0-9]+)', 1)) END, ', ', municipio, ', ', uf, ', Brasil') FROM fac WHERE coalesce(endereco, '') <> ''
   UNION ALL SELECT id, 2, concat(municipio, ', ', uf, ', Brasil') FROM fac),

@@ -26,6 +26,16 @@ SELECT CAST(c_custkey AS INT) AS id,
   CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE CAST((c_custkey * 104729) % 38000 - 73000 AS DOUBLE) / 1000 END AS lng,
   CASE WHEN c_custkey % 8 = 0 THEN 'pdf_ocr' ELSE 'pdf_texto' END AS fonte_extracao
 FROM {customer}""",
+    "addr": """
+SELECT id, base, concat(CASE WHEN noise_at = 0 THEN concat(noise, ' ') ELSE '' END, base, CASE WHEN noise_at > 0 THEN concat(split_part(' | - |, ', '|', noise_at), noise) ELSE '' END, CASE WHEN noise_at = 3 THEN ' , ' ELSE '' END) AS dirty
+FROM (SELECT id, CAST(id % 4 AS INT) AS noise_at,
+  concat(split_part('Rua|Avenida|Praça|Km 21,|Qd. 07,', '|', CAST(1 + id % 5 AS INT)), ' ', CAST(id AS VARCHAR(10)), split_part('| - Centro| 123-4567| 12-34 fundos|, sala 1234-567', '|', CAST(1 + (id * 7) % 5 AS INT))) AS base,
+  CASE WHEN id % 11 < 5 THEN concat('(', substr('11987', 1, CAST(2 + id % 2 AS INT)), ')', substr('  ', 1, CAST(id % 3 AS INT)), substr('98765', 1, CAST(3 + (id * 3) % 3 AS INT)),
+      split_part('-| |', '|', CAST(1 + (id * 5) % 3 AS INT)), substr('43210', 1, CAST(3 + (id * 11) % 3 AS INT)))
+    WHEN id % 11 < 8 THEN concat(substr('38569', 1, CAST(4 + id % 2 AS INT)), CASE WHEN id % 3 = 0 THEN ' ' ELSE '-' END, '9600')
+    WHEN id % 11 = 8 THEN split_part('s/n|S/N|s/nº|S/No', '|', CAST(1 + id % 4 AS INT))
+    WHEN id % 11 = 9 THEN concat('(ao lado do ', CAST(id AS VARCHAR(10)), ')') ELSE '' END AS noise
+ FROM (SELECT CAST(c_custkey AS BIGINT) AS id FROM {customer}) c) d""",
     "ori": """
 SELECT s_suppkey AS origin_id, CAST((s_suppkey * 6007 + 11) % 38000 - 33000 AS DOUBLE) / 1000 AS lat, CAST((s_suppkey * 3571 + 7) % 38000 - 73000 AS DOUBLE) / 1000 AS lng FROM {supplier}""",
     "req": """
