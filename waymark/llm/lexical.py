@@ -259,7 +259,8 @@ def search(items: DataFrame, docs: DataFrame, k: int = K, item_col: str = "item_
     starts = made.select("slice").distinct().select(F.col("slice").alias("at"), F.pmod(F.xxhash64("slice"), F.lit(width)).cast("int").alias("salt"), everywhere)
     salted = plan.select("*", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("salt"))
     empty = [F.array().cast(f"array<{kind}>").alias(c) for c, kind in (("acc_item", "int"), ("acc_place", "int"), ("acc_score", "long"))]
-    bundles = starts.join(salted, ["bundle", "salt"]).select("at", "bundle", "items", *[c for c in plan.columns if c not in ("bundle", "items")], *empty)
+    bundles = starts.join(salted.hint("merge"), ["bundle", "salt"])  # copies grow with the cluster's width: not to be broadcast
+    bundles = bundles.select("at", "bundle", "items", *[c for c in plan.columns if c not in ("bundle", "items")], *empty)
 
     for o in range(owners):
         last = o == owners - 1
