@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from waymark.functions import geo
 from waymark.operators import geojoin, layout, lookup, merge, metrics, pages, search, tables
 from waymark.streaming import streams
 
@@ -123,6 +124,20 @@ def test_radius_join_is_the_brute_force(spark):
     assert nearest.groupBy("origin_id").count().agg(F.max("count")).first()[0] <= 2
 
 
+def test_an_origin_meets_what_its_reach_holds(spark):
+    """Facilities evenly over a square of 400 km: what an origin meets goes with its own reach, beside origins that look very far."""
+    fac = spark.sql("SELECT id AS id, (id % 300 - 150) * 1.8 / 150 AS lat, (id DIV 300 - 150) * 1.8 / 150 AS lng, 'SP' AS uf, '' AS atendimentos_raw FROM range(90000)")
+    ori = spark.createDataFrame([(1, 0.003, 0.002, 2_000.0), (2, 0.1, -0.2, 5_000.0), (3, -0.7, 0.4, 30_000.0), (4, 0.0, 0.0, 199_000.0), (5, 0.0, 0.0, -1.0), (6, 0.5, 0.5, None), (7, 89.9999, 10.0, 50_000.0), (8, 0.0, 179.9999, 400.0)], "origin_id int, lat double, lng double, metres double")
+    extra = spark.createDataFrame([(90_001, 89.9999, -170.0, "SP", ""), (90_002, 0.0, -179.9999, "SP", ""), (90_003, 0.0, 0.0, "SP", "")], "id long, lat double, lng double, uf string, atendimentos_raw string")
+    fac = fac.unionByName(extra)
+    every = ori.join(fac.withColumnsRenamed({"lat": "la", "lng": "ln"}), F.lit(True)).where(geo.distance(F.col("lat"), F.col("lng"), F.col("la"), F.col("ln")) <= F.least(F.coalesce("metres", F.lit(10_000.0)), F.lit(200_000.0)))
+    want = {r["origin_id"]: (r["n"], r["s"]) for r in every.groupBy("origin_id").agg(F.count("*").alias("n"), F.sum("id").alias("s")).collect()}
+    got = geojoin.radius_join(ori, fac, 10_000).groupBy("origin_id").agg(F.count("*").alias("n"), F.sum("id").alias("s")).collect()
+    assert {r["origin_id"]: (r["n"], r["s"]) for r in got} == want and {7, 8} <= set(want) and 5 not in want
+    met = {r["origin_id"]: r["count"] for r in geojoin.candidates(ori, fac, 10_000).groupBy("origin_id").count().collect()}
+    assert all(met[i] <= 12 * want[i][0] + 40 for i in want)
+
+
 def test_equator_is_a_place(spark):
     fac = spark.createDataFrame([(1, "AP", "M", "U", None, None, "", 0.0, 0.0), (2, "AP", "M", "U", None, None, "", None, 0.0)], FAC)
     assert rows(geojoin.radius_search(fac, 0.0, 0.0), "id") == [(1,)]

@@ -1,7 +1,8 @@
 """Radius search and radius / nearest-facility joins.
 
-Positions are points in space; a cube of a grid whose edge is the radius' chord has all its neighbours within one step, so a radius join is
-an equi-join on cells with an exact filter, whatever the latitude. Origins go to 27 cells each, facilities to one: the larger table isn't copied.
+Positions are points in space, and a radius join is an equi-join on cubes of a grid with an exact filter, whatever the latitude. The grid has levels, whose edges are powers of
+two of FINEST: an origin looks in the level of its own reach, in the two or three cubes along each axis that its reach touches, so that what it meets goes with its reach
+and not with the largest one. Facilities are in one cube of each level that some origin uses.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from waymark.functions.geo import RADIUS, arc, chord, chord_of, point
 from waymark.functions.text import canonical_service, services
 
 XYZ = ("_x", "_y", "_z")
+#: The edge of the finest cubes in metres.
+FINEST = 1000.0
 
 
 def located(rows: DataFrame) -> DataFrame:
@@ -46,31 +49,41 @@ def _constants(lat: float, lng: float) -> tuple[float, float, float]:
     return RADIUS * math.cos(a) * math.cos(b), RADIUS * math.cos(a) * math.sin(b), RADIUS * math.sin(a)
 
 
-def radius_join(origins: DataFrame, facilities: DataFrame, metres: float = 50_000, k: int | None = None, most: float = 200_000) -> DataFrame:
-    """origin_id, id, distance_m (and rank) of all pairs within reach; with k, each origin's k nearest of them.
-
-    Origins may have a reach of their own (metres, at most `most`; null: the argument), a state (uf, in either case) and a service (any of its names; one
-    that is unknown fits no facility); null asks for nothing. A dense cell can hold very many facilities: the join is a plain equi-join on cells, which
-    adaptive execution splits, and for k the ranks are limited before the shuffle by origin.
-    """
+def candidates(origins: DataFrame, facilities: DataFrame, metres: float = 50_000, most: float = 200_000) -> DataFrame:
+    """The pairs that radius_join measures: origin_id, id and what the filters need, for all facilities in the cubes that an origin's reach touches."""
     reach = F.least(F.coalesce("metres", F.lit(float(metres))), F.lit(float(most))) if "metres" in origins.columns else F.lit(float(metres))
-    edge = chord_of(most if "metres" in origins.columns else metres)
-    cell = [F.floor(F.col(c) / edge) for c in XYZ]
-    here = located(facilities).withColumns({f"_c{i}": c for i, c in enumerate(cell)})
-    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
     asked = {"_metres": reach}
     if "uf" in origins.columns:
         asked["_uf"] = F.upper("uf")
     if "service" in origins.columns:
         asked |= {"_service": canonical_service(F.col("service")), "_any_service": F.col("service").isNull()}
-    there = located(origins).select("origin_id", *[c.alias(n) for n, c in asked.items()], *[F.col(c).alias(f"o{c}") for c in XYZ], *[c.alias(f"_b{i}") for i, c in enumerate(cell)])
-    for i in range(3):
-        there = there.withColumn(f"_c{i}", F.explode(F.transform(step, _shifted(f"_b{i}"))))
+    there = located(origins).select("origin_id", *[c.alias(n) for n, c in asked.items()], *[F.col(c).alias(f"o{c}") for c in XYZ]).where("_metres >= 0")
+    span = F.lit(2 * RADIUS) * F.sin(F.least(F.lit(math.pi / 2), F.col("_metres") / (2 * RADIUS))) + 1e-6
+    there = there.withColumn("_span", span).withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2(F.col("_span") / FINEST))).cast("int"))
+    levels = sorted(r[0] for r in there.select("_level").distinct().collect())  # 15 at most: the sphere's diameter is the longest chord
+    edge = F.lit(FINEST) * F.pow(F.lit(2.0), F.col("_level"))
+    here = located(facilities).withColumn("_level", F.explode(F.array(*map(F.lit, levels or [0]))))
+    cells = []
+    for c in XYZ:
+        cells.append(f"_cell{c}")
+        touched = F.sequence(F.floor((F.col(f"o{c}") - F.col("_span")) / edge), F.floor((F.col(f"o{c}") + F.col("_span")) / edge))
+        there = there.withColumn(cells[-1], F.explode(touched))
+        here = here.withColumn(cells[-1], F.floor(F.col(c) / edge))
     read = [F.col("uf")] * ("_uf" in asked) + [services(F.col("atendimentos_raw")).alias("_services")] * ("_service" in asked)
-    pairs = there.drop("_b0", "_b1", "_b2").join(here.select("id", *XYZ, "_c0", "_c1", "_c2", *read), ["_c0", "_c1", "_c2"])
-    if "_uf" in asked:
+    return there.join(here.select("id", *XYZ, "_level", *cells, *read), ["_level", *cells])
+
+
+def radius_join(origins: DataFrame, facilities: DataFrame, metres: float = 50_000, k: int | None = None, most: float = 200_000) -> DataFrame:
+    """origin_id, id, distance_m (and rank) of all pairs within reach; with k, each origin's k nearest of them.
+
+    Origins may have a reach of their own (metres, at most `most`; null: the argument; below 0: nothing), a state (uf, in either case) and a service (any of its names; one
+    that is unknown fits no facility); null asks for nothing. A dense cube can hold very many facilities: the join is a plain equi-join on cubes, which
+    adaptive execution splits, and for k the ranks are limited before the shuffle by origin.
+    """
+    pairs = candidates(origins, facilities, metres, most)
+    if "_uf" in pairs.columns:
         pairs = pairs.where(F.col("_uf").isNull() | (F.col("_uf") == F.col("uf")))
-    if "_service" in asked:
+    if "_service" in pairs.columns:
         pairs = pairs.where(F.col("_any_service") | F.coalesce(F.array_contains("_services", F.col("_service")), F.lit(False)))
     d = arc(chord(tuple(F.col(c) for c in XYZ), tuple(F.col(f"o{c}") for c in XYZ)))
     near = pairs.withColumn("distance_m", d).where(F.col("distance_m") <= F.col("_metres")).select("origin_id", "id", "distance_m")
@@ -79,10 +92,6 @@ def radius_join(origins: DataFrame, facilities: DataFrame, metres: float = 50_00
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("origin_id").orderBy("distance_m", "id"))).where(F.col("rank") <= k)
 
 
-def _shifted(name: str):
-    return lambda s: F.col(name) + s
-
-
 TABLE_FUNCTION = """
 CREATE OR REPLACE TEMPORARY FUNCTION facilities_near(p_lat DOUBLE, p_lng DOUBLE, p_metres DOUBLE DEFAULT 50000, p_uf STRING DEFAULT NULL, p_service STRING DEFAULT NULL, p_limit INT DEFAULT 50)
 RETURNS TABLE (id INT, uf STRING, municipio STRING, distance_m DOUBLE)

@@ -710,6 +710,16 @@ def o66_nearest_join(spark, d):
     return geojoin.radius_join(spark.sql(OWN_REACH, ori=load(spark, d, "ori")), load(spark, d, "fac"), 150_000, 3).withColumn("distance_m", F.round("distance_m", 1))
 
 
+REACHES = "SELECT *, CAST(500 * CAST(POWER(3, origin_id % 7) AS INT) AS DOUBLE) AS metres FROM {ori}"
+REACHES_SQL = f"o AS ({REACHES.replace('{ori}', 'ori')}), n AS (SELECT o.*, fac.id AS id, {duck_distance('fac', 'o')} AS m FROM o JOIN fac ON fac.lat IS NOT NULL AND abs(fac.lat - o.lat) < 2.5)"
+
+
+@query(with_tables("fac", "ori", more=REACHES_SQL) + "SELECT origin_id, id, round(m, 1) AS distance_m FROM n WHERE m <= least(metres, 200000)")
+def o66_levels_join(spark, d):
+    """Reaches from 500 m to 364 km (200 km are the most)."""
+    return geojoin.radius_join(spark.sql(REACHES, ori=load(spark, d, "ori")), load(spark, d, "fac")).withColumn("distance_m", F.round("distance_m", 1))
+
+
 ASKS = """SELECT origin_id AS request_id, CASE WHEN origin_id % 4 = 0 THEN lat END AS lat, CASE WHEN origin_id % 4 = 0 THEN lng END AS lng,
   CASE WHEN origin_id % 4 IN (0, 1, 2) THEN lpad(CAST(origin_id * CASE WHEN origin_id % 5 = 0 THEN 100000 ELSE 1 END AS VARCHAR(12)), 8, '0') END AS cep,
   CASE WHEN origin_id % 4 = 3 AND origin_id % 3 <> 0 THEN split_part('São|polis|Jundiaí|Bom', '|', CAST(1 + origin_id % 4 AS INT)) END AS cidade, CASE WHEN origin_id % 6 = 0 THEN 'SP' END AS uf, CASE WHEN origin_id % 5 = 1 THEN 'cascavel' END AS service FROM {ori}"""
