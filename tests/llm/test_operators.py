@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -254,23 +255,75 @@ def test_pattern_plan_covers_the_histogram():
     assert sum(n for n, _ in steps) <= 1.005 * total / 1024
 
 
+# secret scan: long texts
+
+
+def test_candidates_are_linear_in_a_text(spark):
+    """A hundred thousand candidates in one text, each with its place and its own context."""
+    found = [f"tokenabc{i:012d}zz" for i in range(100_000)]
+    text = " é\n".join(found)
+    began = time.time()
+    got = secrets.candidates(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).orderBy("n").collect()
+    assert time.time() - began < 60
+    assert [r["finding"] for r in got] == found and [r["n"] for r in got] == list(range(100_000))
+    assert all(text[r["start"] : r["start"] + 22] == r["finding"] for r in got)
+    assert got[5]["left"] == text[: got[5]["start"]][-3:] and got[5]["right"] == " é\n"
+
+
 # mixing
 
 
+def by_slots(sizes, most):
+    """{(source, k): slot} of the one schedule from slot 0, earliest deadline first, with whole parts; sizes: [(source, share, n)]."""
+    total, placed, out = sum(a for _, a, _ in sizes), [0] * len(sizes), {}
+    for t in range(most):
+        due = [(-(-(placed[i] + 1) * total // a), i) for i, (_, a, _) in enumerate(sizes) if placed[i] * total // a <= t]
+        _, i = min(due)
+        if placed[i] <= sizes[i][2]:
+            out[sizes[i][0], placed[i]] = t
+        placed[i] += 1
+    return out
+
+
+@pytest.mark.parametrize("segment", [None, 1, 7, 64])
+def test_schedule_in_segments_is_the_one_from_the_start(spark, segment):
+    """Whatever the segments, with shares that have no common period."""
+    for sizes in ([("a", 1000003, 90), ("b", 414213, 40), ("c", 271828, 20), ("d", 57721, 5)], [(f"s{i:02}", 7 + 13 * i % 11, 9) for i in range(12)], [("one", 5, 3)]):
+        got = mixing.schedule(spark.createDataFrame(sizes, "source string, share long, n long"), segment).collect()
+        need = max(-(-(n + 1) * sum(a for _, a, _ in sizes) // a) for _, a, n in sizes)
+        assert {(r["source"], r["k"]): r["slot"] for r in got} == by_slots(sizes, need) and len(got) == sum(n + 1 for _, _, n in sizes)
+
+
+def test_deviation_from_the_given_weights(spark):
+    """One source of 10,000,000 rows beside 300 of 1000, by their sizes: each less than a block off its exact weight at every slot."""
+    rows = [("=large", 10_000_000)] + [(f"={i:03}", 1000) for i in range(300)]
+    share = mixing.shares(spark.createDataFrame([(s, float(n)) for s, n in rows], "source string, weight double"))
+    sizes = share.join(spark.createDataFrame([(s, -(-n // 32)) for s, n in rows], "source string, n long"), "source")
+    got = mixing.schedule(sizes).toPandas().sort_values("slot")
+    assert got.slot.is_unique and len(got) == 312_501 + 300 * 33
+    of = dict(rows)
+    for name, own in got.groupby("source"):
+        w, slots, k = of[name] / 10_300_000, own.slot.to_numpy(), own.k.to_numpy()
+        assert (k == np.arange(len(k))).all()
+        assert (k + 1 - w * (slots + 1) < 1.001).all() and (w * slots - k < 1.001).all()  # the thousandth: parts of 2^40
+
+
 def test_mixing_deviation_and_cases(spark):
     rows = [(i, "t", "x", ["a", "b", "c", None][min(3, i % 7 // 2)], 0) for i in range(4000)] + [(None, "t", "x", "a", 0), (5, "t", "x", "a", 0)]
     docs = spark.createDataFrame(rows, DOCS).withColumn("slot", F.lit("clash"))
-    got = mixing.mix(docs, spark.createDataFrame([("a", 5.0), ("b", 2.0), ("c", -1.0)], "source string, weight double"), cycle=20, block_rows=8).toPandas()
+    got = mixing.mix(docs, spark.createDataFrame([("a", 5.0), ("b", 2.0), ("c", -1.0), ("gone", 0.5)], "source string, weight double"), block_rows=8).toPandas()
     assert len(got) == len(rows)
     assert ((got.slot >= got.release) & (got.slot < got.deadline)).all()
-    assert not got.duplicated(["slot", "place"]).any()
-    share = {r["source"]: r["share"] for r in mixing.shares(spark.createDataFrame([("=a", 5.0), ("=b", 2.0), ("=c", -1.0), ("", None)], "source string, weight double"), 20).collect()}
-    assert sum(share.values()) == 20 and share["=c"] == 1 and share[""] == 1
+    assert not got.duplicated(["slot", "place"]).any() and (got.groupby(["source", "block"], dropna=False).slot.nunique() == 1).all()
+    weight = {"a": 5.0, "b": 2.0, "c": 2.0, "": 2.0}  # the least of those given to sources that have rows
     blocks = got[got.balanced].groupby(["slot"]).source.first().fillna("")
-    for name, n in share.items():
-        placed = (blocks == name.removeprefix("=")).cumsum().to_numpy()
-        assert (abs(placed - n / 20 * (np.arange(len(placed)) + 1)) < 1).all()
+    assert blocks.index.tolist() == list(range(len(blocks))) and 100 < len(blocks) < got[~got.balanced].slot.min()  # the next slot is empty
+    for name, n in weight.items():
+        placed = (blocks == name).cumsum().to_numpy()
+        assert (abs(placed - n / 11 * (np.arange(len(placed)) + 1)) < 1).all()
     assert mixing.mix(docs.where("false")).count() == 0
+    many = spark.createDataFrame([(i, "t", "x", f"s{i}", 0) for i in range(1500)], DOCS)  # more sources than rows in a cycle of old
+    assert sorted(r["slot"] for r in mixing.mix(many).select("slot").collect()) == list(range(1500))
 
 
 def test_mixed_order_keeps_rows_and_columns(spark, documents):

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from waymark.llm.common import stash
 
 LEAST, LONG, CONTEXT = 16, 22, 40
+STRIDE = 256
 TREES, DEPTH, BINS, TRIED, MOST_OF_A_LABEL = 12, 4, 8, 5, 2000
 #: Words beside a secret, and parts of paths that hold samples.
 BESIDE = r"(?i)(token|passw|pwd|secret|api|key|auth|bearer|credential)"
@@ -38,9 +39,22 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), text.alias("text"))
     rows = rows.where(F.col("text").rlike(CANDIDATE))
     rows = rows.select("doc_id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE).alias("around"))
-    one = rows.select("doc_id", "path", "around", F.posexplode("found").alias("n", "finding"), "found")
-    before = F.aggregate(F.slice("around", 1, F.col("n") + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice("found", 1, F.col("n")), F.lit(0), lambda a, x: a + F.length(x))
-    return one.select("doc_id", "path", "n", before.alias("start"), "finding", F.right(F.get("around", F.col("n")), F.lit(CONTEXT)).alias("left"), F.left(F.get("around", F.col("n") + 1), F.lit(CONTEXT)).alias("right"))
+    # what a finding and the text before it take; sums of STRIDE of them, and what stands before each stride
+    sizes = F.zip_with(F.slice("around", 1, F.size("found")), "found", lambda x, y: F.length(x) + F.length(y))
+    strides = F.transform(F.sequence(F.lit(0), F.floor((F.size("sizes") - 1) / STRIDE)), lambda i: _total(F.slice("sizes", i.cast("int") * STRIDE + 1, STRIDE)))
+    before = F.aggregate("strides", F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
+    rows = rows.withColumn("sizes", sizes).withColumn("strides", strides).withColumn("before", before)
+
+    def one(finding: Column, n: Column) -> Column:
+        at = F.get("before", F.floor(n / STRIDE).cast("int")) + _total(F.slice("sizes", F.floor(n / STRIDE).cast("int") * STRIDE + 1, n % STRIDE))
+        start = at + F.length(F.get("around", n))
+        return F.struct(n.alias("n"), start.alias("start"), finding.alias("finding"), F.right(F.get("around", n), F.lit(CONTEXT)).alias("left"), F.left(F.get("around", n + 1), F.lit(CONTEXT)).alias("right"))
+
+    return rows.select("doc_id", "path", F.inline(F.transform("found", one)))
+
+
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -55,16 +69,16 @@ def _code(char: Column) -> Column:
 def corpus_tables(docs: DataFrame, text_col: str = "text") -> tuple[list[float], list[int]]:
     """Log-probabilities of the 26 * 26 letter transitions over all words, and a mark for each of the 26^3 letter triples that all words hold more often than the mean triple."""
     counts = stash(word_counts(docs, text_col), "words")
-    at = F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("i")
-    pairs = counts.select("word", "n", at).groupBy((_code(F.substring("word", F.col("i"), F.lit(1))) * 26 + _code(F.substring("word", F.col("i") + 1, F.lit(1)))).alias("pair")).agg(F.sum("n").alias("n"))
-    seen = [1.0] * 676
-    for r in pairs.collect():  # 676 rows at most
-        seen[r["pair"]] += r["n"]
+    letter = lambda i: F.ascii(F.substring("word", i, F.lit(1))) - 97
+    # pairs and triples in one pass: the third letter is 0 at a word's end
+    coded = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: (letter(i) * 26 + letter(i + 1)) * 27 + F.when(i + 2 <= F.length("word"), letter(i + 2) + 1).otherwise(0))
+    seen, triples = [1.0] * 676, {}
+    for r in counts.select("n", F.explode(coded).alias("code")).groupBy("code").agg(F.sum("n").alias("n")).collect():  # 676 * 27 rows at most
+        pair, third = divmod(r["code"], 27)
+        seen[pair] += r["n"]
+        if third:
+            triples[pair * 26 + third - 1] = r["n"]
     logs = [math.log(seen[i] / sum(seen[i // 26 * 26 : i // 26 * 26 + 26])) for i in range(676)]
-    long = counts.where(F.length("word") >= 3)
-    triple = F.explode(F.sequence(F.lit(1), F.length("word") - 2)).alias("i")
-    coded = sum((_code(F.substring("word", F.col("i") + j, F.lit(1))) * 26 ** (2 - j) for j in range(3)), F.lit(0))
-    triples = {r["t"]: r["n"] for r in long.select("word", "n", triple).groupBy(coded.alias("t")).agg(F.sum("n").alias("n")).collect()}  # 26^3 rows at most
     usual = sum(triples.values()) / 26**3
     marks = [int(triples.get(t, 0) > usual) for t in range(26**3)]
     return logs, marks
