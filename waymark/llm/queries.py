@@ -144,25 +144,21 @@ ORACLE = {
           CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> response THEN response END AS refers_to FROM r""",
     "op4_pfair_mixing": """
         WITH RECURSIVE src AS (SELECT coalesce('=' || source, '') AS key, count(*) AS n FROM documents GROUP BY 1),
-        w AS (SELECT key, n, sqrt(CAST(n AS DOUBLE)) AS w, count(*) OVER () AS m, sum(sqrt(CAST(n AS DOUBLE))) OVER () AS total FROM src),
-        e AS (SELECT key, n, m, w * (1000 - m) / total AS exact FROM w),
-        f AS (SELECT key, n, m, CAST(floor(exact) AS BIGINT) AS whole, exact - floor(exact) AS rest FROM e),
-        l AS (SELECT *, 1000 - m - sum(whole) OVER () AS left_over, row_number() OVER (ORDER BY rest DESC, key) AS turn FROM f),
-        sh AS (SELECT key, n, CAST(1 + whole + left_over // m + CASE WHEN turn <= left_over % m THEN 1 ELSE 0 END AS BIGINT) AS share FROM l),
-        s AS (SELECT list(key ORDER BY key) AS keys, list(share ORDER BY key) AS a FROM sh),
+        sh AS (SELECT key, n, CAST(greatest(1, round(sqrt(CAST(n AS DOUBLE)) / max(sqrt(CAST(n AS DOUBLE))) OVER () * 1099511627776)) AS HUGEINT) AS share FROM src),
+        s AS (SELECT list(key ORDER BY key) AS keys, list(share ORDER BY key) AS a, CAST(sum(share) AS HUGEINT) AS total, max(((n + 31) // 32 + 1) / CAST(share AS DOUBLE)) * CAST(sum(share) AS DOUBLE) + 2 AS slots FROM sh),
         sched AS (
-          SELECT CAST(-1 AS BIGINT) AS slot, list_transform(a, lambda x: CAST(0 AS BIGINT)) AS placed, CAST(NULL AS STRUCT(due BIGINT, i BIGINT, k BIGINT)) AS best FROM s
+          SELECT CAST(-1 AS HUGEINT) AS slot, list_transform(a, lambda x: CAST(0 AS HUGEINT)) AS placed, CAST(NULL AS STRUCT(due HUGEINT, i BIGINT, k HUGEINT)) AS best FROM s
           UNION ALL
           SELECT slot, list_transform(range(1, len(placed) + 1), lambda i: placed[i] + CASE WHEN i = best.i THEN 1 ELSE 0 END), best
           FROM (SELECT slot + 1 AS slot, placed, list_min(list_filter(list_transform(range(1, len(placed) + 1), lambda i:
-                  CASE WHEN placed[i] < a[i] AND placed[i] * 1000 // a[i] <= slot + 1 THEN {'due': ((placed[i] + 1) * 1000 + a[i] - 1) // a[i], 'i': i, 'k': placed[i]} END),
-                  lambda b: b IS NOT NULL)) AS best FROM sched, s WHERE slot < 999) x),
-        cyc AS (SELECT keys[best.i] AS key, best.k AS k, slot FROM sched, s WHERE slot >= 0),
-        ends AS (SELECT min(((n + 31) // 32) // share * 1000 + slot) AS horizon FROM sh JOIN cyc USING (key) WHERE k = ((n + 31) // 32) % share),
+                  CASE WHEN placed[i] * total // a[i] <= slot + 1 THEN {'due': ((placed[i] + 1) * total + a[i] - 1) // a[i], 'i': i, 'k': placed[i]} END),
+                  lambda b: b IS NOT NULL)) AS best FROM sched, s WHERE slot < slots) x),
+        laid AS (SELECT keys[best.i] AS key, best.k AS k, slot FROM sched, s WHERE slot >= 0),
+        ends AS (SELECT min(slot) AS horizon FROM sh JOIN laid USING (key) WHERE k = (n + 31) // 32),
         r AS (SELECT doc_id, source, coalesce('=' || source, '') AS key, row_number() OVER (PARTITION BY coalesce('=' || source, '') ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS rk FROM documents)
-        SELECT doc_id, source, rk // 32 AS block, (rk // 32) // share * 1000 + slot AS slot, rk % 32 AS place, (rk // 32) * 1000 // share AS release,
-          ((rk // 32 + 1) * 1000 + share - 1) // share AS deadline, (rk // 32) // share * 1000 + slot < horizon AS balanced
-        FROM r JOIN sh USING (key) JOIN cyc ON cyc.key = r.key AND cyc.k = (rk // 32) % share, ends""",
+        SELECT doc_id, source, rk // 32 AS block, CAST(slot AS BIGINT) AS slot, rk % 32 AS place, CAST((rk // 32) * total // share AS BIGINT) AS release,
+          CAST(((rk // 32 + 1) * total + share - 1) // share AS BIGINT) AS deadline, slot < horizon AS balanced
+        FROM r JOIN sh USING (key) JOIN laid ON laid.key = r.key AND laid.k = rk // 32, ends, s""",
     "op11_fill_in_middle": r"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
             regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units FROM documents),
