@@ -51,10 +51,15 @@ def merge(stored: DataFrame, incoming: DataFrame, now: Column | None = None) ->
     return rows.select("op", F.col("old.id").alias("id"), F.col("new.seq").alias("seq"), *[value(c).alias(c) for c in columns if c != STATUS], status.alias(STATUS), moved.alias("address_changed"), (~update | differs).alias("changed"))
 
 
-def number_inserts(changes: DataFrame, first: int, slices: int = 32) -> DataFrame:
-    """changes with ids first, first + 1, ... for inserts in the order of seq: rows are ranked in slices between sampled quantiles, never all in one task."""
+#: The rows that a task numbers.
+SLICE_ROWS = 200_000
+
+
+def number_inserts(changes: DataFrame, first: int) -> DataFrame:
+    """changes with ids first, first + 1, ... for inserts in the order of seq: rows are ranked in slices of about SLICE_ROWS between sampled quantiles, never all in one task."""
     inserts = changes.where("op = 'insert'")
-    cuts = sorted(set(inserts.approxQuantile("seq", [i / slices for i in range(1, slices)], 0.002)))  # fewer than slices numbers
+    slices = 1 + inserts.count() // SLICE_ROWS
+    cuts = sorted(set(inserts.approxQuantile("seq", [i / slices for i in range(1, slices)], 0.2 / slices))) if slices > 1 else []
     at = sum((F.when(F.col("seq") > c, 1).otherwise(0) for c in cuts), F.lit(0))
     inserts = inserts.withColumn("_slice", at)
     starts = inserts.groupBy("_slice").count()  # slices rows at most
@@ -65,8 +70,8 @@ def number_inserts(changes: DataFrame, first: int, slices: int = 32) -> DataFram
 
 
 def apply(stored: DataFrame, changes: DataFrame) -> DataFrame:
-    """The stored table, with all its columns, after changes whose inserts have ids."""
-    untouched = stored.join(changes.where("op <> 'insert'").select("id"), "id", "left_anti").select(*stored.columns)
+    """The stored table, with all its columns, after changes whose inserts have ids; applying them again changes nothing."""
+    untouched = stored.join(changes.select("id"), "id", "left_anti").select(*stored.columns)
     return untouched.unionByName(changes.where("op <> 'delete'").select(*stored.columns))
 
 

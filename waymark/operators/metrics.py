@@ -59,6 +59,31 @@ def hourly(log: DataFrame, now: Column | None = None, hours: int = 48) -> DataFr
     return out.orderBy(F.desc("hour"))
 
 
+def sketch_names(columns: list[str]) -> list[str]:
+    return ["ips"] + ["durations"] * ("duracao_ms" in columns)
+
+
+def sketches(columns: list[str]) -> list[Column]:
+    """Aggregates that can be merged: of addresses (for distinct counts), and of durations (for quantiles) where the log has them."""
+    return [F.hll_sketch_agg("ip", 14).alias("ips"), *[F.kll_sketch_agg_bigint(F.col("duracao_ms").cast("long"), 400).alias("durations")] * ("duracao_ms" in columns)]
+
+
+def hour_sketches(log: DataFrame) -> DataFrame:
+    """hour, total, errors, and sketches as binary: what is needed of a log for any span of whole hours."""
+    return log.groupBy(F.date_trunc("hour", "criado_em").alias("hour")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") >= 400).alias("errors"), *sketches(log.columns))
+
+
+def merged(hours: DataFrame, *by: Column) -> DataFrame:
+    """by, total, errors (exact), ips (approximate) and p95_ms (approximate, where durations were kept) of hours together; without by, one row."""
+    out = hours.groupBy(*by).agg(
+        F.sum("total").alias("total"),
+        F.sum("errors").alias("errors"),
+        F.hll_sketch_estimate(F.hll_union_agg("ips")).alias("ips"),
+        *[F.kll_sketch_get_quantile_bigint(F.kll_merge_agg_bigint("durations"), F.lit(0.95)).alias("p95_ms")] * ("durations" in hours.columns),
+    )
+    return out
+
+
 def retain(log: DataFrame, now: Column, days: int = 30) -> tuple[DataFrame, DataFrame]:
     """The rows that stay, and one row with the number of those removed."""
     old = F.col("criado_em") < now - F.expr(f"INTERVAL {days} DAYS")

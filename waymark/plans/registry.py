@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import geo, logs, text
-from waymark.operators import geojoin, layout, lookup, merge, metrics, pages, search, tables
+from waymark.operators import geojoin, layout, lookup, merge, metrics, pages, search, stored, tables
 from waymark.sources.derived import load, with_tables
 from waymark.streaming import streams
 
@@ -821,6 +821,18 @@ def o76_overview(spark, d):
     return metrics.overview(log, now_of(log))
 
 
+@query(with_tables("req") + "SELECT date_trunc('day', criado_em) AS day, count(*) AS total, count(*) FILTER (status >= 400) AS errors, true AS ips_close, true AS p95_close FROM req GROUP BY 1")
+def o76_overview_by_hours(spark, d):
+    """Days merged from the sketches of their hours, which are written first: counts exactly, addresses within 3 %, the 95th percentile within a hundredth of the ranks."""
+    log, at = load(spark, d, "req"), _scratch(spark, "hours")
+    metrics.hour_sketches(log).write.parquet(at)
+    day = lambda c: F.date_trunc("day", c).alias("day")
+    days = metrics.merged(spark.read.parquet(at), day("hour"))
+    exact = log.groupBy(day("criado_em")).agg(F.count_distinct("ip").alias("n"), F.percentile("duracao_ms", F.array(F.lit(0.94), F.lit(0.96))).alias("p"))
+    close = [(F.abs(F.col("ips") - F.col("n")) <= F.greatest(F.lit(1.0), 0.03 * F.col("n"))).alias("ips_close"), F.col("p95_ms").between(F.floor(F.col("p")[0]), F.ceil(F.col("p")[1])).alias("p95_close")]
+    return days.join(exact, "day").select("day", "total", "errors", *close)
+
+
 @query(with_tables("req", more=NOW) + "SELECT rota, count(*) AS total, count(*) FILTER (status >= 400) AS errors, CAST(round(CAST(100.0 * count(*) FILTER (status >= 400) / count(*) AS DECIMAL(20,6)), 2) AS DOUBLE) AS error_pct, CAST(round(CAST(avg(duracao_ms) AS DECIMAL(20,6)), 1) AS DOUBLE) AS mean_ms FROM r24 GROUP BY rota")
 def o77_by_route(spark, d):
     log = load(spark, d, "req")
@@ -851,6 +863,15 @@ def o81_retention(spark, d):
     return kept.agg(F.count(F.lit(1)).alias("kept")).join(F.broadcast(removed))
 
 
+@query(with_tables("req", more="t AS (SELECT max(criado_em) AS now FROM req)") + "SELECT (SELECT count(*) FROM req, t WHERE NOT criado_em < now - INTERVAL 10 DAY) AS kept, (SELECT count(*) FROM req, t WHERE criado_em < now - INTERVAL 10 DAY) AS removed, (SELECT count(DISTINCT date_trunc('day', criado_em)) FROM req, t WHERE date_trunc('day', criado_em) < date_trunc('day', now - INTERVAL 10 DAY)) AS dropped")
+def o81_retention_by_days(spark, d):
+    """The log as it is stored, by day: whole days go with their files."""
+    log, at = load(spark, d, "req"), _scratch(spark, "days")
+    tables.write_partitions(log.withColumn("dia", F.date_format("criado_em", "yyyy-MM-dd")), at, "dia")
+    gone = stored.retain_days(spark, at, now_of(log) - F.expr("INTERVAL 10 DAYS"))
+    return spark.read.parquet(at).agg(F.count(F.lit(1)).alias("kept")).join(F.broadcast(gone.select("removed", "dropped")))
+
+
 USES = "SELECT r.id AS use, g.query_key AS query_key, r.criado_em AS ts, CASE WHEN g.lat IS NULL THEN 'miss' ELSE 'hit' END AS state FROM {req} r JOIN {fac} f ON f.id = 1 + r.id % (SELECT count(*) FROM {fac}) JOIN {gz} g ON g.query_key = concat(f.municipio, ', ', f.uf, ', Brasil')"
 CACHE = "SELECT *, CAST(1 AS BIGINT) AS hit_count, TIMESTAMP '2024-01-15 00:00:00' AS ultimo_hit FROM {gz}"
 
@@ -913,16 +934,10 @@ def _run(spark, stream: DataFrame, mode: str = "append") -> DataFrame:
 
 @query(with_tables("req") + "SELECT date_trunc('hour', criado_em) AS hour, count(*) AS total, count(*) FILTER (status >= 400) AS errors FROM req GROUP BY 1")
 def o88_hourly_stream(spark, d):
-    """Every hour, the last ones too; the approximate number of addresses is left out of the comparison."""
-    state: dict[str, str] = {}
-
-    def save(rows: DataFrame) -> None:
-        at = _scratch(spark, "hours")
-        rows.write.parquet(at)
-        state["at"] = at
-
-    streams.replace_result(streams.hourly(_req_stream(spark, d)), save, _scratch(spark, "hours-state")).awaitTermination()
-    return spark.read.parquet(state["at"]).select("hour", "total", "errors")
+    """Every hour, the last ones too, as kept by day; the approximate numbers are o76_overview_by_hours' matter."""
+    at = _scratch(spark, "hours")
+    streams.keep_hours(streams.hourly(_req_stream(spark, d)), at, _scratch(spark, "hours-state")).awaitTermination()
+    return spark.read.parquet(at).select("hour", "total", "errors")
 
 
 @query(with_tables("req", more=RAW_LOG_SQL) + "SELECT * FROM raw")
@@ -935,19 +950,12 @@ def o89_log_stream(spark, d):
     + "SELECT id, new.uf AS uf, new.municipio AS municipio, new.unidade AS unidade, new.endereco AS endereco, new.cnes AS cnes, new.atendimentos_raw AS atendimentos_raw, CASE WHEN same THEN old.lat END AS lat, CASE WHEN same THEN old.lng END AS lng, new.fonte_extracao AS fonte_extracao, CASE WHEN same THEN old.geocode_status ELSE 'pendente' END AS geocode_status, new.telefones AS telefones, old.confianca_ocr AS confianca_ocr FROM mn WHERE op <> 'delete'"
 )
 def o90_merge_stream(spark, d):
-    cur = load(spark, d, "cur")
-    incoming, state = _scratch(spark, "incoming"), {"at": _scratch(spark, "stored")}
+    incoming, at = _scratch(spark, "incoming"), _scratch(spark, "stored")
     load(spark, d, "inc").write.parquet(incoming)
-    cur.write.parquet(state["at"])
-
-    def save(rows: DataFrame) -> None:
-        at = _scratch(spark, "stored")
-        rows.write.parquet(at)
-        state["at"] = at
-
+    tables.write_partitions(load(spark, d, "cur"), at, "uf")
     stream = spark.readStream.schema(spark.read.parquet(incoming).schema).parquet(incoming)
-    streams.merge_batches(stream, lambda: spark.read.parquet(state["at"]), save, _scratch(spark, "merge-state")).awaitTermination()
-    return spark.read.parquet(state["at"])
+    streams.merge_batches(stream, at, _scratch(spark, "merge-log"), _scratch(spark, "merge-state")).awaitTermination()
+    return spark.read.parquet(at)
 
 
 @query(with_tables("fac", more=HERE) + f"SELECT id, uf, municipio, round({duck_distance('fac', 'h')}, 1) AS distance_m FROM fac, h WHERE fac.lat IS NOT NULL AND uf = 'SP' AND list_contains({SERVICES_SQL}, 'Botrópico') AND {duck_distance('fac', 'h')} <= 900000 ORDER BY {duck_distance('fac', 'h')}, id LIMIT 20")

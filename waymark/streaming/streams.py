@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from waymark.functions import logs
-from waymark.operators import merge
+from waymark.operators import merge, metrics, stored
+
+#: Spark's state store for transformWithState.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def shape(log: DataFrame, salt: str) -> DataFrame:
@@ -34,51 +39,102 @@ def append(stream: DataFrame, path: str, checkpoint: str, by: Column | None = No
 
 
 def hourly(stream: DataFrame, late: str = "2 hours", ts: str = "criado_em") -> DataFrame:
-    """hour, total, errors, and the approximate number of addresses, of a stream; an hour is given once it is over by `late` (in append mode; in complete or update mode at once)."""
+    """hour, total, errors, and the sketches of metrics.hour_sketches, of a stream; the state of an hour goes when the watermark passes its end.
+
+    In append mode an hour is given once, when it is over by `late`; in update mode at each change, with all of its rows so far.
+    """
     return (
         stream.withWatermark(ts, late)
         .groupBy(F.window(ts, "1 hour").alias("w"))
-        .agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") >= 400).alias("errors"), F.approx_count_distinct("ip").alias("ips"))
-        .select(F.col("w.start").alias("hour"), "total", "errors", "ips")
+        .agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") >= 400).alias("errors"), *metrics.sketches(stream.columns))
+        .select(F.col("w.start").alias("hour"), "total", "errors", *metrics.sketch_names(stream.columns))
     )
 
 
-def replace_result(stream: DataFrame, save: Callable[[DataFrame], None], checkpoint: str):
-    """Every micro-batch gives the whole result of an aggregation so far to save: no group waits for the watermark."""
-    return stream.writeStream.outputMode("complete").foreachBatch(lambda rows, _: save(rows)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def keep_hours(hours: DataFrame, path: str, checkpoint: str):
+    """Keeps the hours of a stream in update mode in a table stored by day: a micro-batch writes the days that it has hours of, each of its hours in the place of the one before.
+
+    An update has an hour's whole figures, so a batch that is repeated changes nothing; hours whose state is gone stay as they were.
+    """
+
+    def one(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        new = batch.withColumn("dia", F.date_format("hour", "yyyy-MM-dd")).persist()
+        days = [r[0] for r in new.select("dia").distinct().collect()]  # of one batch
+        rows = new
+        if stored.exists(spark, path):
+            before = stored.of_partitions(spark.read.schema(new.schema).parquet(path), "dia", days)
+            rows = new.unionByName(before.join(new.select("hour"), "hour", "left_anti"))
+        if days:
+            stored.rewrite(rows, path, "dia", days)
+        new.unpersist()
+
+    return hours.writeStream.outputMode("update").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class WindowCounter(StatefulProcessor):
+    """Counts the requests of an address in a window. Its state is one number, and rows come and go in slices, however many there are."""
+
+    def __init__(self, limit: int, seconds: int):
+        self.limit, self.seconds = limit, seconds
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.count = handle.getValueState("count", "n long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = self.count.get()[0] if self.count.exists() else None
+        if before is None:
+            self.handle.registerTimer((int(key[1]) + 1) * self.seconds * 1000)
+        n = before or 0
+        for part in rows:
+            places = np.arange(n + 1, n + len(part) + 1)
+            n += len(part)
+            yield pd.DataFrame({"id": part["id"], "ip": key[0], "criado_em": part["criado_em"], "n": places, "allowed": places <= self.limit, "remaining": np.maximum(0, self.limit - places)})
+        self.count.update((n,))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.count.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 def limit_requests(stream: DataFrame, limit: int = 15, seconds: int = 60, late: str = "1 minute") -> DataFrame:
-    """id, ip, criado_em, n, allowed, remaining of a stream, counted per address and window; state goes when the watermark passes a window's end.
+    """id, ip, criado_em, n, allowed, remaining of a stream: each request's place in its address' window, in the order of arrival.
 
-    A window's count is all that is kept. Requests of a micro-batch count in the order of their time and id.
+    A window's count is all that is kept, until a timer takes it when the watermark passes the window's end. It needs the state store ROCKS, which is set for the session.
     """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     bucket = F.floor(F.unix_millis("criado_em") / (seconds * 1000))
-
-    def count(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(["criado_em", "id"])
-        before = state.get[0] if state.exists else 0
-        state.update((before + len(rows),))
-        over_at = (int(key[1]) + 1) * seconds * 1000
-        if over_at > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(over_at)
-        n = range(before + 1, before + len(rows) + 1)
-        yield pd.DataFrame({"id": rows["id"], "ip": key[0], "criado_em": rows["criado_em"], "n": n, "allowed": [x <= limit for x in n], "remaining": [max(0, limit - x) for x in n]})
-
     timed = stream.withWatermark("criado_em", late).select("id", "ip", "criado_em", bucket.alias("bucket"))
-    return timed.groupBy("ip", "bucket").applyInPandasWithState(count, "id long, ip string, criado_em timestamp, n long, allowed boolean, remaining long", "n long", "append", "EventTimeTimeout")
+    out = "id long, ip string, criado_em timestamp, n long, allowed boolean, remaining long"
+    return timed.groupBy("ip", "bucket").transformWithStateInPandas(WindowCounter(limit, seconds), out, "append", "EventTime")
 
 
-def merge_batches(stream: DataFrame, stored: Callable[[], DataFrame], save: Callable[[DataFrame], None], checkpoint: str):
-    """Every micro-batch is a snapshot that is merged into the stored table; save replaces that table."""
+def merge_snapshot(batch: DataFrame, number: int, path: str, log: str, by: str = "uf") -> None:
+    """Merges a snapshot of some partitions (states) into a table stored by them: rows of those that the snapshot lacks are deleted, other partitions' files aren't touched.
 
-    def one(batch: DataFrame, _: int) -> None:
-        now = stored()
-        last = now.agg(F.max("id")).first()[0] or 0
-        changes = merge.number_inserts(merge.merge(now, batch), last + 1)
-        save(merge.apply(now, changes))
-
-    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    The changes, with the ids of inserted rows, are written under `log` by the batch's number before they are applied, and a mark after. A batch that is repeated does nothing if it has its mark, and
+    else applies the same changes again, which is the same as applying them once.
+    """
+    spark = batch.sparkSession
+    changed, mark = f"{log}/changes/batch={number}", f"{log}/applied/batch={number}"
+    if stored.exists(spark, mark):
+        return
+    values = [r[0] for r in batch.select(by).distinct().collect()]  # partitions of the table
+    table = spark.read.parquet(path)
+    own = stored.of_partitions(table, by, values)
+    if not stored.exists(spark, f"{changed}/_SUCCESS"):
+        last = table.agg(F.max("id")).first()[0] or 0
+        merge.number_inserts(merge.merge(own, batch), last + 1).write.mode("overwrite").parquet(changed)
+    changes = spark.read.parquet(changed)
+    if values:
+        stored.rewrite(merge.apply(own, changes), path, by, values)
+    spark.createDataFrame([(number,)], "number long").write.mode("overwrite").parquet(mark)
+
+
+def merge_batches(stream: DataFrame, path: str, log: str, checkpoint: str):
+    """Every micro-batch is a snapshot for merge_snapshot."""
+    return stream.writeStream.foreachBatch(lambda batch, number: merge_snapshot(batch, number, path, log)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
