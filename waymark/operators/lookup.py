@@ -100,3 +100,21 @@ def purge_misses(cache: DataFrame) -> DataFrame:
 def store(cache: DataFrame, rows: DataFrame) -> DataFrame:
     """The cache with rows (query_key, lat, lng, fonte, ts): the last write of a key wins."""
     return upsert(cache, rows, ["query_key"], [F.col("ts")])
+
+
+def store_bucketed(cache: DataFrame, name: str, path: str, key: str = "query_key", buckets: int = 16) -> None:
+    """Writes a cache as a table bucketed and sorted by its key: joins on the key don't shuffle it again."""
+    cache.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+
+
+def merge_bucketed(name: str, rows: DataFrame, path: str, key: str = "query_key", ts: str = "ts", buckets: int = 16) -> None:
+    """Puts rows (the last by ts of each key) into a bucketed cache, as upsert does; only rows are shuffled. The table is written anew at path and then takes the old one's place."""
+    spark = rows.sparkSession
+    table = spark.table(name)
+    columns = [c for c in table.columns if c != key]
+    new = rows.groupBy(key).agg(F.max_by(F.struct(*columns), ts).alias("_new"))
+    both = table.withColumn("_had", F.lit(True)).join(new, key, "full_outer")
+    merged = both.select(key, *[F.when(F.col("_new").isNull(), F.col(c)).otherwise(F.col(f"_new.{c}")).alias(c) for c in columns])
+    merged.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(f"{name}_next")
+    spark.sql(f"DROP TABLE {name}")
+    spark.sql(f"ALTER TABLE {name}_next RENAME TO {name}")

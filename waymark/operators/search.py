@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.text import canonical_service, search_key, services, squeeze
+from waymark.operators import index
 
 GRAM = 3
 
@@ -29,6 +30,52 @@ def directory(facilities: DataFrame, uf: str | None = None, city: str | None = N
     return rows.orderBy("municipio", "unidade", "id").offset(offset).limit(min(limit, 500))
 
 
+def text_grams(facilities: DataFrame) -> DataFrame:
+    """term, id: the grams of each facility's unit and address, for directory_many."""
+    both = F.concat(*[index.grams(F.coalesce(F.lower(c), F.lit(""))) for c in ("unidade", "endereco")])
+    return facilities.select(F.explode(F.array_distinct(both)).alias("term"), "id")
+
+
+def directory_many(requests: DataFrame, facilities: DataFrame, grams: DataFrame | None = None) -> DataFrame:
+    """request_id, id, rank (from 1): what directory gives each of many requests (request_id, uf, city, service, q, limit, offset; null or empty asks for nothing).
+
+    Equal requests are answered once. One with a text goes by its rarest gram, one without by the names of cities that contain its city, else by its state: three equi-joins, and then all of its
+    conditions in full. Requests with none of the three, or with a service that is none, have no rows; a limit is 100 if it isn't given and 500 at most, and negative ones give nothing.
+    grams: text_grams, if they are stored.
+    """
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
+    given = requests.select("request_id", F.upper(blank("uf")).alias("uf"), search_key(blank("city")).alias("city"), blank("service").alias("service"), F.lower(blank("q")).alias("q"), F.coalesce("limit", F.lit(100)).alias("limit"), F.coalesce("offset", F.lit(0)).alias("offset"))
+    given = given.withColumn("ask", F.struct("uf", "city", "service", "q"))
+    asks = given.select("ask").distinct().select("ask", "ask.*").withColumn("wanted", canonical_service(F.col("service")))
+    asks = asks.where("service IS NULL OR wanted IS NOT NULL")
+    there = facilities.select("id", F.col("uf").alias("_uf"), "municipio", "unidade", "endereco", search_key(F.col("municipio")).alias("_city"), services(F.col("atendimentos_raw")).alias("_services"))
+
+    grams = text_grams(facilities) if grams is None else grams
+    texts = asks.where("q IS NOT NULL")
+    own = texts.select("q").distinct().select("q", F.explode(index.own_grams(F.col("q"))).alias("term"))
+    counts = grams.join(own.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    rarest = own.join(counts, "term", "left").groupBy("q").agg(F.min_by("term", F.struct(F.coalesce("n", F.lit(0)), F.col("term"))).alias("term"))
+    by_text = texts.join(rarest, "q").join(grams, "term").join(there, "id")
+
+    names = there.select("_city").distinct()
+    cities = asks.where("q IS NULL AND city IS NOT NULL")
+    met = cities.select("city").distinct().withColumn("term", index.own_grams(F.col("city"))[0]).join(names.select("_city", F.explode(index.grams(F.col("_city"))).alias("term")), "term")
+    by_city = cities.join(met.where(F.contains("_city", "city")).select("city", "_city"), "city").join(there, "_city")
+    states_asked = asks.where("q IS NULL AND city IS NULL AND uf IS NOT NULL")
+    by_state = states_asked.join(there, states_asked["uf"] == there["_uf"])
+
+    columns = ["ask", "uf", "city", "wanted", "q", *there.columns]
+    pairs = by_text.select(*columns).unionByName(by_city.select(*columns)).unionByName(by_state.select(*columns))
+    meets = (F.col("uf").isNull() | (F.col("uf") == F.col("_uf"))) & (F.col("city").isNull() | F.contains("_city", "city")) & (F.col("wanted").isNull() | F.array_contains("_services", F.col("wanted")))
+    text = F.col("q").isNull() | F.contains(F.lower("unidade"), F.col("q")) | F.coalesce(F.contains(F.lower("endereco"), F.col("q")), F.lit(False))
+    place = F.row_number().over(Window.partitionBy("ask").orderBy("municipio", "unidade", "id"))
+    most = given.groupBy("ask").agg(F.max(F.col("offset") + F.least("limit", F.lit(500))).alias("most"))
+    listed = pairs.where(meets & text).withColumn("place", place).join(most, "ask").where("place <= most").select("ask", "id", "place")
+    out = given.where("limit >= 0 AND offset >= 0").join(listed, "ask")
+    rank = F.col("place") - F.col("offset")
+    return out.where((rank > 0) & (rank <= F.least("limit", F.lit(500)))).select("request_id", "id", rank.cast("int").alias("rank"))
+
+
 def folded_contains(c: Column, part: Column) -> Column:
     """Whether a text contains another, without regard to accents and case."""
     return F.contains(search_key(c), search_key(part))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import geo, logs, text
-from waymark.operators import geojoin, layout, lookup, merge, metrics, pages, search, stored, tables
+from waymark.operators import geojoin, index, layout, lookup, merge, metrics, pages, resolver, search, stored, tables
 from waymark.sources.derived import load, with_tables
 from waymark.streaming import streams
 
@@ -634,6 +635,24 @@ def o57_directory(spark, d):
     return search.directory(load(spark, d, "fac"), uf="sp", city="SÃO", service="jararaca", text="Santa").select("id", "municipio", "unidade")
 
 
+BULK = """SELECT origin_id AS request_id, CASE origin_id % 5 WHEN 0 THEN 'sp' WHEN 1 THEN 'MG' WHEN 2 THEN '' END AS uf,
+  CASE WHEN origin_id % 3 = 1 THEN split_part('polis|Jundiaí|SÃO|bom j|u|ão', '|', CAST(1 + origin_id % 6 AS INT)) END AS city,
+  CASE origin_id % 7 WHEN 0 THEN 'upa' WHEN 1 THEN 'CA' WHEN 2 THEN concat('customer#', lpad(CAST(origin_id * 3 AS VARCHAR(9)), 9, '0')) WHEN 3 THEN 'Rua' WHEN 4 THEN '' END AS q,
+  CASE origin_id % 9 WHEN 1 THEN 'Jararaca' WHEN 2 THEN 'nothing' END AS service, CASE origin_id % 8 WHEN 0 THEN 5 WHEN 1 THEN 700 WHEN 2 THEN -1 END AS "limit", CASE WHEN origin_id % 10 = 3 THEN 2 END AS "offset" FROM {ori}"""
+
+
+@query(
+    with_tables("fac", "ori", more=f"""r AS ({BULK.replace('{ori}', 'ori')}), p AS (SELECT request_id, id, coalesce("limit", 100) AS lim, coalesce("offset", 0) AS off, row_number() OVER (PARTITION BY request_id ORDER BY municipio, unidade, id) AS place FROM r JOIN fac
+  ON (coalesce(r.uf, '') = '' OR upper(r.uf) = fac.uf) AND (city IS NULL OR contains(lower(strip_accents(municipio)), lower(strip_accents(city)))) AND (coalesce(q, '') = '' OR contains(lower(unidade), lower(q)) OR coalesce(contains(lower(endereco), lower(q)), false))
+  AND (service IS NULL OR (service = 'Jararaca' AND list_contains({SERVICES_SQL}, 'Botrópico'))) WHERE NOT (coalesce(r.uf, '') = '' AND city IS NULL AND coalesce(q, '') = ''))""")
+    + "SELECT request_id, id, CAST(place - off AS INT) AS rank FROM p WHERE lim >= 0 AND place > off AND place - off <= least(lim, 500)"
+)
+def o57_directory_many(spark, d):
+    """A table of requests, by the grams of their texts."""
+    asks = spark.sql(BULK.replace('"', "`"), ori=load(spark, d, "ori"))
+    return search.directory_many(asks, load(spark, d, "fac"))
+
+
 @query(with_tables("fac") + f"SELECT id FROM fac WHERE list_contains({SERVICES_SQL}, 'Crotálico')")
 def o58_service_filter(spark, d):
     return load(spark, d, "fac").where(F.array_contains(text.services(F.col("atendimentos_raw")), "Crotálico")).select("id")
@@ -660,6 +679,20 @@ def o61_inverted_index(spark, d):
     return search.find_all(asked, search.inverted_index(load(spark, d, "fac")))
 
 
+@query(with_tables("fac", more=TOKENS_SQL + ", rq AS (SELECT id AS query_id, token, row_number() OVER (PARTITION BY id ORDER BY md5(token)) AS r FROM t WHERE id % 10 = 3), q AS (SELECT query_id, token FROM rq WHERE r <= 3 UNION ALL SELECT query_id, 'nowhere' FROM rq WHERE r = 1 AND query_id % 100 = 3), n AS (SELECT query_id, count(*) AS need FROM q GROUP BY 1)") + "SELECT query_id, t.id AS id FROM q JOIN n USING (query_id) JOIN t USING (token) GROUP BY query_id, t.id HAVING count(*) = any_value(need)")
+def o61_stored_index(spark, d):
+    """Many queries, of three tokens of a facility each, on an index that is built once."""
+    import uuid
+
+    postings = search.inverted_index(load(spark, d, "fac")).select(F.col("token").alias("term"), "id")
+    name = f"index_{uuid.uuid4().hex}"
+    index.build(postings, name, _scratch(spark, "index"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.md5("term")))
+    own = postings.where("id % 10 = 3").withColumn("r", place).where("r <= 3")
+    asked = own.select(F.col("id").alias("query_id"), "term").unionByName(own.where("r = 1 AND id % 100 = 3").select(F.col("id").alias("query_id"), F.lit("nowhere").alias("term")))
+    return index.find_all(asked, name)
+
+
 @query(with_tables("fac") + "SELECT CAST(o_orderkey AS INT) AS id, uf, unidade, fac.id IS NOT NULL AS found FROM orders LEFT JOIN fac ON fac.id = o_orderkey")
 def o62_lookup(spark, d):
     asked = load(spark, d, "orders").select(F.col("o_orderkey").cast("int").alias("id"))
@@ -756,6 +789,21 @@ def o69_three_state(spark, d):
     return lookup.three_state(lookup.candidates(load(spark, d, "fac")), load(spark, d, "gz"))
 
 
+@query(with_tables("fac", "gz", more=CANDS) + "SELECT ca.id, ca.pos, ca.query_key, CASE WHEN ca.id % 50 = 0 OR st.state = 'hit' THEN 'hit' ELSE st.state END AS state, CASE WHEN ca.query_key IN (SELECT query_key FROM ca WHERE id % 50 = 0) THEN 1.5 ELSE st.lat END AS lat FROM ca JOIN st ON st.id = ca.id AND st.pos = ca.pos WHERE ca.id % 50 = 0 OR ca.query_key NOT IN (SELECT query_key FROM ca WHERE id % 50 = 0)")
+def o69_bucketed_cache(spark, d):
+    """Lookups in a cache that is bucketed by its key, after new answers were merged into it."""
+    import uuid
+
+    name, at = f"cache_{uuid.uuid4().hex}", _scratch(spark, "cache")
+    asked, gz = lookup.candidates(load(spark, d, "fac")), load(spark, d, "gz")
+    lookup.store_bucketed(gz, name, f"{at}/0")
+    new = asked.where("id % 50 = 0")
+    answers = new.select("query_key", F.lit(1.5).alias("lat"), F.lit(2.5).alias("lng"), F.lit("new").alias("fonte"), F.col("id").alias("ts"))
+    lookup.merge_bucketed(name, answers, f"{at}/1")
+    rows = asked.where("id % 50 = 0").unionByName(asked.join(new.select("query_key").distinct(), "query_key", "left_anti"))
+    return lookup.three_state(rows, spark.table(name)).select("id", "pos", "query_key", "state", "lat")
+
+
 @query(with_tables("fac", "gz", more=CANDS) + "SELECT f.id, arg_min(st.lat, pos) AS lat, arg_min(st.lng, pos) AS lng, min(pos) AS pos, arg_min(query_key, pos) AS query_key FROM fac f LEFT JOIN st ON st.id = f.id AND state = 'hit' GROUP BY f.id")
 def o70_fallback_geocode(spark, d):
     return lookup.resolve(load(spark, d, "fac"), load(spark, d, "gz"))
@@ -974,3 +1022,20 @@ def o92_cleanup(spark, d):
 def o93_resolver(spark, d):
     """Any DataFrame (query_key, lat, lng) resolves; here the gazetteer behind a table of its own."""
     return lookup.resolve(load(spark, d, "fac"), load(spark, d, "gz").select("query_key", "lat", "lng")).select("id", "pos")
+
+
+def place_of(key: str) -> tuple[float, float] | None:
+    """A provider for the query below: by the digits of a key's hash it fails, knows nothing, or gives a place."""
+    digest = hashlib.md5(key.encode()).hexdigest()
+    if digest[0] in "012":
+        raise TimeoutError(key)
+    return None if digest[0] in "34567" else (int(digest[1:5], 16) / 1024 - 32, int(digest[5:9], 16) / 1024 - 72)
+
+
+ASK_SQL = "an AS (SELECT id, pos, query_key, md5(query_key) AS h FROM ca), hit AS (SELECT id, pos, query_key, CAST('0x' || h[2:5] AS BIGINT) / 1024 - 32 AS lat, CAST('0x' || h[6:9] AS BIGINT) / 1024 - 72 AS lng FROM an WHERE h[1] >= '8')"
+
+
+@query(with_tables("fac", "gz", more=f"{CANDS}, {ASK_SQL}") + "SELECT fac.id AS id, arg_min(hit.lat, pos) AS lat, arg_min(hit.lng, pos) AS lng, min(pos) AS pos, arg_min(query_key, pos) AS query_key FROM fac LEFT JOIN hit ON hit.id = fac.id GROUP BY fac.id")
+def o93_resolver_in_tasks(spark, d):
+    """A provider that is a function, and fails at times."""
+    return resolver.resolve(load(spark, d, "fac"), place_of, _scratch(spark, "answers"), tries=2)[0]
