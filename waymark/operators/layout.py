@@ -44,7 +44,7 @@ def merge_close(edges: Column, tolerance: float = TOLERANCE) -> Column:
     def keep(kept: Column, e: Column) -> Column:
         return F.when((F.size(kept) == 0) | (e - F.try_element_at(kept, F.lit(-1)) > tolerance), F.concat(kept, F.array(e))).otherwise(kept)
 
-    return F.aggregate(F.array_sort(edges), F.array().cast("array<double>"), keep)
+    return F.aggregate(F.sort_array(edges), F.array().cast("array<double>"), keep)
 
 
 def page_edges(shapes: DataFrame) -> DataFrame:
@@ -99,10 +99,33 @@ def band_of(edges: Column, value: Column) -> Column:
     return F.when((inside > 0) & (inside < F.size(edges)), inside - 1).when(at_first & (F.size(edges) > 1), 0).cast("int")
 
 
-def assign(words: DataFrame) -> DataFrame:
-    """words (with their page's edges h, v) with row and col in their place: the first bands that hold their centres, both ends included."""
-    banded = words.withColumns({"row": band_of(F.col("h"), middle("top", "bottom")), "col": band_of(F.col("v"), middle("x0", "x1"))})
-    return banded.drop("h", "v").where("row IS NOT NULL AND col IS NOT NULL")
+def assign(words: DataFrame, cut: DataFrame) -> DataFrame:
+    """words below the heads of cut's pages with row and col in their place: the first bands that hold their centres, both ends included.
+
+    Words and edges of a page are read in one order, by y and then by x, and each word counts the edges before it: one shuffle by page and two sorts, however many edges a page has.
+    """
+    own = words.withColumns({"_y": middle("top", "bottom"), "_x": middle("x0", "x1")})
+    for axis, at in (("h", "_y"), ("v", "_x")):
+        own = own.unionByName(cut.select(*PAGE, F.explode(axis).alias(at), F.lit(axis).alias("_axis"), F.col("head").alias("_head")), allowMissingColumns=True)
+    for axis, at, band in (("h", "_y", "row"), ("v", "_x", "col")):
+        edge = F.coalesce(F.col("_axis") == axis, F.lit(False))
+        order = Window.partitionBy(*PAGE).orderBy(at, edge)  # a word comes before an edge at its very place
+        page = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        before, every = (F.count_if(edge).over(w) for w in (order.rowsBetween(Window.unboundedPreceding, Window.currentRow), page))
+        first = F.min(F.when(edge, F.col(at))).over(page)
+        own = own.withColumns({"_before": before, "_every": every, "_first": first, "_top": F.max("_head").over(page)})
+        inside = (F.col("_before") > 0) & (F.col("_before") < F.col("_every"))
+        own = own.withColumn(band, F.when(inside, F.col("_before") - 1).when((F.col("_first") == F.col(at)) & (F.col("_every") > 1), 0).cast("int"))
+    placed = own.where(F.col("_axis").isNull() & (F.col("top") > F.col("_top") + 1) & F.col("row").isNotNull() & F.col("col").isNotNull())
+    return placed.select(*words.columns, "row", "col")
+
+
+def carried(words: DataFrame, marks: DataFrame, at: Column) -> DataFrame:
+    """words (by their place `at`) with _mark, the struct of the last of their page's marks (_at, _mark) at or before them; those before the first are gone."""
+    both = words.withColumn("_at", at).unionByName(marks.select(*PAGE, "_at", "_mark"), allowMissingColumns=True).withColumn("_own", F.col("_mark").isNull())
+    order = Window.partitionBy(*PAGE).orderBy("_at", "_own").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a mark comes before a word at its very place
+    last = both.withColumn("_mark", F.last("_mark", ignorenulls=True).over(order))
+    return last.where(F.col("_own") & F.col("_mark").isNotNull()).drop("_at", "_own")
 
 
 def joined_text(words: Column, gap: float = 4.0) -> Column:
@@ -114,8 +137,10 @@ def joined_text(words: Column, gap: float = 4.0) -> Column:
         line = s["line"] + F.when(new, 1).otherwise(0)
         return F.struct(line.alias("line"), F.when(new, w["top"]).otherwise(s["first"]).alias("first"), F.concat(s["out"], F.array(F.struct(line.alias("line"), w["x0"].alias("x0"), w["text"].alias("text")))).alias("out"))
 
-    ordered = F.array_sort(F.aggregate(F.array_sort(words), state, step)["out"])
-    return F.array_join(F.transform(ordered, lambda x: x["text"]), " ")
+    lines = F.sort_array(F.aggregate(F.sort_array(words), state, step)["out"])
+    tops = words["top"]
+    one = F.array_max(tops) - F.array_min(tops) < gap  # most cells have one line, which needs no fold
+    return F.when(F.size(words) == 1, words[0]["text"]).when(one, F.array_join(F.sort_array(F.arrays_zip(words["x0"], words["text"]))["text"], " ")).otherwise(F.array_join(F.transform(lines, lambda x: x["text"]), " "))
 
 
 def cells(placed: DataFrame) -> DataFrame:
@@ -127,7 +152,7 @@ def cells(placed: DataFrame) -> DataFrame:
 def records(cells: DataFrame) -> DataFrame:
     """Records of rows that have a city: cells from the sixth on are the services, blank fields but the city null."""
     texts = [F.max(F.when(F.col("col") == i, F.col("text"))).alias(f"c{i}") for i in range(5)]
-    rest = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("col") >= 5, F.struct("col", "text")))), lambda x: x["text"]), " ").alias("c5")
+    rest = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("col") >= 5, F.struct("col", "text")))), lambda x: x["text"]), " ").alias("c5")
     rows = cells.groupBy(*PAGE, "row").agg(*texts, rest)
     rows = rows.where((F.coalesce("c0", F.lit("")) != "") & (F.upper(fold(F.col("c0"))) != "MUNICIPIO"))
     return rows.select(*PAGE, "row", squeeze(F.col("c0")).alias("municipio"), *[blank_to_null(squeeze(F.col(f"c{i}"))).alias(FIELDS[i]) for i in range(1, 6)])
@@ -135,7 +160,7 @@ def records(cells: DataFrame) -> DataFrame:
 
 def extract(words: DataFrame, shapes: DataFrame) -> DataFrame:
     """All records of ruled pages. Words are shuffled once, by page."""
-    return records(cells(assign(below_head(words, cut_edges(words, gate(page_edges(shapes)))))))
+    return records(cells(assign(words, cut_edges(words, gate(page_edges(shapes))))))
 
 
 def confident(words: DataFrame, least: int = 30) -> DataFrame:
@@ -160,7 +185,7 @@ def left_column(words: DataFrame, gap: float = 50.0, least: int = 3) -> DataFram
 def unit_start(words: DataFrame) -> DataFrame:
     """doc_id, page, x: the upper median of the beginnings of words that start like a unit's name."""
     named = words.where(F.lower("text").rlike(UNIT_STARTS))
-    xs = F.array_sort(F.collect_list("x0"))
+    xs = F.sort_array(F.collect_list("x0"))
     return named.groupBy(*PAGE).agg(F.get(xs, F.floor(F.size(xs) / 2).cast("int")).alias("x"))
 
 
@@ -177,36 +202,58 @@ def starts(levels: Column, tolerance: Column) -> Column:
     return F.aggregate(levels, F.array().cast("array<double>"), keep)
 
 
+def measures(words: DataFrame, gap: float = 50.0, least: int = 3) -> DataFrame:
+    """doc_id, page, height (mean), left and right (as left_column has them, null where there is none) and unit_x (as unit_start has it), from one pass over words."""
+    tall = F.when(F.col("bottom") > F.col("top"), F.col("bottom") - F.col("top"))
+    by_x = words.groupBy(*PAGE, "x0").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.lower("text").rlike(UNIT_STARTS)).alias("units"), F.sum(tall).alias("tall"), F.count(tall).alias("heights"))
+    page = by_x.groupBy(*PAGE).agg((F.sum("tall") / F.nullif(F.sum("heights"), F.lit(0))).alias("height"), F.sum("units").alias("units"), F.sort_array(F.collect_list(F.struct("x0", "n", "units"))).alias("xs"))
+    nothing = F.struct(*[F.lit(None).cast("double").alias(c) for c in ("a", "b")], F.lit(0).cast("long").alias("n"))
+
+    def run(s: Column, x: Column) -> Column:
+        over = s["n"] >= least  # the first run that is long enough stays, once a gap has ended it
+        new = s["b"].isNull() | (x["x0"] - s["b"] > gap)
+        longer = F.struct(s["a"].alias("a"), x["x0"].alias("b"), (s["n"] + x["n"]).alias("n"))
+        begun = F.struct(x["x0"].alias("a"), x["x0"].alias("b"), x["n"].alias("n"))
+        return F.when(~new, longer).when(over, s).otherwise(begun)
+
+    def median(s: Column, x: Column) -> Column:
+        upto = s["n"] + x["units"]
+        return F.struct(F.when((s["n"] <= F.col("half")) & (upto > F.col("half")), x["x0"]).otherwise(s["x"]).alias("x"), upto.alias("n"))
+
+    page = page.withColumn("half", F.floor(F.col("units") / 2)).withColumn("run", F.aggregate("xs", nothing, run))
+    unit_x = F.aggregate("xs", F.struct(F.lit(None).cast("double").alias("x"), F.lit(0).cast("long").alias("n")), median)["x"]
+    enough = F.col("run.n") >= least
+    return page.select(*PAGE, F.coalesce("height", F.lit(20.0)).alias("height"), F.when(enough, F.col("run.a") - 5).alias("left"), F.when(enough, F.col("run.b") + 50).alias("right"), unit_x.alias("unit_x"))
+
+
 def anchors(words: DataFrame, ratio: float = 1.2) -> DataFrame:
     """doc_id, page, anchor (0-based), height, left, right, y_top, y_bottom, text: rows that begin in the left column.
 
     A word joins the row whose first word's centre lies within ratio times the page's mean height. Rows are found among a page's distinct centres, and
-    words find theirs by binary search.
+    words find theirs in one reading with the rows' beginnings.
     """
-    y = middle("top", "bottom")
-    heights = words.groupBy(*PAGE).agg(mean_height().alias("height"))
-    pages = heights.join(left_column(words), PAGE)
+    return _anchors(words, measures(words).where(F.col("left").isNotNull()).drop("unit_x"), ratio)
+
+
+def _anchors(words: DataFrame, pages: DataFrame, ratio: float) -> DataFrame:
     w = F.col("text")
     fit = F.col("x0").between(F.col("left"), F.col("right")) & w.rlike(r"\p{L}") & ~is_head(w) & ~is_foot(w)
-    own = words.join(pages.hint("shuffle_hash"), PAGE).where(fit).withColumn("y", y)
-    levels = own.groupBy(*PAGE).agg(starts(F.array_sort(F.collect_set("y")), F.first("height") * ratio).alias("_starts"))
-    rows = own.join(levels.hint("shuffle_hash"), PAGE).withColumn("anchor", below(F.col("_starts"), F.col("y"), True) - 1)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x0", "pos", "text"))), lambda x: x["text"]), " ").alias("text")
-    return rows.groupBy(*PAGE, "anchor", "height", "left", "right").agg(F.min("top").alias("y_top"), F.max("bottom").alias("y_bottom"), text)
+    own = words.join(pages.hint("shuffle_hash"), PAGE).where(fit).withColumn("y", middle("top", "bottom"))
+    found = own.groupBy(*PAGE).agg(starts(F.sort_array(F.collect_set("y")), F.first("height") * ratio).alias("_starts"))
+    marks = found.select(*PAGE, F.posexplode("_starts").alias("anchor", "_at")).select(*PAGE, "_at", F.struct("anchor").alias("_mark"))
+    rows = carried(own, marks, F.col("y")).withColumn("anchor", F.col("_mark.anchor"))
+    text = F.array_join(F.sort_array(F.collect_list(F.struct("y", "x0", "pos", "text")))["text"], " ").alias("text")
+    keep = [F.first(c).alias(c) for c in pages.columns if c not in PAGE]
+    return rows.groupBy(*PAGE, "anchor").agg(*keep, F.min("top").alias("y_top"), F.max("bottom").alias("y_bottom"), text)
 
 
 def anchored_records(words: DataFrame, ratio: float = 1.2) -> DataFrame:
     """Records of pages without lines: each anchor owns the words from a quarter of a height above it to the next one."""
-    rows = anchors(words, ratio)
-    rows = rows.withColumn("low", F.col("y_top") - F.col("height") / 4)
-    units = unit_start(words).withColumnRenamed("x", "unit_x")
-    rows = rows.withColumnRenamed("text", "city").join(units, PAGE, "left").withColumn("limit", F.coalesce("unit_x", F.col("right") + 300))
+    rows = _anchors(words, measures(words).where(F.col("left").isNotNull()), ratio)
+    rows = rows.withColumnRenamed("text", "city").withColumn("limit", F.coalesce("unit_x", F.col("right") + 300))
+    marks = rows.select(*PAGE, (F.col("y_top") - F.col("height") / 4).alias("_at"), F.struct("anchor", "y_top", "y_bottom", "city", "height", "left", "right", "limit").alias("_mark"))
     y = middle("top", "bottom")
-    spans = F.array_sort(F.collect_list(F.struct("low", "anchor", "y_top", "y_bottom", "city"))).alias("spans")
-    by_page = rows.groupBy(*PAGE, "height", "left", "right", "limit").agg(spans).withColumn("lows", F.col("spans.low"))
-    own = words.where(~is_head(F.col("text"))).withColumn("y", y).join(by_page.hint("shuffle_hash"), PAGE)
-    own = own.withColumn("span", F.get("spans", below(F.col("lows"), F.col("y"), True) - 1)).where(F.col("span").isNotNull())
-    own = own.select(*PAGE, "span.anchor", "span.y_top", "span.y_bottom", "span.city", "height", "left", "right", "limit", "pos", "text", "x0", "y", token_class(F.col("text")).alias("kind"))
+    own = carried(words.where(~is_head(F.col("text"))), marks, y).select(*PAGE, "_mark.*", "pos", "text", "x0", y.alias("y"), token_class(F.col("text")).alias("kind"))
 
     in_left = F.col("x0").between(F.col("left"), F.col("right"))
     same_line = F.abs(F.col("y") - (F.col("y_top") + F.col("y_bottom")) / 2) <= F.col("height") * ratio
@@ -217,7 +264,7 @@ def anchored_records(words: DataFrame, ratio: float = 1.2) -> DataFrame:
     own = own.withColumn("address", F.coalesce(F.max(street).over(reading), F.lit(False)))
 
     def text_of(rule: Column, order: list[str], text: Column | None = None, sep: str = " ") -> Column:
-        found = F.array_sort(F.collect_list(F.when(rule, F.struct(*order, (F.col("text") if text is None else text).alias("t")))))
+        found = F.sort_array(F.collect_list(F.when(rule, F.struct(*order, (F.col("text") if text is None else text).alias("t")))))
         return F.array_join(F.transform(found, lambda x: x["t"]), sep)
 
     read = ["y", "x0", "pos"]
@@ -251,7 +298,7 @@ def coverage_bands(words: DataFrame, columns: int = 6, least: int = 20) -> DataF
     widest = gaps.withColumn("_r", F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc("width"), "from"))).where(F.col("_r") < columns)
     cuts = widest.select(*PAGE, (F.col("a") + (F.col("from") + F.col("to")) / 2).alias("x"))
     ends = span.select(*PAGE, F.explode(F.array("a", F.col("b") + 1)).alias("x"))
-    limits = cuts.unionByName(ends).groupBy(*PAGE).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    limits = cuts.unionByName(ends).groupBy(*PAGE).agg(F.sort_array(F.collect_list("x")).alias("x"))
     pairs = F.arrays_zip(F.slice("x", 1, F.size("x") - 1), F.slice("x", 2, F.size("x") - 1))
     return limits.select(*PAGE, F.posexplode(pairs).alias("band", "p")).select(*PAGE, "band", F.col("p").getField("0").alias("low"), F.col("p").getField("1").alias("high"))
 
@@ -263,7 +310,7 @@ def mean_lines(words: DataFrame, ratio: float = 1.2) -> DataFrame:
     """
     y = middle("top", "bottom")
     heights = words.groupBy(*PAGE).agg(mean_height().alias("height"))
-    levels = words.groupBy(*PAGE, y.alias("y")).agg(F.count(F.lit(1)).alias("n")).groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("y", "n"))).alias("levels"))
+    levels = words.groupBy(*PAGE, y.alias("y")).agg(F.count(F.lit(1)).alias("n")).groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("y", "n"))).alias("levels"))
     state = F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("n"), F.array().cast("array<double>").alias("starts"))
 
     def step(s: Column, w: Column) -> Column:
@@ -277,13 +324,13 @@ def mean_lines(words: DataFrame, ratio: float = 1.2) -> DataFrame:
 
 def line_records(lined: DataFrame, columns: DataFrame) -> DataFrame:
     """Records of lines (words with `line`) by column bands: under two head words, six columns, a city and a unit."""
-    limits = columns.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("band", "low", "high"))).alias("bands")).where(F.size("bands") >= 6)
+    limits = columns.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("band", "low", "high"))).alias("bands")).where(F.size("bands") >= 6)
     x = middle("x0", "x1")
     hit = F.filter("bands", lambda b: (b["low"] <= x) & (x <= b["high"]))
     placed = lined.join(limits, PAGE).withColumn("band", F.get(hit, F.lit(0))["band"])
 
     def text_of(rule: Column) -> Column:
-        return squeeze(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(rule, F.struct("band", "x0", "pos", "text")))), lambda w: w["text"]), " "))
+        return squeeze(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(rule, F.struct("band", "x0", "pos", "text")))), lambda w: w["text"]), " "))
 
     parts = [text_of(F.col("band") == i if i < 5 else F.col("band") >= 5).alias(f) for i, f in enumerate(FIELDS)]
     rows = placed.groupBy(*PAGE, "line").agg(F.count_if(is_head(F.col("text"))).alias("_heads"), *parts)
@@ -298,7 +345,7 @@ def continued(rows: DataFrame, key: str = "municipio", order: str = "line") -> D
     marked = marked.withColumn("_g", F.when(F.col("_g") == 0, -F.row_number().over(upto)).otherwise(F.col("_g")))
 
     def run(c: str) -> Column:
-        parts = F.array_sort(F.collect_list(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct(order, c))))
+        parts = F.sort_array(F.collect_list(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct(order, c))))
         return blank_to_null(F.array_join(F.transform(parts, lambda x: x[c]), " "))
 
     out = marked.groupBy(*PAGE, "_g").agg(F.min(order).alias(order), *[run(c).alias(c) for c in FIELDS if c in rows.columns])

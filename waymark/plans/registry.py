@@ -272,7 +272,7 @@ def o20_bands(spark, d):
 
 
 def _placed(spark, d):
-    return layout.assign(layout.below_head(load(spark, d, "words"), _cut(spark, d)))
+    return layout.assign(load(spark, d, "words"), _cut(spark, d))
 
 
 @query(with_tables("words", "shapes", more=f"{EDGES}, {CUT}, {PLACED}") + "SELECT doc_id, page, row, col, count(*) AS words FROM pw GROUP BY ALL")
