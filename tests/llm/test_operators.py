@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import time
 import zlib
 
@@ -547,6 +548,23 @@ def test_near_duplicates_brute_force_of_four_words(spark):
     assert got == brute(rows, 4)
 
 
+def test_sets_of_long_texts_in_blocks(monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["a", "Bb", "ccc", "é", "dd\te"], n)).encode() for n in (0, 3, 60, 5, 400, 1)] + [b"", b"   ", b"x" * 500]
+    whole = [s.tolist() for s in minhash.shingle_sets(texts, 4)]
+    for size in (1, 7, 50, 200):
+        monkeypatch.setattr(minhash, "LONG_TEXT", size)
+        assert [s.tolist() for s in minhash.shingle_sets(texts, 4)] == whole
+
+
+@pytest.mark.parametrize(("like", "of"), [(80, 100), (60, 100)])
+def test_exact_near_duplicates(spark, documents, like, of):
+    """Prefix filtering: the same as all pairs, also where signatures don't reach."""
+    rows = [(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()] + [(1000 + i, t) for i, t in enumerate(near_copies(60))] + [(2000, None), (2001, "two words"), (2002, "Two words")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs_of(spark, rows), 5, like, of, exact=True).collect()}
+    assert got == brute(rows, 5, like, of)
+
+
 def test_near_duplicates_in_small_cells(spark, monkeypatch):
     monkeypatch.setattr(minhash, "CELL", 3)
     rows = [*enumerate(near_copies(120)), (500, "three words only"), (500, "another text of the same identifier"), (501, "three words only")]
@@ -684,10 +702,37 @@ def test_scores_are_sums_of_conditionals(spark):
     assert lmscore.score(docs.where("false"), lmscore.learn(docs.where("false"))).count() == 0
 
 
+def test_blocks_and_windows_see_the_same_tokens():
+    p = lmscore.fresh()
+    laid = lmscore.LaidOut([b"", b"some words", b"", "né más\n".encode() * 9, b"x"])
+    (tokens, places, _), = laid.blocks(10**6)
+    whole = lmscore.log_probs(p, tokens, places)
+    for size in (1, 3, 17):
+        parts = [lmscore.log_probs(p, t, at) for t, at, _ in laid.blocks(size)]
+        assert np.allclose(np.concatenate(parts), whole, atol=1e-5)
+    some = np.array([0, 9, 10, 11, 40, laid.n - 1, 9])
+    assert np.allclose(lmscore.log_probs(p, *laid.windows(some)), whole[some], atol=1e-5)
+
+
+def test_memory_of_a_long_text():
+    """Some bytes for each byte of a text, not tens."""
+    import tracemalloc
+
+    text = b"some words of a text that goes on and on " * 250_000  # 10 MB
+    p = lmscore.fresh()
+    for work, most in ((lambda: [len(s) for s in minhash.shingle_sets([text], 5)], 9), (lambda: [lmscore.log_probs(p, *x[:2]).sum() for x in itertools.islice(lmscore.LaidOut([text]).blocks(100_000), 3)], 8)):
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most * len(text)
+
+
 def test_masked_gradients():
     p = {k: v.astype("f8") for k, v in lmscore.fresh().items()}
-    tokens, places, ends = lmscore.laid_out([b"some words", b"", b"and more"])
-    assert bytes(tokens[places].astype(np.uint8)) == b"some wordsand more" and ends.tolist() == [10, 10, 18]
+    laid = lmscore.LaidOut([b"some words", b"", b"and more"])
+    (tokens, places, text), = laid.blocks(100)
+    assert bytes(tokens[places].astype(np.uint8)) == b"some wordsand more" and laid.ends.tolist() == [10, 10, 18] and text.tolist() == [0] * 10 + [2] * 8
     g = lmscore.gradients(p, tokens, places)
 
     def loss():

@@ -6,7 +6,7 @@ chunks, and each chunk is indexed once without each of its components. By the pi
 2 * CHUNKS - 1 = 19 components have a chunk with at most one error, and so share a key; at a similarity of 0.8 the mean distance is 12.8, and
 pairs further apart share a key unless every chunk has two errors (6 in 100,000 pairs of just that similarity, fewer above it). Documents that share a
 key with another have a second signature of WIDE two-bit components, cut at six standard deviations (a pair in 10^9 lies beyond), which spares most needless
-confirmations. Every link is confirmed on the full sets.
+confirmations. Every link is confirmed on the full sets. Where no pair may be missed, `exact` takes the place of both signatures.
 
 Equal sets are one class, found by digest, and only its smallest identifier goes on. No pairs within a key's group are listed:
 first, each member is compared with the group's smallest identifier; after that the members of a group that still belong to different components
@@ -21,6 +21,7 @@ Only the identifier and the text are read, so other columns can't clash. An empt
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,8 @@ WORDS, LIKE, OF = 5, 80, 100
 SIZE, BITS, CHUNKS = 64, 9, 10
 WIDE, WIDE_REACH = 1024, 222
 CELL = 1000  # members of a key that a task compares with as many others
-SLICE_BYTES = 1_000_000
+SLICE_BYTES, LONG_TEXT = 1_000_000, 2_000_000
+GAP = re.compile(rb"[\x20\x09-\x0d]")
 
 _rng = np.random.default_rng(20)
 
@@ -64,25 +66,53 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
-    """The sorted distinct 64-bit shingle hashes of each text; A-Z count as a-z, words end at ASCII white space."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    ends = np.cumsum(sizes + 1)
-    raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word, and where words begin; A-Z count as a-z, words end at ASCII white space."""
+    raw = np.frombuffer(raw + b" ", np.uint8)
     raw = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
     gap = (raw == 32) | ((raw >= 9) & (raw <= 13))
     edge = np.diff(np.concatenate([[True], gap]).astype(np.int8))
     begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     summed = np.concatenate([[np.uint64(0)], np.cumsum(OF_BYTE[raw] * _powers(STEP, len(raw)))])
-    word = mixed((summed[end] - summed[begin]) * _powers(STEP_BACK, len(raw))[begin] + (end - begin).astype(np.uint64))
-    upto = np.searchsorted(begin, ends)  # words of the texts so far
+    return mixed((summed[end] - summed[begin]) * _powers(STEP_BACK, len(raw))[begin] + (end - begin).astype(np.uint64)), begin
+
+
+def long_words(text: bytes) -> np.ndarray:
+    """word_hashes of a long text, in blocks that end at white space."""
+    parts, at = [], 0
+    while at < len(text):
+        found = GAP.search(text, at + LONG_TEXT)
+        to = found.start() if found else len(text)
+        parts.append(word_hashes(text[at:to])[0])
+        at = to
+    return np.concatenate(parts)
+
+
+def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
+    """The sorted distinct 64-bit shingle hashes of each text. Short texts are hashed together, long ones in blocks: memory is a few bytes for each byte of the longest text."""
+    at = 0
+    while at < len(texts):
+        if len(texts[at]) > LONG_TEXT:
+            word = long_words(texts[at])
+            yield from _sets(word, [len(word)], words)
+            at += 1
+            continue
+        to = next((i for i in range(at, len(texts)) if len(texts[i]) > LONG_TEXT), len(texts))
+        word, begin = word_hashes(b" ".join(texts[at:to]))
+        ends = np.cumsum([len(t) + 1 for t in texts[at:to]])
+        yield from _sets(word, np.searchsorted(begin, ends).tolist(), words)
+        at = to
+
+
+def _sets(word: np.ndarray, upto: list[int], words: int) -> Iterator[np.ndarray]:
+    """Of texts whose words end at upto."""
     many = max(0, len(word) - words + 1)
     rolled = np.zeros(many, np.uint64)
     for j in range(words):
         rolled += word[j : j + many] * OF_PLACE[j]
     rolled = mixed(rolled)
     a = 0
-    for b in upto.tolist():
+    for b in upto:
         if b - a >= words:
             yield np.unique(rolled[a : b - words + 1])
         elif b > a:
@@ -130,19 +160,28 @@ def _lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(rows.astype(np.int64, copy=False).ravel()))
 
 
-def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, digest (of the whole set) and keys for every row."""
+def prefix_keys(hashes: np.ndarray, like: int, of: int) -> np.ndarray:
+    """The smallest hashes of a set, as many as any other set of the least similarity must hold one of: if it held none, too few would be left in common."""
+    return hashes[: len(hashes) + (-len(hashes) * like // of) + 1]
+
+
+def signatures(docs: DataFrame, words: int, id_col: str, text_col: str, exact: tuple[int, int] | None = None) -> DataFrame:
+    """doc_id, n_shingles, digest (of the whole set) and keys for every row; with exact (like, of) the keys of prefix_keys."""
     longs = T.ArrayType(T.LongType())
     out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("keys", longs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1, SLICE_BYTES):
-            n, digest, least = np.zeros(batch.num_rows, np.int64), [], np.empty((batch.num_rows, SIZE), np.uint32)
+            n, digest, least, prefixes = np.zeros(batch.num_rows, np.int64), [], np.empty((batch.num_rows, SIZE), np.uint32), []
             for i, s in enumerate(shingle_sets(batch.column(1).to_pylist(), words)):
                 n[i] = len(s)
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                least[i] = signature(s, SIZE)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(digest, pa.binary()), _lists(index_keys(chunks(least)).view(np.int64))], names=out.names)
+                if exact:
+                    prefixes.append(prefix_keys(s, *exact).view(np.int64))
+                else:
+                    least[i] = signature(s, SIZE)
+            keys = pa.array(prefixes, pa.list_(pa.int64())) if exact else _lists(index_keys(chunks(least)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(digest, pa.binary()), keys], names=out.names)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.encode(F.coalesce(text_col, F.lit("")), "UTF-8").alias("text")).mapInArrow(run, out)
 
@@ -187,9 +226,10 @@ def first_shared(key: Column) -> Column:
     return F.coalesce(first, F.lit(False))
 
 
-def may_link(like: int, of: int) -> Column:
-    """Of pair rows with n, m (set sizes) and wide, wide2: no more than the sizes and signatures allow."""
-    return (F.least("n", "m") * of >= F.greatest("n", "m") * like) & (wide_distance("wide", "wide2") <= WIDE_REACH)
+def may_link(like: int, of: int, exact: bool) -> Column:
+    """Of pair rows with n, m (set sizes) and wide, wide2: no more than the sizes and signatures (but if it must be exact) allow."""
+    sizes = F.least("n", "m") * of >= F.greatest("n", "m") * like
+    return sizes if exact else sizes & (wide_distance("wide", "wide2") <= WIDE_REACH)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, like: int, of: int) -> DataFrame:
@@ -201,11 +241,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, like: int, of: int) -> DataFram
     return both.where(shared * of >= (F.size("sa") + F.size("sb") - shared) * like).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, like: int = LIKE, of: int = OF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of docs."""
-    if like * 5 < of * 4:
+def near_duplicates(docs: DataFrame, words: int = WORDS, like: int = LIKE, of: int = OF, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of docs.
+
+    exact: without signatures, by the smallest shingles of each set (prefix filtering), which no pair of the least similarity escapes; a fifth of all shingles are keys then.
+    """
+    if like * 5 < of * 4 and not exact:
         raise ValueError("the signatures reach down to a similarity of 0.8")
-    made = stash(signatures(docs, words, id_col, text_col), "signatures")
+    made = stash(signatures(docs, words, id_col, text_col, (like, of) if exact else None), "signatures")
     linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
 
     copies = made.where(linkable).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", "rep")
@@ -235,7 +278,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, like: int = LIKE, of: i
     def passing(pairs: DataFrame) -> DataFrame:
         a = narrow.select(F.col("id").alias("a"), "n", "wide")
         b = narrow.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("wide").alias("wide2"))
-        return pairs.join(a, "a").join(b, "b").where(may_link(like, of)).select("a", "b")
+        return pairs.join(a, "a").join(b, "b").where(may_link(like, of, exact)).select("a", "b")
 
     stars = grouped.where("hub < id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     links = stash(confirmed(passing(stars), sets, like, of).unionByName(twice), "links", few=True)
@@ -258,7 +301,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, like: int = LIKE, of: i
     minor = open_keys.where("component <> major").select("key", *strewn("rows", "columns"), F.col("id").alias("a"), F.col("component").alias("ca"), "major", "n", "wide", "chunks")
     other = open_keys.select("key", *strewn("columns", "rows"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("m"), F.col("wide").alias("wide2"), F.col("chunks").alias("chunks2"))
     once = (F.col("cb") == F.col("major")) | (F.col("a") < F.col("b"))
-    pairs = minor.join(other, ["key", "rows", "columns"]).where((F.col("ca") != F.col("cb")) & once & may_link(like, of) & first_shared(F.col("key")))
+    pairs = minor.join(other, ["key", "rows", "columns"]).where((F.col("ca") != F.col("cb")) & once & may_link(like, of, exact) & (F.lit(True) if exact else first_shared(F.col("key"))))
     rest = stash(confirmed(pairs.select("a", "b"), sets, like, of), "links", few=True)
 
     ends = labels.select("id", "component")
