@@ -7,7 +7,7 @@ Spark samples the splitters and sends them to the driver, so they are short: the
 be many), then the salt.
 
 Hot texts: a text with over 1/4096 of all rows is split over salts before the sort (at most 4096 texts can be so
-frequent, which bounds the broadcast list of their digests); the survivors of each salt are sorted once more.
+frequent, which bounds the broadcast list of their digests), by the rows' places in their files, so that rows of one identifier are split too; the survivors of each salt are sorted once more.
 
 Defined results: null text counts as empty, and all empty texts are one group; a text of white space alone is one
 space, which isn't the empty text. Identifiers are compared as they are; of rows with the smallest identifier twice,
@@ -33,7 +33,7 @@ def normalised(text: Column) -> Column:
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 for every row of docs."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"), F.monotonically_increasing_id().alias("row"))
 
     total = docs.count()
     hot = (
@@ -43,7 +43,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .select("hot_h", F.ceil(F.col("n") * HOT_SHARE / max(total, 1)).alias("salts"))
     )  # at most HOT_SHARE rows
     salted = rows.join(F.broadcast(hot), F.xxhash64("norm") == F.col("hot_h"), "left").select(
-        "doc_id", "norm", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("salts")), F.lit(0)).alias("salt"), F.col("salts").isNotNull().alias("hot")
+        "doc_id", "norm", F.coalesce(F.pmod(F.xxhash64("row"), F.col("salts")), F.lit(0)).alias("salt"), F.col("salts").isNotNull().alias("hot")
     )
 
     salted = salted.withColumns({"prefix": F.substring("norm", 1, PREFIX), "tail": F.xxhash64("norm")})
