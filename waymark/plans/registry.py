@@ -362,6 +362,29 @@ def o28_anchored_records(spark, d):
     return layout.anchored_records(load(spark, d, "words"))
 
 
+#: Lines 13, 13 and 1 apart: of every three, the last and the next one's first are one row.
+UNEVEN_ANCHORS = f"""np AS (SELECT doc_id, page, count(*) FILTER (x0 = 0) AS n FROM uneven GROUP BY ALL),
+fw AS (SELECT w.*, pos // 12 - pos // 36 AS g FROM uneven w JOIN np ON w.doc_id = np.doc_id AND w.page = np.page WHERE n >= 3 AND x0 = 0 AND lower(text) <> upper(text)
+  AND NOT list_contains({layout.HEAD_WORDS}, trim(upper(strip_accents(text)), ',:.')) AND NOT list_contains({layout.FOOT_WORDS}, trim(upper(strip_accents(text)), ',:./'))),
+an AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY g) - 1 AS anchor, 10.0::DOUBLE AS height, -5.0::DOUBLE AS "left", 50.0::DOUBLE AS "right", min(top) AS y_top, max(bottom) AS y_bottom, string_agg(text, ' ' ORDER BY top, x0, pos) AS text FROM fw GROUP BY doc_id, page, g)"""
+UNEVEN_ANCHORED = ANCHORED.replace(ANCHORS, UNEVEN_ANCHORS).replace("FROM words", "FROM uneven")
+
+
+@query(with_tables("uneven", more=UNEVEN_ANCHORS) + "SELECT * FROM an")
+def o27_anchor_rows_uneven(spark, d):
+    return layout.anchors(load(spark, d, "uneven"))
+
+
+@query(with_tables("uneven", more=UNEVEN_ANCHORED) + f"SELECT * FROM rd WHERE len(municipio) >= 3 AND NOT list_contains({layout.NOT_CITIES}, trim(lower(split_part(municipio, ' ', 1)), '.,'))")
+def o28_anchored_records_uneven(spark, d):
+    return layout.anchored_records(load(spark, d, "uneven"))
+
+
+@query(with_tables("uneven") + "SELECT doc_id, page, pos // 12 - pos // 36 AS line, pos FROM uneven")
+def o28c_mean_lines_uneven(spark, d):
+    return layout.mean_lines(load(spark, d, "uneven"))
+
+
 @query(
     with_tables("words", more="""sp AS (SELECT doc_id, page, min(x0) AS a, max(x1) AS b FROM words GROUP BY ALL),
   wx AS (SELECT DISTINCT doc_id, page, a, floor(x0 - a) AS s, floor(x1 - a) + 1 AS e FROM words JOIN sp USING (doc_id, page)),

@@ -64,6 +64,8 @@ FROM {words} CROSS JOIN (SELECT CAST(0 AS DOUBLE) AS j UNION ALL SELECT CAST(1.5
 UNION ALL SELECT doc_id, page, max(top) + 12, CAST(0 AS DOUBLE), CAST(720 AS DOUBLE), CAST(0 AS DOUBLE) FROM {words} GROUP BY doc_id, page
 UNION ALL SELECT DISTINCT doc_id, page, CAST(0 AS DOUBLE), CAST(floor(x0 / 120) * 120 - 5 AS DOUBLE), CAST(0.5 AS DOUBLE), CAST(400 AS DOUBLE) FROM {words}
 UNION ALL SELECT doc_id, page, CAST(0 AS DOUBLE), CAST(715 AS DOUBLE), CAST(0 AS DOUBLE), CAST(400 AS DOUBLE) FROM {words} GROUP BY doc_id, page""",
+    "uneven": """
+SELECT doc_id, page, pos, text, x0, x1, CAST(l * 9 + l % 3 * 4 AS DOUBLE) AS top, CAST(l * 9 + l % 3 * 4 + 10 AS DOUBLE) AS bottom, confidence FROM (SELECT *, CAST(floor(pos / 12) AS INT) AS l FROM {words}) w""",
     "gz": """
 SELECT query_key, CASE WHEN n % 3 = 0 THEN NULL ELSE lat END AS lat, CASE WHEN n % 3 = 0 THEN NULL ELSE lng END AS lng, 'gazetteer' AS fonte
 FROM (SELECT concat(municipio, ', ', uf, ', Brasil') AS query_key, min(lat) AS lat, min(lng) AS lng, count(*) AS n FROM {fac} WHERE uf <> 'SP' GROUP BY municipio, uf
@@ -93,7 +95,7 @@ SELECT doc_id, page, s.top AS top, s.x0 AS x0, s.width AS width, s.height AS hei
   array(named_struct('top', 0D, 'x0', 715D, 'width', 0D, 'height', 400D)))) AS s
  FROM (SELECT doc_id, size(split(text, '[ \n]+')) AS n FROM {documents} WHERE text IS NOT NULL) counted) drawn"""
 
-NEEDS = {"cur": ["fac"], "inc": ["fac"], "shapes": ["words"], "gz": ["fac"], "cep": ["fac"]}
+NEEDS = {"cur": ["fac"], "inc": ["fac"], "shapes": ["words"], "uneven": ["words"], "gz": ["fac"], "cep": ["fac"]}
 
 
 def _names(sql: str) -> list[str]:
