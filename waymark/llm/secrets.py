@@ -2,8 +2,8 @@
 
 A candidate is a run of at least LEAST letters, digits or `+/_=-` that holds a digit or is as long as a key (LONG). Its features are its length, the share of positions
 where the kind of character changes, the mean log-probability of its letter transitions, the share of its letter triples that the corpus'
-dictionary covers, the share of digits, whether it names itself a sample, marks of its path (a test, an example), and the words within CONTEXT characters
-on its left and right. Transitions and dictionary come from the words of two letters or more of all documents. The forest is grown level by level from a table of labelled
+dictionary covers, the share of digits, whether it names itself a sample, marks of its path (a test, an example), and marks of the words within CONTEXT characters
+on its left and right: of keys, of hashes, of keys out of use. Transitions and dictionary come from the words of two letters or more of all documents. The forest is grown level by level from a table of labelled
 texts: every tree has its own bootstrap weights and, at every node, its own
 subset of features (about TRIED of them); a level is one grouped histogram over (tree, node, feature, bin), whose best splits (TREES * 2^level rows) come to the
 driver. Only DataFrame functions run.
@@ -25,12 +25,14 @@ from waymark.llm.common import stash
 LEAST, LONG, CONTEXT = 16, 22, 40
 STRIDE = 256
 TREES, DEPTH, BINS, TRIED, MOST_OF_A_LABEL = 12, 4, 8, 5, 2000
-#: Words beside a secret, and parts of paths that hold samples.
+#: Words beside a secret, beside a hash, and beside a key that isn't in use; and parts of paths that hold samples.
 BESIDE = r"(?i)(token|passw|pwd|secret|api|key|auth|bearer|credential)"
 SAMPLE_PATH = r"(?i)(test|example|sample|mock|fixture|demo)"
 SAYS_SAMPLE = r"(?i)(example|sample|your|change|dummy|placeholder|xxxx|0000)"
+HASH_WORDS = r"(?i)(commit|merge|revert|revision|git show|tree|parent|blob|sha\d|md5|checksum|digest|etag|hash|integrity|base64)"
+DEAD_WORDS = r"(?i)(example|sample|dummy|fake|revoked|expired|rotated|placeholder|not a real|for tests)"
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{%d,}|[A-Za-z+/_-]{%d,})=*" % (LEAST, LONG)
-FEATURES = ["length", "changes", "transitions", "coverage", "digits", "says_sample", "path_sample", "path_depth", "left_keyword", "left_sign", "right_sign"]
+FEATURES = ["length", "changes", "transitions", "coverage", "digits", "says_sample", "path_sample", "path_depth", "left_keyword", "left_sign", "right_sign", "near_keyword", "near_hash", "near_dead"]
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
@@ -125,6 +127,9 @@ def features(found: DataFrame, logs: list[float], marks: list[int]) -> DataFrame
         "left_keyword": F.regexp_extract("left", r"(\S+)\s*[=:]?\s*[\"']?$", 1).rlike(BESIDE).cast("int"),
         "left_sign": F.col("left").rlike(r"[=:]\s*[\"']?$").cast("int"),
         "right_sign": F.col("right").rlike(r"^[\"';,]").cast("int"),
+        "near_keyword": F.col("left").rlike(BESIDE).cast("int"),
+        "near_hash": F.col("left").rlike(HASH_WORDS).cast("int"),
+        "near_dead": (F.col("left").rlike(DEAD_WORDS) | F.col("right").rlike(DEAD_WORDS)).cast("int"),
     }
     return found.withColumns({k: v.cast("double") for k, v in values.items()}).drop("_codes")
 
