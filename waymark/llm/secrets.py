@@ -29,8 +29,8 @@ TREES, DEPTH, BINS, TRIED, MOST_OF_A_LABEL = 12, 4, 8, 5, 2000
 BESIDE = r"(?i)(token|passw|pwd|secret|api|key|auth|bearer|credential)"
 SAMPLE_PATH = r"(?i)(test|example|sample|mock|fixture|demo)"
 SAYS_SAMPLE = r"(?i)(example|sample|your|change|dummy|placeholder|xxxx|0000)"
-HASH_WORDS = r"(?i)(commit|merge|revert|revision|git show|tree|parent|blob|sha\d|md5|checksum|digest|etag|hash|integrity|base64)"
-DEAD_WORDS = r"(?i)(example|sample|dummy|fake|revoked|expired|rotated|placeholder|not a real|for tests)"
+HASH_WORDS = r"(?i)\b(commit|merge|revert|revision|git|tree|parent|blob|sha\d+|md5(sum)?|checksum|digest|etag|hash|integrity|base64)\b"
+DEAD_WORDS = r"(?i)\b(example|sample|dummy|fake|revoked|expired|rotated|placeholder|not a real|for tests)\b"
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{%d,}|[A-Za-z+/_-]{%d,})=*" % (LEAST, LONG)
 FEATURES = ["length", "changes", "transitions", "coverage", "digits", "says_sample", "path_sample", "path_depth", "left_keyword", "left_sign", "right_sign", "near_keyword", "near_hash", "near_dead"]
 
