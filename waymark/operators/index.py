@@ -26,7 +26,7 @@ def ordered_terms(asked: DataFrame, name: str) -> DataFrame:
     counts = asked.sparkSession.table(f"{name}_counts")
     wanted = asked.where("term IS NOT NULL").select("query_id", "term").distinct().join(counts, "term", "left")
     terms = wanted.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term"))).alias("terms"))
-    return terms.where(F.col("terms")[0]["n"] > 0).select("query_id", F.col("terms")[0]["term"].alias("first"), F.transform(F.slice("terms", 2, 1_000_000), lambda t: t["term"]).alias("others"))
+    return terms.where(F.col("terms")[0]["n"] > 0).select("query_id", F.col("terms")[0]["term"].alias("first"), F.transform(F.slice("terms", F.lit(2), F.size("terms")), lambda t: t["term"]).alias("others"))
 
 
 def find_all(asked: DataFrame, name: str) -> DataFrame:
