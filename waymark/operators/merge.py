@@ -55,10 +55,10 @@ def merge(stored: DataFrame, incoming: DataFrame, now: Column | None = None) ->
 SLICE_ROWS = 200_000
 
 
-def number_inserts(changes: DataFrame, first: int) -> DataFrame:
-    """changes with ids first, first + 1, ... for inserts in the order of seq: rows are ranked in slices of about SLICE_ROWS between sampled quantiles, never all in one task."""
+def number_inserts(changes: DataFrame, first: int, slices: int | None = None) -> DataFrame:
+    """changes with ids first, first + 1, ... for inserts in the order of seq: rows are ranked in slices (of about SLICE_ROWS) between sampled quantiles, never all in one task."""
     inserts = changes.where("op = 'insert'")
-    slices = 1 + inserts.count() // SLICE_ROWS
+    slices = slices or 1 + inserts.count() // SLICE_ROWS
     cuts = sorted(set(inserts.approxQuantile("seq", [i / slices for i in range(1, slices)], 0.2 / slices))) if slices > 1 else []
     at = sum((F.when(F.col("seq") > c, 1).otherwise(0) for c in cuts), F.lit(0))
     inserts = inserts.withColumn("_slice", at)
