@@ -15,6 +15,8 @@ from waymark.operators import merge, metrics, stored
 
 #: Spark's state store for transformWithState.
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Into how many slices the limiter puts its addresses.
+SLICES = 256
 
 
 def shape(log: DataFrame, salt: str) -> DataFrame:
@@ -101,16 +103,78 @@ class WindowCounter(StatefulProcessor):
         pass
 
 
-def limit_requests(stream: DataFrame, limit: int = 15, seconds: int = 60, late: str = "1 minute") -> DataFrame:
+class SliceCounter(StatefulProcessor):
+    """Counts the requests of a slice of the addresses, each in its windows. A micro-batch reads and writes a slice's counts once, however many addresses and windows it has.
+
+    The state has a number for each address and window that is open, of the slice's addresses alone; windows go when the watermark has passed their ends.
+    """
+
+    def __init__(self, limit: int, seconds: int):
+        self.limit, self.seconds = limit, seconds
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.counts = handle.getValueState("counts", "bucket array<bigint>, ip array<string>, n array<bigint>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        counts = self._read()
+        last = None
+        for part in rows:
+            number, firsts = self._windows(part)
+            own = list(zip(part["bucket"].to_numpy()[firsts].tolist(), (None if pd.isna(v) else v for v in part["ip"].to_numpy()[firsts]), strict=True))
+            before = np.array([counts.get(w, 0) for w in own], "i8")
+            counts.update(zip(own, (before + np.bincount(number)).tolist(), strict=True))
+            places = before[number] + part.groupby(number).cumcount().to_numpy() + 1
+            last = max(b for b, _ in own) if last is None else max(last, *(b for b, _ in own))
+            yield pd.DataFrame({"id": part["id"], "ip": part["ip"], "criado_em": part["criado_em"], "n": places, "allowed": places <= self.limit, "remaining": np.maximum(0, self.limit - places)})
+        self._write(counts, timerValues)
+        if last is not None:
+            self.handle.registerTimer((last + 1) * self.seconds * 1000)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._write(self._read(), timerValues)
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def _windows(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """For each row the number of its address and window, in the order in which they come, and the first row of each number."""
+        ip, _ = pd.factorize(part["ip"], use_na_sentinel=False)
+        number, _ = pd.factorize(pd.MultiIndex.from_arrays([part["bucket"].to_numpy(), ip]))
+        return number, np.unique(number, return_index=True)[1]
+
+    def _read(self) -> dict:
+        if not self.counts.exists():
+            return {}
+        bucket, ip, n = self.counts.get()
+        return dict(zip(zip(bucket, ip, strict=True), n, strict=True))
+
+    def _write(self, counts: dict, timerValues) -> None:
+        """Rows that came before the watermark of this batch are counted by now, and later batches have none of them: so windows that it has passed go."""
+        over = timerValues.getCurrentWatermarkInMs() if timerValues is not None else None
+        left = counts if over is None else {w: n for w, n in counts.items() if (w[0] + 1) * self.seconds * 1000 > over}
+        if left:
+            self.counts.update(([b for b, _ in left], [a for _, a in left], list(left.values())))
+        elif self.counts.exists():
+            self.counts.clear()
+
+
+def limit_requests(stream: DataFrame, limit: int = 15, seconds: int = 60, late: str = "1 minute", slices: int | None = SLICES) -> DataFrame:
     """id, ip, criado_em, n, allowed, remaining of a stream: each request's place in its address' window, in the order of arrival.
 
-    A window's count is all that is kept, until a timer takes it when the watermark passes the window's end. It needs the state store ROCKS, which is set for the session.
+    Counts of open windows are all that is kept, until the watermark passes their ends. Addresses go together in so many slices, so that the cost goes with the rows; a slice's counts
+    are held by a task. With slices=None every address and window has a state of its own, which is for few addresses. It needs the state store ROCKS, which is set for the session.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     bucket = F.floor(F.unix_millis("criado_em") / (seconds * 1000))
     timed = stream.withWatermark("criado_em", late).select("id", "ip", "criado_em", bucket.alias("bucket"))
     out = "id long, ip string, criado_em timestamp, n long, allowed boolean, remaining long"
-    return timed.groupBy("ip", "bucket").transformWithStateInPandas(WindowCounter(limit, seconds), out, "append", "EventTime")
+    if slices is None:
+        return timed.groupBy("ip", "bucket").transformWithStateInPandas(WindowCounter(limit, seconds), out, "append", "EventTime")
+    sliced = timed.withColumn("slice", F.pmod(F.xxhash64("ip"), F.lit(slices)))
+    return sliced.groupBy("slice").transformWithStateInPandas(SliceCounter(limit, seconds), out, "append", "EventTime")
 
 
 def merge_snapshot(batch: DataFrame, number: int, path: str, log: str, by: str = "uf") -> None:
