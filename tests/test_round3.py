@@ -58,3 +58,20 @@ def test_limiter_reads_a_slice_of_addresses_once():
     assert handle.calls <= 9 and handle.timers == [600_000] * 3
     assert list(counter.handleExpiredTimer((0,), Watermark(540_000), None)) == [] and set(handle.held[0]) == {9}
     assert list(counter.handleExpiredTimer((0,), Watermark(600_000), None)) == [] and handle.held is None
+
+
+def test_equal_queries_share_one_array(spark, tmp_path):
+    """Common terms' lists aren't sent along with a query: what a task gives out is an array for all queries with the same terms."""
+    from waymark.operators import index
+
+    index.build(spark.range(3000).select(F.explode(F.array(F.lit("all"), F.when(F.col("id") % 2 == 0, "even").otherwise("odd"), F.concat(F.lit("n"), F.col("id").cast("string")))).alias("term"), "id"), "index_of_round3", str(tmp_path), span=1000, buckets=4)
+    try:
+        asked = spark.createDataFrame([(i, t) for i in range(200) for t in ("all", "even" if i < 150 else "odd")] + [(300, "all"), (300, "n77"), (301, "even"), (301, "n77"), (302, "all"), (302, "gone"), (303, "n5")], "query_id int, term string")
+        found = index.find_all(asked, "index_of_round3")
+        got = {r["query_id"]: (r["n"], r["s"]) for r in found.groupBy("query_id").agg(F.count("*").alias("n"), F.sum("id").alias("s")).collect()}
+        even, odd = (1500, sum(range(0, 3000, 2))), (1500, sum(range(1, 3000, 2)))
+        assert got == {**{i: even if i < 150 else odd for i in range(200)}, 300: (1, 77), 303: (1, 5)}
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list(ids" not in plan and "MapInArrow" in plan
+    finally:
+        index.drop(spark, "index_of_round3")
