@@ -75,3 +75,36 @@ def test_equal_queries_share_one_array(spark, tmp_path):
         assert "collect_list(ids" not in plan and "MapInArrow" in plan
     finally:
         index.drop(spark, "index_of_round3")
+
+
+def in_duck(name, **tables):
+    con = duckdb.connect()
+    con.sql("SET TimeZone = 'UTC'")
+    for table, frame in tables.items():
+        con.register(table, frame)
+    return sorted(con.sql(registry.ORACLE[name]).fetchall())
+
+
+def of_spark(spark, name, monkeypatch, tmp_path, **tables):
+    for table, frame in tables.items():
+        spark.createDataFrame(frame).write.parquet(str(tmp_path / f"{table}.parquet"))
+    return sorted(tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).collect())
+
+
+def test_a_window_ends_at_its_last_microsecond(spark, monkeypatch, tmp_path):
+    times = ["2024-01-01 00:00:59.999600", "2024-01-01 00:01:00.000000", "1960-01-01 00:00:59.999600"]
+    events = pd.DataFrame({"event_id": [1, 2, 3], "ts": pd.to_datetime(times).astype("datetime64[us]"), "user_id": 1, "event_type": "view", "value": 1.0, "props": "{1}"})
+    got = of_spark(spark, "o54_window_index", monkeypatch, tmp_path, events=events)
+    assert got == in_duck("o54_window_index", events=events) == [(1, 28401120), (2, 28401121), (3, -5260320)]
+
+
+@pytest.mark.parametrize("name", ["o70_fallback_geocode", "o74_memo"])
+def test_addresses_of_several_facilities(spark, monkeypatch, tmp_path, name):
+    """Facilities so far apart have the same addresses, cities and states, but not the same places: a key has several of them, and each facility asks for it once."""
+    step = 900 * 11 * 19
+    keys = [6 + step * i for i in range(12)] + [8 + step * i for i in range(12)]
+    customer = pd.DataFrame({"c_custkey": keys, "c_name": [f"C{k}" for k in keys], "c_nationkey": 3, "c_acctbal": 1.0, "c_mktsegment": "BUILDING"})
+    got = of_spark(spark, name, monkeypatch, tmp_path, customer=customer)
+    assert got == in_duck(name, customer=customer)
+    if name == "o74_memo":
+        assert sum(r[1] for r in got) == sum(1 if k % 17 == 0 else 3 for k in keys) and max(r[3] for r in got) > 1
