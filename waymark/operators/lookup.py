@@ -74,10 +74,14 @@ def postal_cascade(asked: DataFrame, cache: DataFrame, provider: DataFrame) -> t
 
 
 def memoised(asked: DataFrame, resolver: DataFrame) -> DataFrame:
-    """asked (id, query_key) with lat, lng and lookups: how many of the resolver's rows were read for the key, whoever asks for it and however often."""
+    """asked (id, query_key) with lat, lng and lookups: how many of the resolver's rows were read for the key, whoever asks for it and however often.
+
+    Of a key's several places the one with the smallest latitude, then longitude, is taken.
+    """
     once = asked.select("query_key").distinct()
     found = resolver.select("query_key", "lat", "lng", F.lit(True).alias("_read"))
-    answers = once.join(found, "query_key", "left").groupBy("query_key").agg(F.max("lat").alias("lat"), F.max("lng").alias("lng"), F.count("_read").alias("lookups"))
+    placed = F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    answers = once.join(found, "query_key", "left").groupBy("query_key").agg(F.min(F.when(placed, F.struct("lat", "lng"))).alias("at"), F.count("_read").alias("lookups")).select("query_key", "at.lat", "at.lng", "lookups")
     return asked.join(answers, "query_key")
 
 
