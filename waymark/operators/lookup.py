@@ -29,12 +29,13 @@ def candidates(facilities: DataFrame, country: str = "Brasil") -> DataFrame:
 def resolve(facilities: DataFrame, resolver: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """id, lat, lng, pos, query_key of the first candidate that resolves; ids without one are kept with nulls.
 
-    resolver is any table (query_key, lat, lng): each distinct key is looked up once, however many facilities ask for it.
+    resolver is any table (query_key, lat, lng): each distinct key is looked up once, however many facilities ask for it. Of a key's several places the one with the smallest
+    latitude, then longitude, is taken.
     """
     asked = candidates(facilities) if asked is None else asked
-    found = asked.select("query_key").distinct().join(resolver.where("lat IS NOT NULL AND lng IS NOT NULL").select("query_key", "lat", "lng"), "query_key")
-    hits = asked.join(found, "query_key")
-    best = hits.groupBy("id").agg(F.min_by(F.struct("lat", "lng", "pos", "query_key"), "pos").alias("b")).select("id", "b.*")
+    places = resolver.where("lat IS NOT NULL AND lng IS NOT NULL").groupBy("query_key").agg(F.min(F.struct("lat", "lng")).alias("at")).select("query_key", "at.*")
+    hits = asked.join(places, "query_key")
+    best = hits.groupBy("id").agg(F.min(F.struct("pos", "lat", "lng", "query_key")).alias("b")).select("id", "b.lat", "b.lng", "b.pos", "b.query_key")
     return facilities.select("id").join(best, "id", "left")
 
 
