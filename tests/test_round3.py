@@ -108,3 +108,19 @@ def test_addresses_of_several_facilities(spark, monkeypatch, tmp_path, name):
     assert got == in_duck(name, customer=customer)
     if name == "o74_memo":
         assert sum(r[1] for r in got) == sum(1 if k % 17 == 0 else 3 for k in keys) and max(r[3] for r in got) > 1
+
+
+def test_city_fallback_ranks_no_request(spark):
+    """Equal requests are answered from one ranking: what is ranked doesn't go with the requests."""
+    from waymark.operators import search
+
+    fac = spark.range(300).selectExpr("CAST(id AS INT) AS id", "IF(id % 3 = 0, NULL, 'SP') AS uf", "IF(id % 2 = 0, 'São Paulo', 'Sao Pedro') AS municipio", "concat('U', id) AS unidade", "IF(id % 5 = 0, 'Crotálico', NULL) AS atendimentos_raw")
+    asked = spark.range(400).selectExpr("id AS request_id", "CAST(NULL AS DOUBLE) AS lat", "IF(id % 2 = 0, 'são', 'PEDRO') AS city", "IF(id % 4 < 2, 'sp', NULL) AS uf", "CASE id % 3 WHEN 0 THEN 'cascavel' WHEN 1 THEN 'none' END AS service")
+    got = search.city_fallback(asked, fac, 3)
+    assert "request_id" not in [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x].__str__()
+    rows = [(r["id"], r["uf"], "Crotálico" if r["atendimentos_raw"] else None, r["municipio"].replace("ã", "a").lower(), r["municipio"], r["unidade"]) for r in fac.collect()]
+    want = set()
+    for r in asked.collect():
+        fit = [x for x in rows if r["city"].replace("ã", "a").lower() in x[3] and (r["uf"] is None or x[1] == "SP") and (r["service"] is None or (r["service"] == "cascavel" and x[2]))]
+        want |= {(r["request_id"], x[0], i + 1) for i, x in enumerate(sorted(fit, key=lambda x: (x[4], x[5], x[0]))[:3])}
+    assert {tuple(r) for r in got.collect()} == want
