@@ -102,7 +102,7 @@ def test_a_window_ends_at_its_last_microsecond(spark, monkeypatch, tmp_path):
 def test_addresses_of_several_facilities(spark, monkeypatch, tmp_path, name):
     """Facilities so far apart have the same addresses, cities and states, but not the same places: a key has several of them, and each facility asks for it once."""
     step = 900 * 11 * 19
-    keys = [6 + step * i for i in range(12)] + [8 + step * i for i in range(12)]
+    keys = [12 + step * i for i in range(12)] + [14 + step * i for i in range(12)]
     customer = pd.DataFrame({"c_custkey": keys, "c_name": [f"C{k}" for k in keys], "c_nationkey": 3, "c_acctbal": 1.0, "c_mktsegment": "BUILDING"})
     got = of_spark(spark, name, monkeypatch, tmp_path, customer=customer)
     assert got == in_duck(name, customer=customer)
@@ -124,3 +124,22 @@ def test_city_fallback_ranks_no_request(spark):
         fit = [x for x in rows if r["city"].replace("ã", "a").lower() in x[3] and (r["uf"] is None or x[1] == "SP") and (r["service"] is None or (r["service"] == "cascavel" and x[2]))]
         want |= {(r["request_id"], x[0], i + 1) for i, x in enumerate(sorted(fit, key=lambda x: (x[4], x[5], x[0]))[:3])}
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_nearest_look_near_by_first(spark):
+    """Ranks within a state and service are the brute force's, and where places are dense the first look is far nearer than an origin's reach."""
+    from waymark.functions.geo import distance
+    from waymark.operators import geojoin
+
+    fac = spark.range(4000).selectExpr("CAST(id AS INT) AS id", "(id DIV 2 * 7919 % 2000) / 1000 AS lat", "(id DIV 2 * 104729 % 2000) / 1000 AS lng", "IF(id % 40 = 0, 'RJ', 'SP') AS uf", "IF(id % 3 = 0, 'Botrópico', '') AS atendimentos_raw")
+    ori = spark.range(30).selectExpr("id AS origin_id", "id * 0.07 AS lat", "id * 0.06 AS lng", "CASE id % 4 WHEN 0 THEN 60000D WHEN 1 THEN 900D WHEN 2 THEN -1D END AS metres", "CASE id % 3 WHEN 0 THEN 'rj' WHEN 1 THEN 'ac' END AS uf", "IF(id % 2 = 0, 'Jararaca', NULL) AS service")
+    assert geojoin._first_look(fac, 100_000.0) <= 16_000
+    meets = (F.col("uf").isNull() | (F.upper("uf") == F.col("state"))) & (F.col("service").isNull() | (F.col("a") != "")) & (distance(F.col("lat"), F.col("lng"), F.col("la"), F.col("ln")) <= F.coalesce("metres", F.lit(100_000.0)))
+    every = ori.crossJoin(fac.withColumnsRenamed({"lat": "la", "lng": "ln", "uf": "state", "atendimentos_raw": "a"})).where(meets)
+    want = {}
+    for r in every.select("origin_id", "id", distance(F.col("lat"), F.col("lng"), F.col("la"), F.col("ln")).alias("m")).collect():
+        want.setdefault(r["origin_id"], []).append((r["m"], r["id"]))
+    expected = sorted((o, x[1], i + 1) for o, xs in want.items() for i, x in enumerate(sorted(xs)[:3]))
+    assert sorted(tuple(r) for r in geojoin.radius_join(ori, fac, 100_000, 3).select("origin_id", "id", "rank").collect()) == expected
+    assert geojoin.radius_join(ori, fac, 100_000).count() == every.count()
+    assert geojoin.radius_join(ori.where("origin_id < 0"), fac, 100_000, 3).count() == 0

@@ -30,6 +30,15 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(there, True)
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """rows, written as Parquet where executors and driver both write (under the checkpoint folder, else the warehouse) and read again, so that they are worked out once."""
+    spark = rows.sparkSession
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def partitions(spark: SparkSession, path: str, by: str) -> dict[str | None, str]:
     """The values of a partition column, as texts, with their folders."""
     files, there = _at(spark, path)
