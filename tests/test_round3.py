@@ -143,3 +143,15 @@ def test_nearest_look_near_by_first(spark):
     assert sorted(tuple(r) for r in geojoin.radius_join(ori, fac, 100_000, 3).select("origin_id", "id", "rank").collect()) == expected
     assert geojoin.radius_join(ori, fac, 100_000).count() == every.count()
     assert geojoin.radius_join(ori.where("origin_id < 0"), fac, 100_000, 3).count() == 0
+
+
+def test_requests_with_a_common_text_are_ranked_in_slices(spark):
+    from waymark.operators import search
+
+    fac = spark.range(900).selectExpr("CAST(id AS INT) AS id", "'SP' AS uf", "'Itu' AS municipio", "concat('UPA ', id % 100) AS unidade", "'Rua' AS endereco", "'' AS atendimentos_raw")
+    asked = spark.createDataFrame([(1, None, None, None, "upa", 5, 2), (2, None, None, None, "UPA", 700, None), (3, "sp", None, None, None, -1, None), (4, None, None, None, "rua", None, 890)], "request_id int, uf string, city string, service string, q string, limit int, offset int")
+    got = search.directory_many(asked, fac)
+    order = [r["id"] for r in fac.orderBy("municipio", "unidade", "id").collect()]
+    want = {(1, x, i + 1) for i, x in enumerate(order[2:7])} | {(2, x, i + 1) for i, x in enumerate(order[:500])} | {(4, x, i + 1) for i, x in enumerate(order[890:])}
+    assert {tuple(r) for r in got.collect()} == want
+    assert "slice" in got._jdf.queryExecution().optimizedPlan().toString()
