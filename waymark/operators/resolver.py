@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.operators import lookup
+from waymark.operators.stored import kept
 
 #: A provider's reply is a pair (latitude, longitude) or None for a place that it doesn't know; whatever else it returns or raises counts as a failure.
 Provider = Callable[[str], tuple[float, float] | None]
@@ -59,7 +60,7 @@ def resolve(facilities: DataFrame, provider: Provider, at: str, cache: DataFrame
     has, misses too, isn't asked for. Failed keys stay without coordinates; they are in the answers with their outcome, so that they can be kept out of a cache.
     """
     spark = facilities.sparkSession
-    asked = lookup.candidates(facilities) if asked is None else asked
+    asked = kept(lookup.candidates(facilities) if asked is None else asked, "candidates")  # read for every place
     known = cache.select("query_key", "lat", "lng") if cache is not None else spark.createDataFrame([], "query_key string, lat double, lng double")
     answers = None
     for pos in range((asked.agg(F.max("pos")).first()[0] or 0) + 1):  # a few places
