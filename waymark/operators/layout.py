@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.text import blank_to_null, fold, squeeze, token_class
+from waymark.operators import reading
 
 PAGE = ["doc_id", "page"]
 TOLERANCE, HEAD = 3.0, ["MUNICIPIO", "ENDERECO", "TELEFONES", "CNES"]
@@ -229,56 +234,110 @@ def measures(words: DataFrame, gap: float = 50.0, least: int = 3) -> DataFrame:
 def anchors(words: DataFrame, ratio: float = 1.2) -> DataFrame:
     """doc_id, page, anchor (0-based), height, left, right, y_top, y_bottom, text: rows that begin in the left column.
 
-    A word joins the row whose first word's centre lies within ratio times the page's mean height. Rows are found among a page's distinct centres, and
-    words find theirs in one reading with the rows' beginnings.
+    A word joins the row whose first word's centre lies within ratio times the page's mean height. Rows are found among a page's distinct centres.
     """
-    return _anchors(words, measures(words).where(F.col("left").isNotNull()).drop("unit_x"), ratio)
+    rows = _anchors(words, ratio, False)
+    return rows.select(*PAGE, "anchor", "height", "left", "right", "y_top", "y_bottom", F.array_join("names", " ").alias("text"))
+
+
+#: What a word is by its text alone: marks that a task reads as bits, and the kinds of token above them.
+MARKS = ["fit", "unit", "head", "letter", "street"]
+KINDS = ["telefone", "cnes", "atendimento"]
+PARTS = ["names", "more", "unit_texts", "address", *KINDS]
 
 
-def _anchors(words: DataFrame, pages: DataFrame, ratio: float) -> DataFrame:
+def _anchors(words: DataFrame, ratio: float, owned: bool, gap: float = 50.0, least: int = 3) -> DataFrame:
+    """Rows of the left column with lists of texts in reading order: their own words (names) and, if owned, the words of each part of their records.
+
+    An anchor owns the words from a quarter of a height above it to the next one, but heads; the address begins with the first free word that is a number or a street word.
+    """
     w = F.col("text")
-    fit = F.col("x0").between(F.col("left"), F.col("right")) & w.rlike(r"\p{L}") & ~is_head(w) & ~is_foot(w)
-    own = words.join(pages.hint("shuffle_hash"), PAGE).where(fit).withColumn("y", middle("top", "bottom"))
-    found = own.groupBy(*PAGE).agg(starts(F.sort_array(F.collect_set("y")), F.first("height") * ratio).alias("_starts"))
-    marks = found.select(*PAGE, F.posexplode("_starts").alias("anchor", "_at")).select(*PAGE, "_at", F.struct("anchor").alias("_mark"))
-    rows = carried(own, marks, F.col("y")).withColumn("anchor", F.col("_mark.anchor"))
-    text = F.array_join(F.sort_array(F.collect_list(F.struct("y", "x0", "pos", "text")))["text"], " ").alias("text")
-    keep = [F.first(c).alias(c) for c in pages.columns if c not in PAGE]
-    return rows.groupBy(*PAGE, "anchor").agg(*keep, F.min("top").alias("y_top"), F.max("bottom").alias("y_bottom"), text)
+    head, letter = is_head(w), w.rlike(r"\p{L}")
+    marks = {"fit": letter & ~head & ~is_foot(w), "unit": F.lower(w).rlike(UNIT_STARTS)}
+    if owned:
+        marks |= {"head": head, "letter": letter, "street": w.rlike(r"\d") | F.btrim(F.lower(fold(w)), F.lit(",.")).isin(STREET_WORDS)}
+    bits = [F.when(rule, 1 << MARKS.index(m)).otherwise(0) for m, rule in marks.items()]
+    if owned:
+        kind = token_class(w)
+        bits.append(F.when(kind.isNull(), 0).when(kind == KINDS[0], 32).when(kind == KINDS[1], 64).otherwise(96))
+    marked = words.dropna(subset=[*PAGE, "top", "bottom"]).select(*PAGE, "x0", "pos", "text", "top", "bottom", sum(bits[1:], bits[0]).alias("marks"))
+    parts = PARTS if owned else PARTS[:1]
+    values = ["height", "left", "right", "y_top", "y_bottom"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x0, top, bottom, pos = reading.numbers(batch, "x0", "top", "bottom", "pos")
+            batch = reading.sorted_within(batch, (top + bottom) / 2, x0, pos)
+            x0, top, bottom, pos, bits = reading.numbers(batch, "x0", "top", "bottom", "pos", "marks")
+            is_ = {m: bits >> i & 1 > 0 for i, m in enumerate(MARKS)}
+            kind, y = bits >> 5, (top + bottom) / 2
+            first_rows = reading.page_starts(batch)
+            page, anchor, figures = [], [], []
+            at, sizes = {p: [] for p in parts}, {p: [] for p in parts}
+            for a, b in zip(first_rows, [*first_rows[1:], batch.num_rows], strict=True):
+                run = reading.left_run(np.sort(x0[a:b]), gap, least)
+                if run is None:
+                    continue
+                height, left, right = reading.mean_height(top[a:b], bottom[a:b]), run[0] - 5, run[1] + 50
+                in_left = (x0[a:b] >= left) & (x0[a:b] <= right)
+                fit = a + np.flatnonzero(is_["fit"][a:b] & in_left)
+                if not len(fit):
+                    continue
+                ys = y[fit]
+                begins = np.searchsorted(ys, reading.apart(np.unique(ys), height * ratio))
+                y_top, y_bottom = np.minimum.reduceat(top[fit], begins), np.maximum.reduceat(bottom[fit], begins)
+                n = len(begins)
+                if owned:
+                    units = np.sort(x0[a:b][is_["unit"][a:b]])
+                    limit = units[len(units) // 2] if len(units) else right + 300
+                    order = np.argsort(y_top - height / 4, kind="stable")  # tops needn't rise as centres do
+                    mine = np.arange(a, b)
+                    owner = np.searchsorted((y_top - height / 4)[order], y[a:b], side="right") - 1
+                    has = (owner >= 0) & ~is_["head"][a:b]
+                    mine, owner, away = mine[has], order[owner[has]], ~in_left[has]
+                    other, free = kind[mine] > 0, away & (kind[mine] == 0)
+                    street = np.cumsum(free & is_["street"][mine])
+                    reached = np.zeros(n, np.int64)
+                    new = np.flatnonzero(np.diff(owner, prepend=-1))  # an anchor's words are together
+                    reached[owner[new]] = street[new] - (free & is_["street"][mine])[new]
+                    late = street > reached[owner]
+                    near = np.abs(y[mine] - ((y_top + y_bottom) / 2)[owner]) <= height * ratio
+                    more = np.flatnonzero(near & (x0[mine] > right) & (x0[mine] < limit) & is_["letter"][mine] & ~other)
+                    more = more[np.lexsort((pos[mine[more]], x0[mine[more]], owner[more]))]
+                    found = {"more": more, "unit_texts": np.flatnonzero(free & ~late), "address": np.flatnonzero(free & late)}
+                    found |= {k: np.flatnonzero(away & (kind[mine] == i + 1)) for i, k in enumerate(KINDS)}
+                    for p, f in found.items():
+                        f = f[np.argsort(owner[f], kind="stable")]
+                        at[p].append(mine[f])
+                        sizes[p].append(np.bincount(owner[f], minlength=n))
+                    keep = np.bincount(owner, minlength=n) > 0
+                else:
+                    keep = np.ones(n, bool)
+                at["names"].append(fit)
+                sizes["names"].append(np.diff(np.append(begins, len(fit))))
+                page.append(np.where(keep, a, -1))
+                anchor.append(np.arange(n))
+                figures.append(np.stack([*[np.full(n, v) for v in (height, left, right)], y_top, y_bottom]))
+            if page:
+                keys = np.concatenate(page)
+                rows = pa.array(np.maximum(keys, 0), pa.int64())
+                columns = [batch.column(c).take(rows) for c in PAGE] + [pa.array(np.concatenate(anchor), pa.int32())]
+                columns += [pa.array(f) for f in np.concatenate(figures, axis=1)] + [reading.lists(batch.column("text"), at[p], sizes[p]) for p in parts]
+                yield pa.RecordBatch.from_arrays(columns, names=[*PAGE, "anchor", *values, *parts]).filter(pa.array(keys >= 0))
+
+    kinds = {f.name: f.dataType.simpleString() for f in marked.schema.fields}
+    schema = f"doc_id {kinds['doc_id']}, page {kinds['page']}, anchor int, {', '.join(f'`{v}` double' for v in values)}, {', '.join(f'{p} array<string>' for p in parts)}"
+    return reading.by_page(marked, read, schema)
 
 
 def anchored_records(words: DataFrame, ratio: float = 1.2) -> DataFrame:
     """Records of pages without lines: each anchor owns the words from a quarter of a height above it to the next one."""
-    rows = _anchors(words, measures(words).where(F.col("left").isNotNull()), ratio)
-    rows = rows.withColumnRenamed("text", "city").withColumn("limit", F.coalesce("unit_x", F.col("right") + 300))
-    marks = rows.select(*PAGE, (F.col("y_top") - F.col("height") / 4).alias("_at"), F.struct("anchor", "y_top", "y_bottom", "city", "height", "left", "right", "limit").alias("_mark"))
-    y = middle("top", "bottom")
-    own = carried(words.where(~is_head(F.col("text"))), marks, y).select(*PAGE, "_mark.*", "pos", "text", "x0", y.alias("y"), token_class(F.col("text")).alias("kind"))
-
-    in_left = F.col("x0").between(F.col("left"), F.col("right"))
-    same_line = F.abs(F.col("y") - (F.col("y_top") + F.col("y_bottom")) / 2) <= F.col("height") * ratio
-    extra = same_line & (F.col("x0") > F.col("right")) & (F.col("x0") < F.col("limit")) & F.col("text").rlike(r"\p{L}") & F.col("kind").isNull()
-    free = ~in_left & F.col("kind").isNull()
-    street = free & (F.col("text").rlike(r"\d") | F.btrim(F.lower(fold(F.col("text"))), F.lit(",.")).isin(STREET_WORDS))
-    reading = Window.partitionBy(*PAGE, "anchor").orderBy("y", "x0", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = own.withColumn("address", F.coalesce(F.max(street).over(reading), F.lit(False)))
-
-    def text_of(rule: Column, order: list[str], text: Column | None = None, sep: str = " ") -> Column:
-        found = F.sort_array(F.collect_list(F.when(rule, F.struct(*order, (F.col("text") if text is None else text).alias("t")))))
-        return F.array_join(F.transform(found, lambda x: x["t"]), sep)
-
-    read = ["y", "x0", "pos"]
-    code = F.when(~in_left & (F.col("kind") == "cnes"), F.struct(*read, F.btrim("text", F.lit(" |,")).alias("t")))
-    one = own.groupBy(*PAGE, "anchor", "city").agg(
-        text_of(extra, ["x0", "pos"]).alias("more"),
-        text_of(free & ~F.col("address"), read).alias("unidade"),
-        text_of(free & F.col("address"), read).alias("endereco"),
-        text_of(~in_left & (F.col("kind") == "telefone"), read).alias("telefones"),
-        F.min(code)["t"].alias("cnes"),
-        text_of(~in_left & (F.col("kind") == "atendimento"), read, sep=", ").alias("atendimentos_raw"),
-    )
-    city = squeeze(F.concat_ws(" ", "city", F.nullif("more", F.lit(""))))
-    out = one.select(*PAGE, "anchor", city.alias("municipio"), *[blank_to_null(squeeze(F.col(c))).alias(c) for c in ("unidade", "endereco", "telefones")], "cnes", blank_to_null(squeeze(F.col("atendimentos_raw"))).alias("atendimentos_raw"))
+    rows = _anchors(words, ratio, True)
+    city = squeeze(F.concat_ws(" ", F.array_join("names", " "), F.nullif(F.array_join("more", " "), F.lit(""))))
+    texts = {"unidade": F.array_join("unit_texts", " "), "endereco": F.array_join("address", " "), "telefones": F.array_join("telefone", " ")}
+    cnes = F.btrim(F.get("cnes", F.lit(0)), F.lit(" |,")).alias("cnes")
+    services = blank_to_null(squeeze(F.array_join("atendimento", ", "))).alias("atendimentos_raw")
+    out = rows.select(*PAGE, "anchor", city.alias("municipio"), *[blank_to_null(squeeze(t)).alias(c) for c, t in texts.items()], cnes, services)
     return out.where(valid_city(F.col("municipio")))
 
 
