@@ -365,20 +365,22 @@ def coverage_bands(words: DataFrame, columns: int = 6, least: int = 20) -> DataF
 def mean_lines(words: DataFrame, ratio: float = 1.2) -> DataFrame:
     """doc_id, page, line, pos: a word joins the current line if its centre lies within ratio mean heights of the line's mean centre.
 
-    Words of one centre go together (once the first has joined a line, its mean is nearer still), so lines are folded from distinct centres and their counts.
+    Words of one centre go together (once the first has joined a line, its mean is nearer still), so lines are folded from a page's distinct centres and their counts.
     """
-    y = middle("top", "bottom")
-    heights = words.groupBy(*PAGE).agg(mean_height().alias("height"))
-    levels = words.groupBy(*PAGE, y.alias("y")).agg(F.count(F.lit(1)).alias("n")).groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("y", "n"))).alias("levels"))
-    state = F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("n"), F.array().cast("array<double>").alias("starts"))
 
-    def step(s: Column, w: Column) -> Column:
-        same = (s["n"] > 0) & (F.abs(w["y"] - s["sum"] / F.greatest(s["n"], F.lit(1))) <= F.col("height") * ratio)
-        total = F.when(same, s["sum"]).otherwise(0.0) + w["y"] * w["n"]
-        return F.struct(total.alias("sum"), (F.when(same, s["n"]).otherwise(0) + w["n"]).alias("n"), F.when(same, s["starts"]).otherwise(F.concat(s["starts"], F.array(w["y"]))).alias("starts"))
-
-    lines = levels.join(heights, PAGE).select(*PAGE, F.aggregate("levels", state, step)["starts"].alias("starts"))
-    return words.join(lines.hint("shuffle_hash"), PAGE).select(*PAGE, (below(F.col("starts"), y, True) - 1).alias("line"), "pos")
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            top, bottom = reading.numbers(batch, "top", "bottom")
+            y, line = (top + bottom) / 2, np.empty(batch.num_rows, np.int32)
+            starts = reading.page_starts(batch)
+            for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                levels, counts = np.unique(y[a:b], return_counts=True)
+                firsts = reading.mean_starts(levels, counts, reading.mean_height(top[a:b], bottom[a:b]) * ratio)
+                line[a:b] = np.searchsorted(firsts, y[a:b], side="right") - 1
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("page"), pa.array(line), batch.column("pos")], names=[*PAGE, "line", "pos"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in words.schema.fields}
+    return reading.by_page(words.select(*PAGE, "pos", "top", "bottom"), read, f"doc_id {kinds['doc_id']}, page {kinds['page']}, line int, pos {kinds['pos']}")
 
 
 def line_records(lined: DataFrame, columns: DataFrame) -> DataFrame:
