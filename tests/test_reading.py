@@ -30,8 +30,22 @@ def test_pages_come_whole():
     assert reading.page_starts(whole).tolist() == [0, 3, 5, 8, 9]
 
 
+def test_bands_and_lines():
+    edges = np.array([0.0, 1.0, 4.5, 9.0, 20.0])
+    assert reading.bands(edges, np.array([-1.0, 0.0, 0.5, 1.0, 4.5, 8.0, 20.0, 20.5])).tolist() == [-1, 0, 0, 0, 1, 2, 3, -1]
+    assert reading.lines(np.array([0.0, 3.0, 4.0, 7.0, 8.5]), 4.0) == [0, 0, 1, 1, 2]
+
+
 @pytest.mark.parametrize("work", [layout.mean_lines, layout.anchors, layout.anchored_records])
 def test_words_are_read_in_one_pass(spark, words, work):
     seen = plan(work(words))
     assert seen.count("RepartitionByExpression") == 1 and "Join" not in seen and "Window" not in seen
     assert work(words).groupBy("doc_id", "page").count().count() == 6
+
+
+def test_bands_are_read_in_one_pass(spark):
+    boxes = spark.createDataFrame([(1, 0, i, t, x, x + 2.0, y, y + 2.0) for i, (t, x, y) in enumerate([("c", 5.0, 30.0), ("b", 20.0, 20.0), ("a", 5.0, 21.0), ("z", 61.0, 20.0), ("y", 71.0, 20.0), ("out", 900.0, 20.0), ("up", 5.0, 5.0)])], SCHEMA)
+    cut = spark.createDataFrame([(1, 0, [10.0, 40.0, 50.0], [0.0, 60.0, 70.0, 80.0], 8.0)], "doc_id long, page int, h array<double>, v array<double>, head double")
+    got = layout.band_cells(boxes, cut)
+    assert [tuple(r) for r in layout.cells(got).orderBy("col").collect()] == [(1, 0, 0, 0, "a b c"), (1, 0, 0, 1, "z"), (1, 0, 0, 2, "y")]
+    assert plan(got).count("RepartitionByExpression") == 1 and "Window" not in plan(got)

@@ -104,33 +104,48 @@ def band_of(edges: Column, value: Column) -> Column:
     return F.when((inside > 0) & (inside < F.size(edges)), inside - 1).when(at_first & (F.size(edges) > 1), 0).cast("int")
 
 
-def assign(words: DataFrame, cut: DataFrame) -> DataFrame:
-    """words below the heads of cut's pages with row and col in their place: the first bands that hold their centres, both ends included.
+def band_cells(words: DataFrame, cut: DataFrame, gap: float = 4.0) -> DataFrame:
+    """doc_id, page, row, cells: for each row of the pages that cut has its cells, by col, and their texts in reading order.
 
-    Words and edges of a page are read in one order, by y and then by x, and each word counts the edges before it: one shuffle by page and two sorts, however many edges a page has.
+    Words below the heads fall into the first bands that hold their centres, both ends included. Words of a cell are read by lines as in joined_text. Words are shuffled
+    once, together with a row of edges for each page; each word looks up its bands among them.
     """
-    own = words.withColumns({"_y": middle("top", "bottom"), "_x": middle("x0", "x1")})
-    for axis, at in (("h", "_y"), ("v", "_x")):
-        own = own.unionByName(cut.select(*PAGE, F.explode(axis).alias(at), F.lit(axis).alias("_axis"), F.col("head").alias("_head")), allowMissingColumns=True)
-    for axis, at, band in (("h", "_y", "row"), ("v", "_x", "col")):
-        edge = F.coalesce(F.col("_axis") == axis, F.lit(False))
-        order = Window.partitionBy(*PAGE).orderBy(at, edge)  # a word comes before an edge at its very place
-        page = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        before, every = (F.count_if(edge).over(w) for w in (order.rowsBetween(Window.unboundedPreceding, Window.currentRow), page))
-        first = F.min(F.when(edge, F.col(at))).over(page)
-        own = own.withColumns({"_before": before, "_every": every, "_first": first, "_top": F.max("_head").over(page)})
-        inside = (F.col("_before") > 0) & (F.col("_before") < F.col("_every"))
-        own = own.withColumn(band, F.when(inside, F.col("_before") - 1).when((F.col("_first") == F.col(at)) & (F.col("_every") > 1), 0).cast("int"))
-    placed = own.where(F.col("_axis").isNull() & (F.col("top") > F.col("_top") + 1) & F.col("row").isNotNull() & F.col("col").isNotNull())
-    return placed.select(*words.columns, "row", "col")
-
-
-def carried(words: DataFrame, marks: DataFrame, at: Column) -> DataFrame:
-    """words (by their place `at`) with _mark, the struct of the last of their page's marks (_at, _mark) at or before them; those before the first are gone."""
-    both = words.withColumn("_at", at).unionByName(marks.select(*PAGE, "_at", "_mark"), allowMissingColumns=True).withColumn("_own", F.col("_mark").isNull())
-    order = Window.partitionBy(*PAGE).orderBy("_at", "_own").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a mark comes before a word at its very place
-    last = both.withColumn("_mark", F.last("_mark", ignorenulls=True).over(order))
-    return last.where(F.col("_own") & F.col("_mark").isNotNull()).drop("_at", "_own")
+    boxes = words.dropna(subset=["top", "bottom", "x0", "x1"]).select(*PAGE, "top", "bottom", "x0", "x1", "text")
+    both = boxes.unionByName(cut.select(*PAGE, "h", "v", "head"), allowMissingColumns=True)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x0, x1, top, bottom, head = reading.numbers(batch, "x0", "x1", "top", "bottom", "head")
+            row, col, line = (np.full(batch.num_rows, -1) for _ in range(3))
+            page = np.zeros(batch.num_rows, np.int64)
+            starts = reading.page_starts(batch)
+            for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                page[a:b] = a
+                edges = np.flatnonzero(~np.isnan(head[a:b]))
+                if len(edges):
+                    e = a + int(edges[0])
+                    h, v = (np.array(batch.column(c)[e].as_py()) for c in "hv")
+                    under = top[a:b] > head[e] + 1  # false for the row of edges
+                    row[a:b] = np.where(under, reading.bands(h, (top[a:b] + bottom[a:b]) / 2), -1)
+                    col[a:b] = np.where(under, reading.bands(v, (x0[a:b] + x1[a:b]) / 2), -1)
+            at = np.flatnonzero((row >= 0) & (col >= 0))
+            if not len(at):
+                continue
+            at = at[np.lexsort((top[at], col[at], row[at], page[at]))]
+            cell = np.flatnonzero(reading.changes(page[at], row[at], col[at]))
+            for a, b in zip(cell, [*cell[1:], len(at)], strict=True):
+                line[at[a:b]] = 0 if top[at[b - 1]] - top[at[a]] < gap else reading.lines(top[at[a:b]], gap)
+            at = reading.ordered(batch.column("text"), at, page, row, col, line, x0)
+            sizes = np.diff(np.append(cell, len(at)))
+            rows = np.flatnonzero(reading.changes(page[at[cell]], row[at[cell]]))
+            texts = reading.lists(batch.column("text"), [at], [sizes])
+            cells = pa.StructArray.from_arrays([pa.array(col[at[cell]], pa.int32()), texts], names=["col", "texts"])
+            cells = pa.ListArray.from_arrays(pa.array(np.append(rows, len(cell)), pa.int32()), cells)
+            keys = pa.array(at[cell[rows]])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(keys) for c in PAGE] + [pa.array(row[at[cell[rows]]], pa.int32()), cells], names=[*PAGE, "row", "cells"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in both.schema.fields}
+    return reading.by_page(both, read, f"doc_id {kinds['doc_id']}, page {kinds['page']}, row int, cells array<struct<col: int, texts: array<string>>>")
 
 
 def joined_text(words: Column, gap: float = 4.0) -> Column:
@@ -148,24 +163,26 @@ def joined_text(words: Column, gap: float = 4.0) -> Column:
     return F.when(F.size(words) == 1, words[0]["text"]).when(one, F.array_join(F.sort_array(F.arrays_zip(words["x0"], words["text"]))["text"], " ")).otherwise(F.array_join(F.transform(lines, lambda x: x["text"]), " "))
 
 
-def cells(placed: DataFrame) -> DataFrame:
+def cells(banded: DataFrame) -> DataFrame:
     """doc_id, page, row, col, text of every cell that has words."""
-    boxes = F.collect_list(F.struct("top", "x0", "text"))
-    return placed.groupBy(*PAGE, "row", "col").agg(joined_text(boxes).alias("text"))
+    return banded.select(*PAGE, "row", F.inline("cells")).select(*PAGE, "row", "col", F.array_join("texts", " ").alias("text"))
 
 
-def records(cells: DataFrame) -> DataFrame:
+def records(banded: DataFrame) -> DataFrame:
     """Records of rows that have a city: cells from the sixth on are the services, blank fields but the city null."""
-    texts = [F.max(F.when(F.col("col") == i, F.col("text"))).alias(f"c{i}") for i in range(5)]
-    rest = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("col") >= 5, F.struct("col", "text")))), lambda x: x["text"]), " ").alias("c5")
-    rows = cells.groupBy(*PAGE, "row").agg(*texts, rest)
+
+    def text_of(i: int) -> Column:
+        return F.array_join(F.get(F.filter("cells", lambda c: c["col"] == i), F.lit(0))["texts"], " ")
+
+    rest = F.array_join(F.transform(F.filter("cells", lambda c: c["col"] >= 5), lambda c: F.array_join(c["texts"], " ")), " ").alias("c5")
+    rows = banded.select(*PAGE, "row", *[text_of(i).alias(f"c{i}") for i in range(5)], rest)
     rows = rows.where((F.coalesce("c0", F.lit("")) != "") & (F.upper(fold(F.col("c0"))) != "MUNICIPIO"))
     return rows.select(*PAGE, "row", squeeze(F.col("c0")).alias("municipio"), *[blank_to_null(squeeze(F.col(f"c{i}"))).alias(FIELDS[i]) for i in range(1, 6)])
 
 
 def extract(words: DataFrame, shapes: DataFrame) -> DataFrame:
     """All records of ruled pages. Words are shuffled once, by page."""
-    return records(cells(assign(words, cut_edges(words, gate(page_edges(shapes))))))
+    return records(band_cells(words, cut_edges(words, gate(page_edges(shapes)))))
 
 
 def confident(words: DataFrame, least: int = 30) -> DataFrame:
