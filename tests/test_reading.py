@@ -49,3 +49,9 @@ def test_bands_are_read_in_one_pass(spark):
     got = layout.band_cells(boxes, cut)
     assert [tuple(r) for r in layout.cells(got).orderBy("col").collect()] == [(1, 0, 0, 0, "a b c"), (1, 0, 0, 1, "z"), (1, 0, 0, 2, "y")]
     assert plan(got).count("RepartitionByExpression") == 1 and "Window" not in plan(got)
+
+
+def test_coverage_sorts_no_words(spark, words):
+    got = layout.coverage_bands(words, least=5)
+    assert "Join" not in plan(got) and "Window" not in plan(got)
+    assert [(r["low"], r["high"]) for r in got.where("doc_id = 0 AND page = 0").orderBy("band").collect()] == [(0.0, 55.5), (55.5, 125.5), (125.5, 195.5), (195.5, 265.5), (265.5, 321.0)]

@@ -366,15 +366,19 @@ def valid_city(city: Column) -> Column:
 
 def coverage_bands(words: DataFrame, columns: int = 6, least: int = 20) -> DataFrame:
     """doc_id, page, band, low, high: columns divided at the middles of the widest empty stretches (in whole points)."""
-    span = words.groupBy(*PAGE).agg(F.min("x0").alias("a"), F.max("x1").alias("b"))
-    boxes = words.join(span, PAGE).select(*PAGE, "a", "b", F.floor(F.col("x0") - F.col("a")).alias("s"), (F.floor(F.col("x1") - F.col("a")) + 1).alias("e")).distinct()
-    by_start = Window.partitionBy(*PAGE).orderBy("s", "e")
-    seen = F.max("e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    gaps = boxes.withColumn("from", seen).where(F.col("s") - F.col("from") >= least).select(*PAGE, "a", "from", F.col("s").alias("to"), (F.col("s") - F.col("from")).alias("width"))
-    widest = gaps.withColumn("_r", F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc("width"), "from"))).where(F.col("_r") < columns)
-    cuts = widest.select(*PAGE, (F.col("a") + (F.col("from") + F.col("to")) / 2).alias("x"))
-    ends = span.select(*PAGE, F.explode(F.array("a", F.col("b") + 1)).alias("x"))
-    limits = cuts.unionByName(ends).groupBy(*PAGE).agg(F.sort_array(F.collect_list("x")).alias("x"))
+    boxes = words.select(*PAGE, "x0", "x1").distinct()  # as few as a page's columns where words are in line
+    pages = boxes.groupBy(*PAGE).agg(F.min("x0").alias("a"), F.max("x1").alias("b"), F.collect_list(F.struct("x0", "x1")).alias("x"))
+    rounded = F.transform("x", lambda w: F.struct(F.floor(w["x0"] - F.col("a")).alias("s"), (F.floor(w["x1"] - F.col("a")) + 1).alias("e")))
+    state = F.struct(F.lit(None).cast("long").alias("upto"), F.array().cast("array<struct<width:bigint,from:bigint,to:bigint>>").alias("gaps"))
+
+    def step(s: Column, w: Column) -> Column:
+        gap = F.struct((s["upto"] - w["s"]).alias("width"), s["upto"].alias("from"), w["s"].alias("to"))  # negative, so that the widest comes first
+        wider = F.slice(F.sort_array(F.concat(s["gaps"], F.array(gap))), 1, columns - 1)
+        return F.struct(F.greatest(s["upto"], w["e"]).alias("upto"), F.when(w["s"] - s["upto"] >= least, wider).otherwise(s["gaps"]).alias("gaps"))
+
+    gaps = F.aggregate(F.sort_array(rounded), state, step)["gaps"]
+    cuts = F.transform(gaps, lambda g: F.col("a") + (g["from"] + g["to"]) / 2)
+    limits = pages.select(*PAGE, F.sort_array(F.concat(F.array("a", F.col("b") + 1), cuts)).alias("x"))
     pairs = F.arrays_zip(F.slice("x", 1, F.size("x") - 1), F.slice("x", 2, F.size("x") - 1))
     return limits.select(*PAGE, F.posexplode(pairs).alias("band", "p")).select(*PAGE, "band", F.col("p").getField("0").alias("low"), F.col("p").getField("1").alias("high"))
 
