@@ -55,3 +55,9 @@ def test_coverage_sorts_no_words(spark, words):
     got = layout.coverage_bands(words, least=5)
     assert "Join" not in plan(got) and "Window" not in plan(got)
     assert [(r["low"], r["high"]) for r in got.where("doc_id = 0 AND page = 0").orderBy("band").collect()] == [(0.0, 55.5), (55.5, 125.5), (125.5, 195.5), (195.5, 265.5), (265.5, 321.0)]
+
+
+def test_continued_rows_are_shuffled_once(spark, tmp_path):
+    spark.createDataFrame([(i, f"a b c d e f {i}") for i in range(9)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.QUERIES["o28e_continued_rows"](spark, str(tmp_path))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
