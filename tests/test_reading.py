@@ -57,6 +57,12 @@ def test_coverage_sorts_no_words(spark, words):
     assert [(r["low"], r["high"]) for r in got.where("doc_id = 0 AND page = 0").orderBy("band").collect()] == [(0.0, 55.5), (55.5, 125.5), (125.5, 195.5), (195.5, 265.5), (265.5, 321.0)]
 
 
+def test_lines_keep_the_pages_side(spark, words):
+    columns = words.select("doc_id", "page").distinct().withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumns({"low": F.col("band") * 70.0, "high": (F.col("band") + 1) * 70.0})
+    got = layout.line_records(words.withColumn("line", F.floor(F.col("pos") / 5).cast("int")), columns)
+    assert plan(got).count("collect_list(struct(band") == 2 and got.count() == 120  # the page's bands and a line's words
+
+
 def test_continued_rows_are_shuffled_once(spark, tmp_path):
     spark.createDataFrame([(i, f"a b c d e f {i}") for i in range(9)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = registry.QUERIES["o28e_continued_rows"](spark, str(tmp_path))

@@ -409,13 +409,18 @@ def line_records(lined: DataFrame, columns: DataFrame) -> DataFrame:
     limits = columns.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("band", "low", "high"))).alias("bands")).where(F.size("bands") >= 6)
     x = middle("x0", "x1")
     hit = F.filter("bands", lambda b: (b["low"] <= x) & (x <= b["high"]))
-    placed = lined.join(limits, PAGE).withColumn("band", F.get(hit, F.lit(0))["band"])
+    placed = lined.join(limits.hint("shuffle_hash"), PAGE).withColumn("band", F.get(hit, F.lit(0))["band"])
+    words = F.sort_array(F.collect_list(F.struct("band", "x0", "pos", "text"))).alias("words")
+    rows = placed.groupBy(*PAGE, "line").agg(F.count_if(is_head(F.col("text"))).alias("_heads"), words)
 
-    def text_of(rule: Column) -> Column:
-        return squeeze(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(rule, F.struct("band", "x0", "pos", "text")))), lambda w: w["text"]), " "))
+    def text_of(rule) -> Column:
+        return squeeze(F.array_join(F.transform(F.filter("words", rule), lambda w: w["text"]), " "))
 
-    parts = [text_of(F.col("band") == i if i < 5 else F.col("band") >= 5).alias(f) for i, f in enumerate(FIELDS)]
-    rows = placed.groupBy(*PAGE, "line").agg(F.count_if(is_head(F.col("text"))).alias("_heads"), *parts)
+    def held_by(i: int):
+        return lambda w: w["band"] == i if i < 5 else w["band"] >= 5
+
+    parts = [text_of(held_by(i)).alias(f) for i, f in enumerate(FIELDS)]
+    rows = rows.select(*PAGE, "line", "_heads", *parts)
     return rows.where((F.col("_heads") < 2) & (F.col("municipio") != "") & (F.col("unidade") != "")).select(*PAGE, "line", "municipio", *[blank_to_null(F.col(f)).alias(f) for f in FIELDS[1:]])
 
 
