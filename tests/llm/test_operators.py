@@ -753,6 +753,32 @@ def test_memory_of_a_long_text():
         assert peak < most * len(text)
 
 
+def test_every_position_trains(spark):
+    """A byte's row of a side moves only where a position at that distance is trained on; each of eight bytes is there once, in a megabyte."""
+    marks = range(1, 9)
+    texts = [f"{i:03} some words of a text that goes on and on, " * 500 for i in range(50)]
+    for m in marks:
+        t = texts[6 * m]
+        texts[6 * m] = t[: 1_000 * m + 7] + chr(m) + t[1_000 * m + 7 :]
+    p, start = lmscore.learn(docs_of(spark, list(enumerate(texts)))), lmscore.fresh()
+    for m in marks:
+        assert (p["e"][:, m] != start["e"][:, m]).any(1).all()
+
+
+def test_stretches_and_blocks_see_the_same_tokens():
+    p = lmscore.fresh()
+    laid = lmscore.LaidOut([b"", b"some words", b"", "né más\n".encode() * 9, b"x"])
+    (tokens, places, _), = laid.blocks(10**6)
+    whole, whole_gradients = lmscore.log_probs(p, tokens, places), lmscore.gradients(p, tokens, places)
+    for size in (1, 7, 50, 1000):
+        starts = np.arange(0, laid.n, size)[::-1]
+        at = np.concatenate([np.arange(s, min(s + size, laid.n)) for s in starts])
+        assert sorted(at) == list(range(laid.n))
+        cut = laid.stretches(starts, size)
+        assert np.allclose(lmscore.log_probs(p, *cut), whole[at], atol=1e-5)
+        assert all(np.allclose(g, whole_gradients[k], atol=1e-6) for k, g in lmscore.gradients(p, *cut).items())
+
+
 def test_masked_gradients():
     p = {k: v.astype("f8") for k, v in lmscore.fresh().items()}
     laid = lmscore.LaidOut([b"some words", b"", b"and more"])
