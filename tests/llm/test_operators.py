@@ -799,6 +799,56 @@ def test_masked_gradients():
         assert abs((up - down) / 2e-4 - g[k][at]) < 1e-5
 
 
+def test_exponentials_of_the_hidden_layer_are_of_tables(monkeypatch):
+    """A place costs the 32 exponentials of its softmaxes; those of its hidden numbers are products of the bytes' rows."""
+    p, taken = lmscore.fresh(), []
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def exp(self, x, *args, **kwargs):
+            taken.append(x.size)
+            return np.exp(x, *args, **kwargs)
+
+    (tokens, places, _), = lmscore.LaidOut([b"some words of a text that goes on and on, " * 500]).blocks(10**6)
+    monkeypatch.setattr(lmscore, "np", Counting())
+    for work in (lmscore.log_probs, lmscore.gradients):
+        taken.clear()
+        work(p, tokens, places)
+        assert sum(taken) < 36 * len(places)
+
+
+@pytest.mark.parametrize("wide", [("e",), ("v", "w"), ("c",), ("e", "v", "w", "b", "c")])
+def test_large_numbers_don_t_overflow(wide):
+    """Where exponentials might not hold the numbers, sums and largest ones are taken instead."""
+    rng = np.random.default_rng(3)
+    p = {k: rng.normal(0, 40 if k in wide else 0.1, v.shape).astype("f4") for k, v in lmscore.fresh().items()}
+    text = b"some words, and more"
+    (tokens, places, _), = lmscore.LaidOut([text]).blocks(100)
+    got = lmscore.log_probs(p, tokens, places)
+    g, g8 = (lmscore.gradients({k: v.astype(kind) for k, v in p.items()}, tokens, places) for kind in ("f4", "f8"))
+    assert np.isfinite(got).all()
+    for k in p:
+        assert np.isfinite(g[k]).all() and np.allclose(g[k], g8[k], rtol=1e-3, atol=1e-3 * np.abs(g8[k]).max())
+    with np.errstate(over="ignore"):
+        want = slow_log_prob_of_logits(p, text)
+    assert np.allclose(got.sum(), want, rtol=1e-4)
+
+
+def slow_log_prob_of_logits(p, text):
+    """As slow_log_prob, with the largest exponent taken off."""
+    total = 0.0
+    for t, byte in enumerate(text):
+        a = p["h"].astype("f8")
+        for i, d in enumerate(lmscore.SIDES):
+            a = a + p["e"][i][text[t + d] if 0 <= t + d < len(text) else lmscore.EDGE]
+        a = np.tanh(a)
+        for y, k in ((a @ p["v"] + p["c"], byte >> 4), ((a * p["g"][byte >> 4]) @ p["w"] + p["b"][byte >> 4], byte & 15)):
+            total += y[k] - y.max() - np.log(np.exp(y - y.max()).sum())
+    return total
+
+
 def test_masked_model_on_unseen_documents(spark, documents):
     p = lmscore.learn(documents.where("doc_id % 5 > 0"))
     unseen = documents.where("doc_id % 5 = 0")
