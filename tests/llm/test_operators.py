@@ -819,6 +819,25 @@ def test_exponentials_of_the_hidden_layer_are_of_tables(monkeypatch):
         assert sum(taken) < 36 * len(places)
 
 
+def test_upper_halves_share_the_steps_of_a_block(monkeypatch):
+    """Weights are made at once for all upper halves of bytes, and a block's exponentials are taken in one pass, however many of these it has."""
+    p, calls = lmscore.fresh(), []
+
+    class Counting:
+        def __getattr__(self, name):
+            if name in ("exp", "hstack", "concatenate"):
+                calls.append(name)
+            return getattr(np, name)
+
+    text = bytes(range(256)) * 8
+    (tokens, places, _), = lmscore.LaidOut([text]).blocks(10**6)
+    monkeypatch.setattr(lmscore, "np", Counting())
+    for work in (lmscore.log_probs, lmscore.gradients):
+        calls.clear()
+        work(p, tokens, places)
+        assert len(calls) <= 8
+
+
 @pytest.mark.parametrize("wide", [("e",), ("v", "w"), ("c",), ("e", "v", "w", "b", "c")])
 def test_large_numbers_don_t_overflow(wide):
     """Where exponentials might not hold the numbers, sums and largest ones are taken instead."""
