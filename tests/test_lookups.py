@@ -5,6 +5,8 @@ import io
 import re
 from contextlib import redirect_stdout
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +100,20 @@ def test_stored_index(spark, tmp_path):
         index.drop(spark, "index_of_test")
 
 
+def test_rows_of_pairs_are_bounded():
+    """Equal queries with many identifiers come in rows of some thousand pairs, as Spark holds all pairs of a row at once; none is lost or comes twice."""
+    lists = {"a": np.arange(0, 60_000, 2), "b": np.arange(0, 60_000, 3)}
+    asks = [(q, ["a", "b"]) for q in range(300)] + [(300, ["b"])]
+    columns = {
+        "span": pa.array([0] * 303, pa.int64()), "slice": pa.array([0] * 303, pa.int64()), "asks": pa.array([False] * 2 + [True] * 301),
+        "terms": pa.array([["a"], ["b"], *[t for _, t in asks]]), "ids": pa.array([*lists.values(), *[None] * 301], pa.list_(pa.int64())), "query_id": pa.array([None] * 2 + [q for q, _ in asks], pa.int32()),
+    }
+    rows = [r for batch in index._intersected(iter([pa.RecordBatch.from_pydict(columns)])) for r in batch.to_pylist()]
+    assert max(len(r["queries"]) * len(r["ids"]) for r in rows) <= 20_000
+    got = sorted((q, i) for r in rows for q in r["queries"] for i in r["ids"])
+    assert got == [(q, i) for q in range(300) for i in range(0, 60_000, 6)] + [(300, i) for i in range(0, 60_000, 3)]
+
+
 def test_requests_in_bulk(spark, facilities):
     """Each request as `directory` answers it."""
     asks = [("sp", None, None, None, None, None), (None, "SAO", None, None, 5, 2), (None, None, "jararaca", "ñan", 500, 0), ("RJ", "bom", None, "rua 1", None, None), (None, None, None, "h", 3, 1), (None, None, None, "RUA", 700, None), (None, "", None, "tal 4 ñ", None, None), (None, "u", "jararaca", None, 1, 0), (None, None, None, "nothing has this", None, None), ("SP", None, None, None, 0, None)]
