@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.operators import index, lookup, resolver, search
+from waymark.plans import registry
 
 FAC = "id int, uf string, municipio string, unidade string, endereco string, cnes string, atendimentos_raw string, lat double, lng double"
 
@@ -114,6 +115,15 @@ def test_rows_of_pairs_are_bounded():
     assert got == [(q, i) for q in range(300) for i in range(0, 60_000, 6)] + [(300, i) for i in range(0, 60_000, 3)]
 
 
+def test_postings_are_made_by_all_tasks(spark, monkeypatch):
+    """A table of one small file would be folded by one task."""
+    given = []
+    monkeypatch.setattr(index, "build", lambda postings, *a: given.append(postings))
+    monkeypatch.setattr(index, "find_all", lambda asked, name: asked)
+    registry.QUERIES["o61_stored_index"](spark, "/root/testdata/sf0.001")
+    assert given[0].rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
 def test_requests_in_bulk(spark, facilities):
     """Each request as `directory` answers it."""
     asks = [("sp", None, None, None, None, None), (None, "SAO", None, None, 5, 2), (None, None, "jararaca", "ñan", 500, 0), ("RJ", "bom", None, "rua 1", None, None), (None, None, None, "h", 3, 1), (None, None, None, "RUA", 700, None), (None, "", None, "tal 4 ñ", None, None), (None, "u", "jararaca", None, 1, 0), (None, None, None, "nothing has this", None, None), ("SP", None, None, None, 0, None)]
